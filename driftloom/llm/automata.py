@@ -7,6 +7,7 @@ start folds ASCII letters.
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
 Node = tuple  # ("set", frozenset) | ("cat", [..]) | ("alt", [..]) | ("rep", node, low, high or None)
@@ -194,15 +195,15 @@ def compile_rules(nodes: list[Node], anchored: bool) -> Dfa:
     classes = list(dict.fromkeys(s for ms in nfa.moves for s, _ in ms))
     column = [seen.setdefault(tuple(b in s for s in classes), len(seen)) for b in range(256)]
     sample = {c: b for b, c in enumerate(column)}
+    # closure of what each state reaches by a byte of each class
+    moves = [[nfa.closure([t for chars, t in ms if sample[c] in chars]) for c in range(len(seen))] for ms in nfa.moves]
     begin = nfa.closure([root])
-    number, rows, todo = {begin: 0}, [], [begin]
+    number, rows, todo = {begin: 0}, [], deque([begin])
     while todo:
-        states = todo.pop(0)
+        states = todo.popleft()
         row = []
         for c in range(len(seen)):
-            b = sample[c]
-            to = nfa.closure({t for s in states for chars, t in nfa.moves[s] if b in chars})
-            to = to if anchored else to | begin
+            to = frozenset().union(*[moves[s][c] for s in states], frozenset() if anchored else begin)
             if to not in number:
                 number[to] = len(number)
                 todo.append(to)

@@ -18,21 +18,22 @@ from .common import arrow_map
 class Rule:
     kind: str
     pattern: str
-    #: Least length of the value, where the pattern's match alone doesn't decide; failing matches still use up their bytes.
+    #: Least lengths of the match and of the assigned value; failing matches still use up their bytes.
+    least: int = 0
     least_value: int = 0
 
 
-#: Fixed values of the contract, in its order. Lengths that a maximal run must have are counted by
-#: the automaton; the length of an assigned value is checked after the match, as a failing match
-#: must use up its text.
+#: Fixed values of the contract, in its order. Lengths are checked after the match: counters of several
+#: rules would multiply the automaton's states. Runs of hex digits are counted up to 8 there, so that
+#: the letters a to f in prose don't count as matches.
 BASE_RULES = (
-    Rule("assign", r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 12),
-    Rule("access", r"AKIA[A-Z0-9]{14,}"),
-    Rule("hex", r"[0-9a-f]{16,}"),
+    Rule("assign", r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 0, 12),
+    Rule("access", r"AKIA[A-Z0-9]+", 18),
+    Rule("hex", r"[0-9a-f]{8,}", 16),
 )
 MORE_RULES = (
     Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("gittoken", r"gh[opsu]_[A-Za-z0-9]{20,}"),
+    Rule("gittoken", r"gh[opsu]_[A-Za-z0-9]+", 24),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
 _VALUE = re.compile(rb"""[^:=]*[:=]\x20*["']?(.*)""", re.S)
@@ -54,8 +55,19 @@ class SecretScanner:
         self.all = compile_rules(nodes, anchored=False)
         self.forward = [compile_rules([n], anchored=True) for n in nodes]
         self.reverse = [compile_rules([backwards(n)], anchored=True) for n in nodes]
-        # states as offsets into the flat array
-        self.steps = [256 * s for s in self.all.table]
+        self._steps()
+
+    def _steps(self) -> None:
+        """States as offsets into the flat array; equal offsets are one object, which keeps the array in cache."""
+        pool = [256 * s for s in range(len(self.all.accepts))]
+        self.steps = [pool[s] for s in self.all.table]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "steps"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._steps()
 
     def _leftmost(self, r: int, data: bytes, end: int, floor: int) -> int | None:
         d, best = self.reverse[r], None
@@ -93,6 +105,8 @@ class SecretScanner:
                         if start is None:
                             continue
                         done[r] = end = self._longest(r, data, start)
+                        if end - start < rule.least:
+                            continue
                         if not rule.least_value or len(_VALUE.match(data[start:end])[1]) >= rule.least_value:
                             out.append((r, start, end))
         return out
