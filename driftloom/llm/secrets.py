@@ -58,12 +58,15 @@ class SecretScanner:
         self._steps()
 
     def _steps(self) -> None:
-        """States as offsets into the flat array; equal offsets are one object, which keeps the array in cache."""
-        pool = [256 * s for s in range(len(self.all.accepts))]
-        self.steps = [pool[s] for s in self.all.table]
+        """Transition arrays: entry b of a state's row is the next state's row, entry 256 tells which rules end there."""
+        table, marks = self.all.table, self.all.accepts
+        self.rows = [[None] * 257 for _ in marks]
+        for k, row in enumerate(self.rows):
+            row[:256] = [self.rows[s] for s in table[256 * k : 256 * k + 256]]
+            row[256] = marks[k]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "steps"}
+        return {k: v for k, v in self.__dict__.items() if k != "rows"}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -92,13 +95,19 @@ class SecretScanner:
         return best
 
     def scan(self, data: bytes) -> list[tuple[int, int, int]]:
-        """(rule number, start, end) in bytes."""
-        steps, accepting, s = self.steps, 256 * self.all.accepting, 256 * self.all.start
-        marks, done, out = self.all.accepts, [0] * len(self.rules), []
+        """(rule number, start, end) in bytes. Most texts end in the first loop, where no rule matches at all."""
+        row = self.rows[self.all.start]
+        for b in data:
+            row = row[b]
+            if row[256]:
+                break
+        else:
+            return []
+        row, done, out = self.rows[self.all.start], [0] * len(self.rules), []
         for i, b in enumerate(data):
-            s = steps[s + b]
-            if s >= accepting:
-                mark = marks[s >> 8]
+            row = row[b]
+            mark = row[256]
+            if mark:
                 for r, rule in enumerate(self.rules):
                     if mark >> r & 1 and i >= done[r]:
                         start = self._leftmost(r, data, i + 1, done[r])
