@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, neighbours, pii, quality, secrets, sharding
+from . import decontaminate, jaccard, langid, neighbours, pii, quality, secrets, sharding
 from .common import crc_mod, table
 
 
@@ -34,6 +34,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return neighbours.search(rows, rows.where("vec_id % 100 = 0"))
@@ -54,7 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_decontamination, op4_pii, op5_secrets, op8_nearest, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_decontamination, op4_pii, op5_secrets, op6_near_duplicates, op8_nearest, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
