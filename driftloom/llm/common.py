@@ -45,6 +45,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(ids: DataFrame, rows: int) -> DataFrame:
+    """ids, written once, to be broadcast if it has at most `rows` rows; else as it is, for a shuffled join."""
+    ids = materialise(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= rows else ids
+
+
 def discard(*frames: DataFrame) -> None:
     """Remove tables that materialise() wrote and nothing reads any more."""
     for df in frames:

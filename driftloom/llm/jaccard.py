@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, materialise, mix64
+from .common import WordHashes, broadcast_if_small, materialise, mix64
 from .components import components
 
 #: log2 of the counters of the frequency sketch: 4 MB, whatever the corpus.
@@ -187,9 +187,7 @@ def linked(a: np.ndarray, b: np.ndarray, rule: Rule) -> bool:
 def _verify(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """Of pairs (a, b) of documents those that link; each pair's sets are compared once."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = materialise(ids, "jaccard-ids")
-    small = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if small else ids, "doc_id")
+    texts = docs.join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id")
     texts = materialise(texts, "jaccard-texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, neighbours, pii, quality, secrets, sharding
+from . import decontaminate, jaccard, langid, neighbours, pieces, pii, quality, secrets, sharding, tokenshards
 from .common import crc_mod, table
 
 
@@ -38,11 +38,19 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_pieces", "piece_ids", "round_trip")
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return neighbours.search(rows, rows.where("vec_id % 100 = 0"))
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenshards.write_token_shards(table(spark, sf_dir, "documents"))[0]
+
+
 #: A document whose score is below this is of low quality.
 QUALITY_CUT = 0.3
 
@@ -58,7 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_decontamination, op4_pii, op5_secrets, op6_near_duplicates, op8_nearest, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_decontamination, op4_pii, op5_secrets, op6_near_duplicates, op7_pieces, op8_nearest, op9_token_shards, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
