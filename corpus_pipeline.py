@@ -1,8 +1,65 @@
 """The corpus pipeline: STAGES in order, each over all that the one before kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftloom.llm import decontaminate, jaccard, pieces, pii, quality
+from driftloom.llm.common import broadcast_if_small, materialise, table
+from driftloom.llm.queries import QUALITY_CUT, quality_model
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the neighbours' vote does not reject."""
+    scored = quality.score(docs, quality_model(spark, docs, sf_dir), score_col="_quality")
+    return scored.where(F.col("_quality") >= QUALITY_CUT).drop("_quality")
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id, and of rows with one id one row.
+
+    Documents without words, and rows without an id, all stay.
+    """
+    groups = materialise(jaccard.near_duplicates(docs), "groups")
+    gone = broadcast_if_small(groups.where("doc_id <> component_id").select("doc_id").distinct(), jaccard.BROADCAST_IDS)
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    repeated = broadcast_if_small(repeated, jaccard.BROADCAST_IDS)
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages; those that are mostly passage go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), chars_col="n_chars")
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return pii.redact(docs, chars_col="n_chars")
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their piece ids."""
+    return pieces.encode_pieces(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("PII", pii_stage),
+    ("SentencePiece encoding and decoding", encode_stage),
+]
+
+#: SQL expresses neither the classifier nor the shortest path; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
