@@ -112,7 +112,11 @@ def pii_report(docs: DataFrame, kinds: tuple[Kind, ...] = BASE_KINDS + MORE_KIND
     found = find_pii(lean, kinds)
     show = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     basic = F.filter("_spans", lambda s: s["rank"] < base)
-    counts = [F.size(F.filter("_spans", lambda s, n=n: s["rank"] == n)).cast("long").alias(f"n_{k.name}") for n, k in enumerate(kinds[:base])]
+
+    def count(n: int) -> Column:  # a default argument would make the lambda take the index
+        return F.size(F.filter("_spans", lambda s: s["rank"] == n)).cast("long")
+
+    counts = [count(n).alias(f"n_{k.name}") for n, k in enumerate(kinds[:base])]
     return found.select("doc_id", *counts, F.sha2(show(basic).cast("binary"), 256).alias("base_sha256"), show(F.col("_spans")).alias("spans"), F.array_join(F.transform("_spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))
 
 
