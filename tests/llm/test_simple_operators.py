@@ -208,9 +208,8 @@ def test_secrets_on_made_up_texts(spark):
 
 
 def test_secrets_odd_rows(odd, none):
-    got = {r.doc_id: r for r in secrets.find_secrets(odd).collect()}
+    check_secrets(secrets.find_secrets(odd).collect(), {r.doc_id: r.text for r in odd.collect()})
     assert secrets.find_secrets(odd).count() == 10 and secrets.find_secrets(none).count() == 0
-    assert (got[7].n_assign, got[7].n_access, got[7].n_hex) == (1, 1, 2 if "0123456789" * 2 in "x" else 1)
 
 
 @settings(max_examples=100, deadline=None)
