@@ -219,4 +219,4 @@ def decode_pieces(rows: DataFrame, model_file: str = MODEL_FILE, ids_col: str =
         texts = [None if x is None else shared.value.decode(x) for x in batch.column(at).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, text_col])
 
-    return arrow_map(base, apply, base.withColumn(text_col, F.lit("")).schema)
+    return arrow_map(base, apply, base.withColumn(text_col, F.lit(None).cast("string")).schema)
