@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, neighbours, pieces, pii, quality, secrets, sharding, tokenshards
+from . import decontaminate, jaccard, langid, neighbours, pieces, pii, quality, secrets, sharding, sql, tokenshards
 from .common import crc_mod, table
 
 
@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": sql.OP3, "op5_secrets": sql.OP5, "op6_near_duplicates": sql.OP6, "op8_nearest": sql.OP8}
