@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import base64
+import gc
 import zlib
 from dataclasses import dataclass
 
@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from .common import arrow_map, materialise, number_rows, scratch_path
 from .sharding import Feistel
 
-#: Ranks file of the environment, and the pattern its vocabulary was made with; both are parameters.
-RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The piece model of the environment; a parameter.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+SPACE = "▁"
 #: Fills the end of a document's last sequence; no token has this id.
 PAD = 65535
 CACHE = 300_000
 #: Documents whose first sequence numbers a broadcast may hold; beyond, a shuffled join.
 BROADCAST_DOCS = 1_000_000
+#: Passes over the stored tokens that write the shards: the shuffle on disk is that fraction of them.
+GROUPS = 3
 
 
 @dataclass(frozen=True)
@@ -37,48 +39,54 @@ class Layout:
         return 2 * self.length + 1
 
 
-class WordTokens:
-    """Token ids of whole texts by a byte-level BPE vocabulary; pieces that come again are remembered."""
+class PieceTokens:
+    """Ids of whole texts by a SentencePiece model, then the end-of-text id.
 
-    def __init__(self, ranks_file: str = RANKS_FILE, pattern: str = PATTERN):
-        self.source = ranks_file, pattern
-        with open(ranks_file, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        if len(self.ranks) >= PAD:
-            raise ValueError("ids must fit in 16 bits")
-        self.end = len(self.ranks)  # the end-of-text id
+    No piece of such a model has a blank after another character, so single blanks part
+    the text into words that are encoded alone and remembered; texts with runs of blanks,
+    or blanks at an end, go to the library whole.
+    """
+
+    def __init__(self, model_file: str = MODEL_FILE):
+        with open(model_file, "rb") as f:
+            self.model = f.read()
         self._load()
+        if self.library.get_piece_size() >= PAD:
+            raise ValueError("ids must fit in 16 bits")
 
     def _load(self) -> None:
-        import regex
-        import tiktoken
+        import sentencepiece
 
-        self.bpe = tiktoken.Encoding("own", pat_str=self.source[1], mergeable_ranks=self.ranks, special_tokens={})
-        self.split = regex.compile(self.source[1]).findall
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=self.model)
+        self.end = self.library.eos_id()
+        self.apart = not any(SPACE in p.lstrip(SPACE) for p in map(self.library.id_to_piece, range(self.library.get_piece_size())))
         self.known: dict[str, bytes] = {}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("bpe", "split", "known")}
+        return {"model": self.model}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._load()
 
-    def _piece(self, piece: str) -> bytes:
-        data = np.array(self.bpe.encode_ordinary(piece), np.uint16).tobytes()
-        if len(piece) <= 64:
+    def _word(self, word: str) -> bytes:
+        data = np.array(self.library.encode(word), np.uint16).tobytes()
+        if len(word) <= 64:
             if len(self.known) >= CACHE:
                 self.known.clear()
-            self.known[piece] = data
+            self.known[word] = data
         return data
 
     def __call__(self, text: str) -> bytes:
         """uint16 ids of the text and the end-of-text id."""
-        known, piece = self.known.get, self._piece
-        return b"".join([known(p) or piece(p) for p in self.split(text)]) + np.uint16(self.end).tobytes()
+        end = np.uint16(self.end).tobytes()
+        if not text or not self.apart or "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
+            return np.array(self.library.encode(text), np.uint16).tobytes() + end
+        known, word = self.known.get, self._word
+        return b"".join([known(w) or word(w) for w in text.split(" ")]) + end
 
 
-def tokenise(docs: DataFrame, tokens: WordTokens, layout: Layout, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenise(docs: DataFrame, tokens: PieceTokens, layout: Layout, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, crc, n_tokens, n_seq, ids) of every row with a text; ids are compressed uint16s, end-of-text last."""
     shared = docs.sparkSession.sparkContext.broadcast(tokens)
     lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
@@ -123,8 +131,8 @@ def _starts(tokenised: DataFrame) -> tuple[DataFrame, int]:
     return numbered.join(F.broadcast(offsets), "block").select("doc_id", "crc", (F.col("offset") + before).alias("start")), total
 
 
-def _sequences(placed: DataFrame, layout: Layout, total: int, payload: bool) -> DataFrame:
-    """One row per sequence with its slot: payload as the record's bytes, or the facts about it."""
+def _sequences(placed: DataFrame, layout: Layout, total: int, payload: bool, first: int = 0, width: int | None = None) -> DataFrame:
+    """One row per sequence with its slot: payload as the record's bytes, or the facts about it. width: only shards from first on."""
     facts = "shard int, slot long, global_slot long, byte_offset long, doc_id long, seq_no long, n_tokens int, record_crc32 long"
     schema = "shard int, slot long, record binary" if payload else facts
 
@@ -150,6 +158,9 @@ def _sequences(placed: DataFrame, layout: Layout, total: int, payload: bool) ->
                     sizes += [layout.length] * (k - 1) + [n - (k - 1) * layout.length]
             where = order.permute(np.concatenate(slots)) if slots else np.zeros(0, np.int64)
             shard, slot = where // layout.per_shard, where % layout.per_shard
+            if width is not None:
+                mine = np.flatnonzero((shard >= first) & (shard < first + width))
+                shard, slot, records = shard[mine], slot[mine], [records[k] for k in mine.tolist()]
             head = [pa.array(shard, pa.int32()), pa.array(slot, pa.int64())]
             if payload:
                 yield pa.RecordBatch.from_arrays([*head, pa.array(records, pa.binary())], names=["shard", "slot", "record"])
@@ -160,7 +171,7 @@ def _sequences(placed: DataFrame, layout: Layout, total: int, payload: bool) ->
     return arrow_map(placed.select("doc_id", "n_tokens", "start", "ids"), apply, schema)
 
 
-def write_token_shards(docs: DataFrame, path: str | None = None, tokens: WordTokens | None = None, layout: Layout = Layout(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+def write_token_shards(docs: DataFrame, path: str | None = None, tokens: PieceTokens | None = None, layout: Layout = Layout(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """Write all documents' tokens as shards of fixed stride in training order; returns (index, path).
 
     Every text, with the end-of-text id after it, is cut into sequences of layout.length
@@ -168,7 +179,8 @@ def write_token_shards(docs: DataFrame, path: str | None = None, tokens: WordTok
     ids, place); a Feistel permutation keyed by layout.key gives each its global slot, so
     slot s is record s mod per_shard of shard s div per_shard, at a computable byte: a
     reader may stop and go on anywhere. The order depends on the rows and the key alone.
-    Spark's committer writes each shard as one file, so lost tasks are redone whole.
+    Spark's committer writes each shard as one file, so lost tasks are redone whole; a run
+    that is given the path of one that broke off writes only the groups that lack.
 
     Null texts have no sequences; an empty text has one, with the end-of-text id. Equal
     rows have sequences each. An empty table writes an empty folder. Other columns are
@@ -177,7 +189,7 @@ def write_token_shards(docs: DataFrame, path: str | None = None, tokens: WordTok
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-shards")
-    stored = materialise(tokenise(docs, tokens or WordTokens(), layout, id_col, text_col), "tokens")
+    stored = materialise(tokenise(docs, tokens or PieceTokens(), layout, id_col, text_col), "tokens")
     starts, total = _starts(stored)
     starts = materialise(starts, "token-starts")
     n_docs = starts.count()
@@ -190,18 +202,32 @@ def write_token_shards(docs: DataFrame, path: str | None = None, tokens: WordTok
         nth = F.row_number().over(Window.partitionBy("doc_id", "crc").orderBy("n_tokens")) - 1
         placed = placed.join(copies.select("doc_id", "crc"), ["doc_id", "crc"], "left_anti").unionByName(again.withColumn("start", F.col("start") + nth * F.col("n_seq")))
     shards = max(1, -(-total // layout.per_shard))
-    records = _sequences(placed, layout, total, payload=True)
-    dealt = records.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
-    dealt.select(F.col("record").cast("string").alias("value")).write.text(path)
+    # in groups of shards, so that the shuffle files of one group exist at a time; a group that is there is not written again
+    size = -(-shards // GROUPS)
+    for first in range(0, shards, size):
+        width = min(size, shards - first)
+        if not _exists(spark, f"{path}/from-{first:08d}/_SUCCESS"):
+            records = _sequences(placed, layout, total, payload=True, first=first, width=width)
+            dealt = records.repartitionById(width, F.col("shard") - first).sortWithinPartitions("slot")
+            dealt.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").text(f"{path}/from-{first:08d}")
+            del records, dealt
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
     return _sequences(placed, layout, total, payload=False), path
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_slots(spark: SparkSession, path: str, layout: Layout, first: int, count: int) -> list[np.ndarray]:
-    """The ids (without PAD) of slots first .. first + count - 1, read by seeking."""
+    """The ids (without PAD) of slots first .. first + count - 1, read by seeking. Files: from-<first shard>/part-<shard - first>."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(conf)
-    names = {int(s.getPath().getName()[5:10]): s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")}
+    groups = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("from-")]
+    names = {int(g.getName()[5:]) + int(s.getPath().getName()[5:10]): s.getPath() for g in groups for s in fs.listStatus(g) if s.getPath().getName().startswith("part-")}
     out = []
     for shard in range(first // layout.per_shard, (first + count - 1) // layout.per_shard + 1):
         if shard not in names:
