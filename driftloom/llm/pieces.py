@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,7 @@ class PieceMachine:
     is the encoding. In a merge (BPE) model the weights stand on pairs of pieces: 0 where
     merging the two pieces' characters gives these two pieces again, infinite elsewhere.
     A sequence of pieces all of whose pairs weigh 0 is what the merges make of the text,
-    so exactly one path has finite weight, for every prefix too: the best path to each
-    place is kept with its last piece, which is the state that pair weights need.
+    so exactly one path has finite weight, for every prefix too, and it is the shortest.
 
     Between characters that stand side by side in no piece, paths cannot cross; so the text
     is composed unit by unit, and units that come again are remembered.
@@ -66,29 +66,47 @@ class PieceMachine:
             self.out.append(data)
         self.fallback = model.trainer_spec.byte_fallback
         self.longest = max(map(len, self.ids), default=1)
+        # how each piece that merging reaches comes about
+        self.traces = {p: t for p in self.ids if (t := self._trace(p))} if self.merges else {}
         self.wide = len(model.pieces) > 65535
-        # characters that no longer piece holds part the text; blanks start units where pieces hold them in front only
-        joined = {ch for p in self.ids if len(p) > 1 for ch in p}
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        alone = "" if "\n" in joined else "\n"
-        self.unit = re.compile(".*", re.S) if inner else re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.unit = self._units()
         self._reset()
 
+    def _units(self) -> re.Pattern:
+        """What is composed alone: a word with the blanks before it, a mark after a letter, a line feed.
+
+        Only where no piece of the model reaches across: blanks must stand in front in
+        every piece, and no piece may hold a letter followed by one of the marks.
+        """
+        long = [p for p in self.ids if len(p) > 1]
+        if any(SPACE in p.lstrip(SPACE) for p in long):
+            return re.compile(".*", re.S)
+        line = "" if any("\n" in p for p in long) else "\n"
+        across = {b for p in long for a, b in zip(p, p[1:], strict=False) if a.isascii() and a.isalpha()}
+        marks = "".join(re.escape(c) for c in "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~" if c not in across)
+        rest = f"[^{SPACE}{line}{marks}]*"
+        more = f"(?:(?<![A-Za-z])[{marks}]{rest})*" if marks else ""
+        return re.compile(f"{SPACE}*[^{SPACE}{line}]{rest}{more}|{SPACE}+" + (f"|{line}" if line else ""))
+
     def _reset(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "pairs", "whole")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "older", "pairs")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._reset()
 
-    def _merge(self, text: str) -> list[str]:
-        """What merging makes of a short text: the best-scored pair first, the leftmost of equals."""
+    def _trace(self, text: str) -> tuple[list[float], list[str], list[str]] | None:
+        """How merging makes text one piece: scores of the merges in order, the first and the last part before each and at the end.
+
+        The best-scored pair of neighbours merges first, the leftmost of equals. None if more than one part is left.
+        """
         parts = list(text)
+        scores, firsts, lasts = [], [parts[0]], [parts[-1]]
         while len(parts) > 1:
             best, at = -INF, -1
             for k in range(len(parts) - 1):
@@ -96,53 +114,107 @@ class PieceMachine:
                 if s is not None and (s > best or at < 0):
                     best, at = s, k
             if at < 0:
-                break
+                return None
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _stable(self, piece: str) -> bool:
-        """Whether merging reaches this piece at all."""
-        found = self.whole.get(piece)
-        if found is None:
-            found = self.whole[piece] = self._merge(piece) == [piece]
-        return found
+            scores.append(best)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+        return scores, firsts, lasts
 
     def _fits(self, left: str, right: str) -> bool:
-        """Whether the pair weighs 0."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self._merge(left + right) == [left, right]
-        return found
+        """Whether the pair weighs 0: merging both side by side, no merge ever crosses between them.
+
+        Until one crosses, each side merges as it does alone; so both traces are walked
+        together, the better next merge first, and what stands at the border is looked up.
+        """
+        none = ([], [left], [left])
+        ls, _, ends = self.traces.get(left, none)
+        rs, begins, _ = self.traces.get(right, ([], [right], [right]))
+        i = j = 0
+        fits = True
+        while True:
+            a = ls[i] if i < len(ls) else -INF
+            b = rs[j] if j < len(rs) else -INF
+            cross = self.scores.get(ends[i] + begins[j])
+            if cross is not None and (cross > a or i == len(ls)) and (cross >= b or j == len(rs)):
+                fits = False
+                break
+            if i < len(ls) and (a >= b or j == len(rs)):
+                i += 1
+            elif j < len(rs):
+                j += 1
+            else:
+                break
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[left, right] = fits
+        return fits
 
     def best_path(self, unit: str) -> list[str]:
         """Pieces on the shortest path through the machine composed with unit."""
-        n, ids, longest = len(unit), self.ids, self.longest
-        last: list[str] = [""] * (n + 1)
+        n, longest = len(unit), self.longest
         if self.merges:
-            for end in range(1, n + 1):
-                for begin in range(max(0, end - longest), end):
-                    piece = unit[begin:end]
-                    if (piece in ids or end - begin == 1) and (begin == 0 or last[begin]) and self._stable(piece) and (begin == 0 or self._fits(last[begin], piece)):
-                        last[end] = piece
-                        break
-        else:
-            floor = min(self.scores.values(), default=0.0) - 10  # what a character in no piece weighs
-            weight = [0.0] + [INF] * n
-            for end in range(1, n + 1):
-                for begin in range(max(0, end - longest), end):
-                    piece = unit[begin:end]
-                    score = self.scores.get(piece, floor if end - begin == 1 else None)
-                    if score is not None and weight[begin] - score < weight[end]:
-                        weight[end], last[end] = weight[begin] - score, piece
+            return self._finite_path(unit)
+        last: list[str] = [""] * (n + 1)
+        floor = min(self.scores.values(), default=0.0) - 10  # what a character in no piece weighs
+        weight = [0.0] + [INF] * n
+        for end in range(1, n + 1):
+            for begin in range(max(0, end - longest), end):
+                piece = unit[begin:end]
+                score = self.scores.get(piece, floor if end - begin == 1 else None)
+                if score is not None and weight[begin] - score < weight[end]:
+                    weight[end], last[end] = weight[begin] - score, piece
         path, at = [], n
         while at:
             path.append(last[at])
             at -= len(last[at])
         return path[::-1]
 
+    def _finite_path(self, unit: str) -> list[str]:
+        """The one path whose pair weights are all 0: depth first, longest piece first.
+
+        A place that was reached and left without success is never tried again: every
+        prefix has one finite path only, so it can only be reached by the same one.
+        """
+        if unit in self.traces:
+            return [unit]
+        n, longest, stable, pairs = len(unit), self.longest, self.traces, self.pairs
+        path: list[str] = []
+        dead: set[int] = set()
+        at, size = 0, min(longest, n)
+        while at < n:
+            left = path[-1] if path else None
+            while size:
+                piece = unit[at : at + size]
+                if (size == 1 or piece in stable) and at + size not in dead:
+                    if left is None:
+                        break
+                    fits = pairs.get((left, piece))
+                    if fits or (fits is None and self._fits(left, piece)):
+                        break
+                size -= 1
+            if size:
+                path.append(piece)
+                at += size
+                size = min(longest, n - at)
+            else:
+                dead.add(at)
+                size = len(path.pop())
+                at -= size
+                size -= 1
+        return path
+
     def _compose(self, unit: str) -> bytes:
+        found = self.older.get(unit)
+        if found is None:
+            found = self._ids_of(unit)
+        if len(unit) <= 64:
+            if len(self.known) >= UNITS:  # what is not asked for again goes with the older half
+                self.older, self.known = self.known, {}
+            self.known[unit] = found
+        return found
+
+    def _ids_of(self, unit: str) -> bytes:
         ids: list[int] = []
         for piece in self.best_path(unit):
             i = self.ids.get(piece)
@@ -152,12 +224,7 @@ class PieceMachine:
                 ids += [self.bytes[b] for b in piece.encode()]
             else:
                 ids.append(self.unknown)
-        found = np.array(ids, np.uint32 if self.wide else np.uint16).tobytes()
-        if len(unit) <= 64:
-            if len(self.known) >= UNITS:
-                self.known.clear()
-            self.known[unit] = found
-        return found
+        return array("I" if self.wide else "H", ids).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of the whole text; none for null and empty texts."""
