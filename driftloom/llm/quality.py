@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +15,25 @@ from .grams import BITS, code_points, letter_codes, shape_codes, trigrams
 
 #: Labelled rows that the model may use: the bound of what is broadcast (TRAIN_ROWS x RANK floats).
 TRAIN_ROWS = 4000
-#: Buckets of the hashed terms; rank of the latent space; neighbours that vote.
-BUCKETS, RANK, NEIGHBOURS = 4096, 48, 25
+#: Buckets of the hashed terms; steps of a repetition term; rank of the latent space; neighbours that vote.
+HASHED, STEPS, RANK, NEIGHBOURS = 4096, 16, 48, 25
+BUCKETS = HASHED + 2 * STEPS
+#: What a reached step counts: about as much as a term of a long text.
+STEP_COUNT = 400
 BLOCK = 512
 _CODES: dict[str, np.ndarray] = {}
 
 
 def term_counts(text: str) -> np.ndarray:
-    """Counts of hashed terms of the whole text: shape trigrams, letter trigrams, repeated lines."""
+    """Counts of the terms of the whole text: hashed shape trigrams, hashed letter trigrams, and repetition.
+
+    Repetition terms are steps: the k-th is there if over k / (STEPS + 1) of the words
+    equal the word before them, or of the lines stood before. Trigrams alone cannot tell
+    a word that is said twenty times from a text about it.
+    """
     if not _CODES:
         _CODES.update(letters=letter_codes(), shapes=shape_codes())
-    half = BUCKETS // 2
+    half = HASHED // 2
     out = np.zeros(BUCKETS)
     for at in range(0, len(text), 1 << 20):
         cps = code_points(text[max(0, at - 2) : at + (1 << 20)])
@@ -32,19 +41,18 @@ def term_counts(text: str) -> np.ndarray:
         for k, name in enumerate(("shapes", "letters")):
             g = trigrams(_CODES[name][cps])[skip:]
             out[k * half : (k + 1) * half] += np.bincount((g * np.uint32(2654435761) >> np.uint32(32 - 11)).astype(np.int64) % half, minlength=half)
-    lines = text.split("\n")
-    seen = set()
-    for line in lines:
-        if len(line) > 3 and line in seen:
-            out[0] += 8
-        seen.add(line)
+    words = text.split()
+    lines = [x for x in text.split("\n") if len(x) > 3]
+    shares = sum(map(eq, words, words[1:])) / max(len(words) - 1, 1), 1 - len(set(lines)) / max(len(lines), 1)
+    for k, share in enumerate(shares):
+        out[HASHED + k * STEPS : HASHED + k * STEPS + int(share * (STEPS + 1))] = STEP_COUNT
     return out
 
 
 @dataclass
 class QualityModel:
     idf: np.ndarray
-    axes: np.ndarray  # BUCKETS x RANK
+    axes: np.ndarray  # terms x RANK
     vectors: np.ndarray  # labelled rows x RANK, unit length
     labels: np.ndarray
     prior: float
