@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .sharding import Feistel
+
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -51,3 +53,30 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS componen
 OP8 = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 d AS (SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, v.e), lambda p: (p[2] - p[1]) * (p[2] - p[1])), lambda a, b: a + b)) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10"""
+
+
+def _sharding(key: int = 17, shards: int = 8) -> str:
+    """crc32 by its table, byte by byte; each Feistel round as nested selects; cycle walking as recursion."""
+
+    def times(x: str, c: int) -> str:
+        return f"((({x})::UHUGEINT * {c}::UHUGEINT) & 18446744073709551615::UHUGEINT)::UBIGINT"
+
+    keys = [int(k) for k in Feistel(10, key).keys]  # they don't depend on the number of rows
+    body = "SELECT row_no, half, n, (y >> half)::UBIGINT AS l0, (y & ((1::UBIGINT << half) - 1))::UBIGINT AS r0, y FROM {src}"
+    for i, k in enumerate(keys):
+        step = f"SELECT *, xor(r{i}, {k}::UBIGINT) AS a FROM ({body})"
+        step = f"SELECT * EXCLUDE (a), {times('xor(a, a >> 30)', 0xBF58476D1CE4E5B9)} AS a FROM ({step})"
+        step = f"SELECT * EXCLUDE (a), {times('xor(a, a >> 27)', 0x94D049BB133111EB)} AS a FROM ({step})"
+        body = f"SELECT * EXCLUDE (l{i}, r{i}, a), r{i} AS l{i + 1}, xor(l{i}, xor(a, a >> 31) & ((1::UBIGINT << half) - 1)) AS r{i + 1} FROM ({step})"
+    r = len(keys)
+    walk = f"SELECT row_no, half, n, ((r{r} << half) | l{r})::UBIGINT AS y FROM ({body})"
+    return f"""WITH RECURSIVE ct AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+d AS (SELECT doc_id, (len(h) // 2 + 1)::BIGINT AS size, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(t[xor(c % 256, x) + 1], c // 256)), 4294967295)::BIGINT AS text_crc32 FROM b CROSS JOIN ct),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id, text_crc32, size) - 1 AS row_no, count(*) OVER () AS n FROM d),
+s AS (SELECT row_no, n, greatest(1, (CASE WHEN n <= 1 THEN 2 ELSE length(bin(greatest(n - 1, 1))) + 1 END) // 2)::INT AS half, row_no::UBIGINT AS y FROM o),
+w AS ({walk.replace("{src}", "s")} UNION ALL {walk.replace("{src}", "(SELECT * FROM w WHERE y >= n)")})
+SELECT doc_id, size, text_crc32, 'rows' AS law, (y % {shards})::INT AS shard, (y // {shards})::BIGINT AS slot, NULL::INT AS grown_shard, y::BIGINT AS global_slot, row_no FROM o JOIN (SELECT row_no, y FROM w WHERE y < n) USING (row_no)"""
+
+
+OP2 = _sharding()

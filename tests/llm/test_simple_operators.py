@@ -277,3 +277,17 @@ def test_every_query_reads_tables_without_rows(spark, tmp_path, name):
     for t in ("documents", "benchmark", "labels", "embeddings"):
         spark.read.parquet(f"{SF}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.queries()[name](spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, name):
+    from tests.oracle import compare
+
+    assert compare(spark, queries.queries()[name], queries.oracle_sql()[name], SF) is None
+
+
+def test_quality_hears_repetition(spark):
+    """Words said over and over are no quality, in words that no labelled row has."""
+    said = quality.term_counts("Vorp vorp is. " + "zzub " * 60)
+    plain = quality.term_counts(" ".join(f"zub{i}" for i in range(60)))
+    assert said[quality.HASHED :].sum() > 10 * quality.STEP_COUNT > plain[quality.HASHED :].sum()
