@@ -64,34 +64,66 @@ def bands(permutations: int = PERMUTATIONS, threshold: float = THRESHOLD) -> lis
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def near_pairs(sigs: DataFrame, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS) -> DataFrame:
-    """(a, b, est) for all a < b of distinct signatures whose estimate reaches the threshold; exact, by an equi-join on bands."""
+def _cells(sigs: DataFrame, threshold: float, permutations: int) -> DataFrame:
+    """(doc_id, band, key): the bands of each signature."""
     keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice("sig", first + 1, n)).alias("key")) for i, (first, n) in enumerate(bands(permutations, threshold))])
-    cells = sigs.select("doc_id", F.explode(keys).alias("cell")).select("doc_id", "cell.band", "cell.key")
-    left, right = cells.alias("l"), cells.alias("r")
-    on = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.doc_id") < F.col("r.doc_id"))
-    cand = left.join(right, on).select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
+    return sigs.select("doc_id", F.explode(keys).alias("cell")).select("doc_id", "cell.band", "cell.key")
+
+
+def _verified(cand: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     both = cand.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
     return both.select("a", "b", estimate(F.col("sa"), F.col("sb")).alias("est")).where(F.col("est") >= threshold)
 
 
-def greedy_dedup(docs: DataFrame, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
+def _pairs(cells: DataFrame) -> DataFrame:
+    left, right = cells.alias("l"), cells.alias("r")
+    on = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.doc_id") < F.col("r.doc_id"))
+    return left.join(right, on).select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
+
+
+def near_pairs(sigs: DataFrame, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS) -> DataFrame:
+    """(a, b, est) for all a < b whose estimate reaches the threshold; exact, by an equi-join on bands. The result itself is all pairs of a group."""
+    return _verified(_pairs(_cells(sigs, threshold, permutations)), sigs, threshold)
+
+
+#: Band pairs per band entry up to which all pairs are joined; above, leaders thin the bands out first.
+PAIRS_PER_CELL = 20
+
+
+def greedy_dedup(docs: DataFrame, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, seed: int = SEED, pairs_per_cell: float = PAIRS_PER_CELL) -> DataFrame:
     """(doc_id, kept) as a pass in the order of doc_id gives it: dropped if near any document kept before.
 
     Documents of one signature: all but the first are dropped whatever happens to it, for
-    what drops it drops them too; so only firsts are joined. Then, until nothing is open: a
-    document with a kept smaller neighbour is dropped, one without an open or kept
-    smaller neighbour is kept. Rounds follow the longest chain of alternating decisions.
+    what drops it drops them too; so only firsts are joined. While bands are crowded,
+    leaders go first: a document that is the smallest open one in all its bands has no
+    open smaller neighbour, so it is kept, and drops its matches in these bands. This
+    takes a comparison per band entry, so a large group of near copies is not paired up.
+    Then, over all pairs of what is left, until nothing is open: a document with a kept
+    smaller neighbour is dropped, one without an open or kept smaller neighbour is kept.
     """
     sigs = materialise(signatures(docs, permutations, seed), "sigs")
     firsts = materialise(sigs.groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "firsts")
-    edges = materialise(near_pairs(firsts, threshold, permutations).select("a", "b"), "edges")
+    cells = materialise(_cells(firsts, threshold, permutations), "cells")
+    decided = None
+    while True:
+        sizes = cells.groupBy("band", "key").agg(F.count("*").alias("c"), F.min("doc_id").alias("lead"))
+        pairs, entries = sizes.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.sum("c")).first()
+        if (pairs or 0) <= pairs_per_cell * (entries or 0):
+            break
+        led = materialise(cells.join(sizes, ["band", "key"]).select("doc_id", "band", "key", "lead"), "led")
+        free = led.groupBy("doc_id").agg(F.bool_and(F.col("lead") == F.col("doc_id")).alias("free")).where("free").select(F.col("doc_id").alias("lead"))
+        cand = led.where("lead <> doc_id").join(free, "lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+        gone = _verified(cand, firsts, threshold).select(F.col("b").alias("doc_id")).distinct()
+        new = materialise(free.select(F.col("lead").alias("doc_id"), F.lit(1).alias("state")).unionByName(gone.withColumn("state", F.lit(-1))), "decided")
+        decided = new if decided is None else decided.unionByName(new)
+        cells = materialise(cells.join(new.select("doc_id"), "doc_id", "left_anti"), "cells")
+    edges = materialise(_verified(_pairs(cells), firsts, threshold).select("a", "b"), "edges")
     state = materialise(edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).distinct().withColumn("state", F.lit(0)), "state")
     while not state.where("state = 0").isEmpty():
-        seen = edges.join(state.select(F.col("doc_id").alias("a"), F.col("state").alias("sa")), "a").where("sa >= 0")
-        worst = seen.groupBy("b").agg(F.max("sa").alias("top"))
+        worst = edges.join(state.select(F.col("doc_id").alias("a"), F.col("state").alias("sa")), "a").where("sa >= 0").groupBy("b").agg(F.max("sa").alias("top"))
         moved = state.join(worst.withColumnRenamed("b", "doc_id"), "doc_id", "left")
         new = F.when(F.col("state") != 0, F.col("state")).when(F.col("top") == 1, -1).when(F.col("top").isNull(), 1).otherwise(0)
         state = materialise(moved.select("doc_id", new.alias("state")), "state")
-    out = firsts.select("doc_id").join(state, "doc_id", "left").select("doc_id", (F.coalesce("state", F.lit(1)) == 1).alias("kept"))
+    known = state if decided is None else state.unionByName(decided)
+    out = firsts.select("doc_id").join(known, "doc_id", "left").select("doc_id", (F.coalesce("state", F.lit(1)) == 1).alias("kept"))
     return sigs.select("doc_id").join(out, "doc_id", "left").select("doc_id", F.coalesce("kept", F.lit(False)).alias("kept"))

@@ -151,6 +151,7 @@ def test_greedy_dedup_equals_the_sequential_rule(spark):
     want = sequential(docs)
     assert 5 < sum(want.values()) < 90
     assert {r.doc_id: r.kept for r in dedup.greedy_dedup(df).collect()} == want
+    assert {r.doc_id: r.kept for r in dedup.greedy_dedup(df, pairs_per_cell=0.5).collect()} == want  # with leaders
 
 
 def test_bands_leave_no_match_out():
