@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.scratch import broadcast_if_small, materialise, scratch_path
+
+__all__ = ["WordHashes", "arrow_map", "broadcast_if_small", "crc_mod", "hash64", "materialise", "mix64", "number_rows", "scratch_path", "table"]
+
 #: Entries a worker's word cache may hold before it is emptied.
 CACHE_ENTRIES = 400_000
 
@@ -22,43 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if root is None:
-        root = tempfile.mkdtemp(prefix="driftloom-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(f"file://{root}")
-        root = f"file://{root}"
-    return root
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(ids: DataFrame, rows: int) -> DataFrame:
-    """ids, written once, to be broadcast if it has at most `rows` rows; else as it is, for a shuffled join."""
-    ids = materialise(ids, "ids")
-    return F.broadcast(ids) if ids.count() <= rows else ids
-
-
-def discard(*frames: DataFrame) -> None:
-    """Remove tables that materialise() wrote and nothing reads any more."""
-    for df in frames:
-        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
@@ -78,11 +41,6 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
-    """UTF-8 bytes of a text column, without decoding."""
-    return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
-
-
 def hash64(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
@@ -106,10 +64,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def lower_ascii(data: bytes) -> bytes:
-    return data.lower()  # bytes.lower() touches A-Z only
-
-
 def number_rows(df: DataFrame, order: list[str], name: str = "numbered") -> tuple[DataFrame, int]:
     """Gapless global row numbers (column row_no, from 0) in the order of the given columns.
 
