@@ -236,8 +236,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
     found = find_windows(docs, items, window, text_col=text_col, item_col=item_col, item_text=item_text, keep=True)
     found = found.where((F.col("_n_words") == 0) | (F.col("_n_hit") <= F.lit(max_coverage) * F.col("_n_words")))
     names, text_at = docs.columns, docs.columns.index(text_col)
-    blocks = list(_blocks(items, item_col, item_text))
-    shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(blocks[0], window)) if len(blocks) == 1 else None
+    blocks = _blocks(items, item_col, item_text)
+    first, more = next(blocks), next(blocks, None) is not None
+    shared = None if more else docs.sparkSession.sparkContext.broadcast(ItemAutomaton(first, window))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans = batch.column(batch.schema.get_field_index("_spans"))
@@ -260,7 +261,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
                 cols[at] = pa.array(sizes, cols[at].type)
         return pa.RecordBatch.from_arrays(cols, names=names)
 
-    return arrow_map(found, cut, docs.schema)
+    out = arrow_map(found, cut, docs.schema)
+    if more:  # one block's automaton doesn't see windows of another that a cut brings about: look again
+        out = materialise(out, "cut")
+        again = find_windows(out, items, window, text_col=text_col, item_col=item_col, item_text=item_text, keep=True)
+        if not again.where("_n_hit > 0").isEmpty():
+            return decontaminate(out, items, window, 1.0, text_col, item_col, item_text, chars_col)
+    return out
 
 
 def digests(found: DataFrame) -> DataFrame:

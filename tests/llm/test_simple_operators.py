@@ -126,6 +126,18 @@ def test_decontaminate_cuts_and_drops(spark, odd, none):
     assert decontaminate.find_windows(odd, items.where("false")).where("_n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [2_000_000, 3])
+def test_cuts_that_make_windows_are_cut_again(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    docs = spark.createDataFrame([(1, "z a b a b c d c d y"), (2, "a x b")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "b c")], "item_id long, text string")
+    out = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, items, max_coverage=1.0).collect()}
+    assert out == {1: "z\ny", 2: "a x b"}
+    nested = spark.createDataFrame([(1, "q a a b b r")], "doc_id long, text string")
+    left = decontaminate.decontaminate(nested, items, max_coverage=1.0).first().text
+    assert left == "q\nr"
+
+
 # ------------------------------------------------------------ 4: PII
 def brute_pii(text):
     out = []
