@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,6 +62,7 @@ class PieceTokens:
         self.end = self.library.eos_id()
         self.apart = not any(SPACE in p.lstrip(SPACE) for p in map(self.library.id_to_piece, range(self.library.get_piece_size())))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __getstate__(self) -> dict:
         return {"model": self.model}
@@ -69,21 +71,27 @@ class PieceTokens:
         self.__dict__.update(state)
         self._load()
 
-    def _word(self, word: str) -> bytes:
-        data = np.array(self.library.encode(word), np.uint16).tobytes()
-        if len(word) <= 64:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[word] = data
-        return data
-
-    def __call__(self, text: str) -> bytes:
-        """uint16 ids of the text and the end-of-text id."""
-        end = np.uint16(self.end).tobytes()
-        if not text or not self.apart or "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
-            return np.array(self.library.encode(text), np.uint16).tobytes() + end
-        known, word = self.known.get, self._word
-        return b"".join([known(w) or word(w) for w in text.split(" ")]) + end
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """uint16 ids of each text, the end-of-text id last. Words not known yet are encoded together."""
+        split = [t.split(" ") if t and self.apart and "  " not in t and t[0] != " " and t[-1] != " " and SPACE not in t else None for t in texts]
+        known, older, end = self.known, self.older, array("H", [self.end]).tobytes()
+        fresh = set().union(*filter(None, split)) - known.keys()
+        again = fresh & older.keys()
+        known.update((w, older[w]) for w in again)
+        words = list(fresh - again)
+        known.update(zip(words, map(_packed, self.library.encode(words, num_threads=1)), strict=True))
+        odd = iter(self.library.encode([t for t, ws in zip(texts, split, strict=True) if ws is None], num_threads=1))
+        out = [(_packed(next(odd)) if ws is None else b"".join(map(known.__getitem__, ws))) + end for ws in split]
+        for w in words:
+            if len(w) > 64:
+                del known[w]
+        if len(known) > CACHE:  # what is not asked for again goes with the older half
+            self.older, self.known = known, {}
+        return out
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("H", ids).tobytes()
 
 
 def tokenise(docs: DataFrame, tokens: PieceTokens, layout: Layout, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +106,7 @@ def tokenise(docs: DataFrame, tokens: PieceTokens, layout: Layout, id_col: str =
         for i in range(0, len(batch), 512):
             part = batch.slice(i, 512)
             texts = part.column(1).to_pylist()
-            data = [shared.value(t) for t in texts]
+            data = shared.value(texts)
             n = [len(d) // 2 for d in data]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([zlib.crc32(d) for d in data], pa.int64()), pa.array(n, pa.int64()), pa.array([-(-x // layout.length) for x in n], pa.int64()), pa.array([pack(d) for d in data], pa.binary())],

@@ -109,7 +109,7 @@ def library():
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(st.sampled_from(list("abehinorst  \n\t.,ABéü日😀1") + ["the", "ing", "    "]), max_size=40))
+@given(st.lists(st.sampled_from([*"abehinorst  \n\t.,ABéü日😀1", "the", "ing", "    "]), max_size=40).map("".join))
 def test_pieces_equal_the_library(machine, library, text):
     ids = machine.encode(text)
     assert ids.tolist() == library.encode(text) and machine.decode(ids.tolist()) == text
@@ -138,11 +138,7 @@ def test_unigram_weights_take_the_cheapest_path(machine):
 
 
 # ------------------------------------------------------------ 9: token shards
-def test_token_shards(spark, documents):
-    import tiktoken
-
-    words = tokenshards.WordTokens()
-    plain = tiktoken.Encoding("own", pat_str=tokenshards.PATTERN, mergeable_ranks=words.ranks, special_tokens={})
+def test_token_shards(spark, documents, library):
     layout = tokenshards.Layout(length=64, per_shard=500)
     docs = documents.unionByName(documents.where("doc_id < 3"))  # repeated rows
     index, path = tokenshards.write_token_shards(docs, layout=layout)
@@ -156,7 +152,7 @@ def test_token_shards(spark, documents):
         texts.setdefault(r.doc_id, {}).setdefault(r.seq_no, []).append(ids.tolist())
     for d in documents.collect():
         got = [x for k in sorted(texts[d.doc_id]) for x in texts[d.doc_id][k][0]]
-        assert got == [*plain.encode_ordinary(d.text), words.end]
+        assert got == [*library.encode(d.text), library.eos_id()]
         assert all(len(v) == (2 if d.doc_id < 3 else 1) for v in texts[d.doc_id].values())
     again = tokenshards.read_slots(spark, path, layout, 490, 20)  # across a border of shards
     assert [x.tolist() for x in again] == [x.tolist() for x in read[490:510]]
@@ -165,6 +161,14 @@ def test_token_shards(spark, documents):
     assert set(order.permute(np.arange(len(rows))).tolist()) == starts
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"abe  \n\t.é▁😀", "the", "    "]), max_size=20).map("".join))
+def test_tokens_equal_the_library(library, text):
+    if not hasattr(test_tokens_equal_the_library, "tokens"):
+        test_tokens_equal_the_library.tokens = tokenshards.PieceTokens()
+    assert np.frombuffer(test_tokens_equal_the_library.tokens([text])[0], np.uint16).tolist() == [*library.encode(text), library.eos_id()]
+
+
 def test_token_shards_odd_rows(odd, none):
     index, _ = tokenshards.write_token_shards(odd)
     per = {}
