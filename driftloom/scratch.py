@@ -37,3 +37,11 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """df, written once, to be broadcast if it has at most `rows` rows; else as it is, for a shuffled join."""
     df = materialise(df, "side")
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that materialise() gave as df, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
