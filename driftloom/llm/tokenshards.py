@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.scratch import discard
+
 from .common import arrow_map, materialise, number_rows, scratch_path
 from .sharding import Feistel
 
@@ -209,6 +211,10 @@ def write_token_shards(docs: DataFrame, path: str | None = None, tokens: PieceTo
         again = placed.join(copies.select("doc_id", "crc"), ["doc_id", "crc"], "left_semi")
         nth = F.row_number().over(Window.partitionBy("doc_id", "crc").orderBy("n_tokens")) - 1
         placed = placed.join(copies.select("doc_id", "crc"), ["doc_id", "crc"], "left_anti").unionByName(again.withColumn("start", F.col("start") + nth * F.col("n_seq")))
+    if n_docs > BROADCAST_DOCS:  # one shuffled join, not one a group; the tokens stay on disk once
+        placed = materialise(placed.select("doc_id", "n_tokens", "start", "ids"), "placed-tokens")
+        discard(stored)
+        _free(spark)
     shards = max(1, -(-total // layout.per_shard))
     # in groups of shards, so that the shuffle files of one group exist at a time; a group that is there is not written again
     size = -(-shards // GROUPS)
@@ -219,11 +225,16 @@ def write_token_shards(docs: DataFrame, path: str | None = None, tokens: PieceTo
             dealt = records.repartitionById(width, F.col("shard") - first).sortWithinPartitions("slot")
             dealt.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").text(f"{path}/from-{first:08d}")
             del records, dealt
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
+            _free(spark)
     return _sequences(placed, layout, total, payload=False), path
 
 
+def _free(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -169,6 +169,12 @@ def test_tokens_equal_the_library(library, text):
     assert np.frombuffer(test_tokens_equal_the_library.tokens([text])[0], np.uint16).tolist() == [*library.encode(text), library.eos_id()]
 
 
+def test_token_shards_with_a_shuffled_join(odd, monkeypatch):
+    whole = sorted(map(tuple, tokenshards.write_token_shards(odd)[0].collect()))
+    monkeypatch.setattr(tokenshards, "BROADCAST_DOCS", 0)
+    assert sorted(map(tuple, tokenshards.write_token_shards(odd)[0].collect())) == whole
+
+
 def test_token_shards_odd_rows(odd, none):
     index, _ = tokenshards.write_token_shards(odd)
     per = {}
