@@ -15,7 +15,7 @@ from driftloom.scratch import broadcast_if_small, materialise, scratch_path
 __all__ = ["WordHashes", "arrow_map", "broadcast_if_small", "crc_mod", "hash64", "materialise", "mix64", "number_rows", "scratch_path", "table"]
 
 #: Entries a worker's word cache may hold before it is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -132,7 +132,7 @@ def _prefixes(docs: DataFrame, frequencies: np.ndarray, rule: Rule) -> DataFrame
                 s = shingle(t)
                 if not len(s) or (key := class_key(s)) in sent:
                     continue
-                if len(sent) > 500_000:
+                if len(sent) > 100_000:
                     sent.clear()
                 sent.add(key)
                 total = len(s)

@@ -17,7 +17,7 @@ from .common import arrow_map
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Composed units and weights a worker may remember.
-UNITS, PAIRS = 300_000, 1_000_000
+UNITS, PAIRS = 100_000, 200_000
 INF = float("inf")
 _BPE = 2  # model type of the file format; 1 is a unigram model
 _NORMAL, _BYTE, _USER = 1, 6, 4  # piece types of the file format

@@ -20,7 +20,7 @@ HASHED, STEPS, RANK, NEIGHBOURS = 4096, 16, 48, 25
 BUCKETS = HASHED + 2 * STEPS
 #: What a reached step counts: about as much as a term of a long text.
 STEP_COUNT = 400
-BLOCK = 512
+BLOCK = 128
 _CODES: dict[str, np.ndarray] = {}
 
 
