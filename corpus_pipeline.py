@@ -9,6 +9,9 @@ from driftloom.llm import decontaminate, jaccard, pieces, pii, quality
 from driftloom.llm.common import broadcast_if_small, materialise, table
 from driftloom.llm.queries import QUALITY_CUT, quality_model
 
+#: Near copies share four fifths of their five-word shingles; the 4 words and 85 of 100 of op6_near_duplicates hold for that query alone.
+DEDUP_RULE = jaccard.Rule(words=5, num=80, den=100)
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the neighbours' vote does not reject."""
@@ -21,7 +24,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words, and rows without an id, all stay.
     """
-    groups = materialise(jaccard.near_duplicates(docs), "groups")
+    groups = materialise(jaccard.near_duplicates(docs, DEDUP_RULE), "groups")
     gone = broadcast_if_small(groups.where("doc_id <> component_id").select("doc_id").distinct(), jaccard.BROADCAST_IDS)
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -1,6 +1,7 @@
 """Near duplicates, pieces, token shards and the pipeline against brute force, and on odd rows."""
 
 from collections import defaultdict
+from functools import partial
 
 import numpy as np
 import pytest
@@ -208,6 +209,18 @@ def test_pipeline_equals_brute_force(spark, documents):
     assert decontaminate and pii
 
 
+def test_dedup_stage_takes_five_words_and_four_fifths(spark, monkeypatch):
+    """At sf0.01 this rule finds near copies that 4 words and 85 of 100 leave."""
+    monkeypatch.setitem(globals(), "shingle_set", partial(shingle_set, k=5))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {i for i, _, c in brute_components([(r.doc_id, r.text) for r in docs.collect()], 80, 100) if i == c}
+    assert {r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()} == want
+    words = [f"w{k}" for k in range(100)]
+    near = [f"x{k}" if k in (30, 70) else w for k, w in enumerate(words)]  # 86 of 106 five-word shingles, 89 of 105 four-word ones
+    pair = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.dedup_stage(spark, pair, "").collect()] == [1]
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd, none, tmp_path):
     docs = odd.selectExpr("doc_id", "text", "lang", "'s' as source", "cast(length(text) as long) as n_chars", "score", "n_hit")
     spark.createDataFrame([(1, 1), (6, 1), (7, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
