@@ -118,16 +118,27 @@ def tokenise(docs: DataFrame, tokens: PieceTokens, layout: Layout, id_col: str =
     return arrow_map(lean, apply, "doc_id long, crc long, n_tokens long, n_seq long, ids binary")
 
 
+#: What tells documents apart; ids may be null. Rows that agree in it have as many sequences.
+KEY = ["doc_id", "crc", "n_tokens"]
+
+
+def _keyed(rows: DataFrame, others: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows joined with others on KEY, a null id equal to a null id; others may be a broadcast."""
+    there = others.select(*[F.col(c).alias(f"_{c}") for c in KEY], *[c for c in others.columns if c not in KEY])
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("crc") == F.col("_crc")) & (F.col("n_tokens") == F.col("_n_tokens"))
+    return rows.join(there, same, how).drop(*[f"_{c}" for c in KEY])
+
+
 def _starts(tokenised: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, crc, start, copies): the number of each document's first sequence, documents in order of id and crc; and the total.
+    """(doc_id, crc, n_tokens, start): the number of each document's first sequence, documents in order of KEY, null ids first; and the total.
 
-    Equal rows share one entry: the c-th of them starts c * n_seq later.
+    Rows that agree in KEY share one entry: the c-th of them starts c * n_seq later.
     """
-    lean = tokenised.groupBy("doc_id", "crc").agg(F.count("*").alias("copies"), F.first("n_seq").alias("n_seq"))
-    numbered, _ = number_rows(lean.select("doc_id", "crc", (F.col("copies") * F.col("n_seq")).alias("width")), ["doc_id", "crc"], "token-docs")
+    lean = tokenised.groupBy(*KEY).agg(F.count("*").alias("copies"), F.first("n_seq").alias("n_seq"))
+    numbered, _ = number_rows(lean.select(*KEY, (F.col("copies") * F.col("n_seq")).alias("width")), KEY, "token-docs")
     # running sums per block of rows, then block offsets: no window over all rows
     block = F.shiftright("row_no", 16)
-    numbered = materialise(numbered.select("doc_id", "crc", "width", "row_no", block.alias("block")), "token-rows")
+    numbered = materialise(numbered.select(*KEY, "width", "row_no", block.alias("block")), "token-rows")
     sums = sorted((r.block, r.w) for r in numbered.groupBy("block").agg(F.sum("width").alias("w")).collect())  # one row for 65,536 documents
     offset, total = [], 0
     for b, w in sums:
@@ -138,7 +149,7 @@ def _starts(tokenised: DataFrame) -> tuple[DataFrame, int]:
     from pyspark.sql import Window
 
     before = F.coalesce(F.sum("width").over(Window.partitionBy("block").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return numbered.join(F.broadcast(offsets), "block").select("doc_id", "crc", (F.col("offset") + before).alias("start")), total
+    return numbered.join(F.broadcast(offsets), "block").select(*KEY, (F.col("offset") + before).alias("start")), total
 
 
 def _sequences(placed: DataFrame, layout: Layout, total: int, payload: bool, first: int = 0, width: int | None = None) -> DataFrame:
@@ -186,14 +197,14 @@ def write_token_shards(docs: DataFrame, path: str | None = None, tokens: PieceTo
 
     Every text, with the end-of-text id after it, is cut into sequences of layout.length
     ids, the last one filled with PAD. Sequences are numbered by (doc_id, crc32 of the
-    ids, place); a Feistel permutation keyed by layout.key gives each its global slot, so
+    ids, number of ids, place), null ids first; a Feistel permutation keyed by layout.key gives each its global slot, so
     slot s is record s mod per_shard of shard s div per_shard, at a computable byte: a
     reader may stop and go on anywhere. The order depends on the rows and the key alone.
     Spark's committer writes each shard as one file, so lost tasks are redone whole; a run
     that is given the path of one that broke off writes only the groups that lack.
 
-    Null texts have no sequences; an empty text has one, with the end-of-text id. Equal
-    rows have sequences each. An empty table writes an empty folder. Other columns are
+    Null texts have no sequences; an empty text has one, with the end-of-text id. Texts
+    with a null id are written like others. Equal rows have sequences each. An empty table writes an empty folder. Other columns are
     ignored. The index has a row per sequence: shard, slot, global_slot, byte_offset,
     doc_id, seq_no, n_tokens, record_crc32.
     """
@@ -203,14 +214,14 @@ def write_token_shards(docs: DataFrame, path: str | None = None, tokens: PieceTo
     starts, total = _starts(stored)
     starts = materialise(starts, "token-starts")
     n_docs = starts.count()
-    copies = stored.groupBy("doc_id", "crc").count().where("count > 1")
-    placed = stored.join(F.broadcast(starts) if n_docs <= BROADCAST_DOCS else starts, ["doc_id", "crc"])
-    if not copies.isEmpty():  # the c-th of equal rows starts c widths later
+    copies = stored.groupBy(*KEY).count().where("count > 1")
+    placed = _keyed(stored, F.broadcast(starts) if n_docs <= BROADCAST_DOCS else starts)
+    if not copies.isEmpty():  # the c-th of the rows that agree starts c widths later; by their ids, as rows without an id may agree by chance
         from pyspark.sql import Window
 
-        again = placed.join(copies.select("doc_id", "crc"), ["doc_id", "crc"], "left_semi")
-        nth = F.row_number().over(Window.partitionBy("doc_id", "crc").orderBy("n_tokens")) - 1
-        placed = placed.join(copies.select("doc_id", "crc"), ["doc_id", "crc"], "left_anti").unionByName(again.withColumn("start", F.col("start") + nth * F.col("n_seq")))
+        again = _keyed(placed, copies.select(*KEY), "left_semi")
+        nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("ids")) - 1
+        placed = _keyed(placed, copies.select(*KEY), "left_anti").unionByName(again.withColumn("start", F.col("start") + nth * F.col("n_seq")))
     if n_docs > BROADCAST_DOCS:  # one shuffled join, not one a group; the tokens stay on disk once
         placed = materialise(placed.select("doc_id", "n_tokens", "start", "ids"), "placed-tokens")
         discard(stored)

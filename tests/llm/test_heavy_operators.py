@@ -1,5 +1,6 @@
 """Near duplicates, pieces, token shards and the pipeline against brute force, and on odd rows."""
 
+import zlib
 from collections import defaultdict
 from functools import partial
 
@@ -185,6 +186,39 @@ def test_token_shards_odd_rows(odd, none):
     assert tokenshards.write_token_shards(none)[0].count() == 0
 
 
+def texts_of_one_crc(library):
+    """Two texts whose ids, equally many, have one crc32."""
+    words = [p[1:] for p in map(library.id_to_piece, range(2000, 6000)) if p.startswith("▁") and p[1:].isascii() and p[1:].isalpha()]
+    ids, seen, rng = {w: library.encode(w) for w in words}, {}, np.random.default_rng(1)
+    for a, b, c in rng.integers(0, len(words), (600_000, 3)).tolist():
+        text = [words[a], words[b], words[c]]
+        data = np.array([*ids[text[0]], *ids[text[1]], *ids[text[2]], library.eos_id()], np.uint16).tobytes()
+        other = seen.setdefault((zlib.crc32(data), len(data)), text)
+        if other != text:
+            return " ".join(text), " ".join(other)
+    raise AssertionError("no such texts")
+
+
+@pytest.mark.parametrize("most", [tokenshards.BROADCAST_DOCS, 0])
+def test_token_shards_keep_rows_without_an_id(spark, documents, library, monkeypatch, most):
+    """Their texts are in the index and the shards, and record s still starts at s * stride; so do rows that agree in id and crc."""
+    monkeypatch.setattr(tokenshards, "BROADCAST_DOCS", most)
+    layout = tokenshards.Layout(length=64, per_shard=50)
+    few = documents.where("doc_id < 8").select("doc_id", "text")
+    texts = ["no id here", "no id here", "nor here " * 100, None, "", *texts_of_one_crc(library)]
+    rows = few.unionByName(few.where("doc_id < 3").selectExpr("cast(null as bigint) as doc_id", "text")).unionByName(spark.createDataFrame([(None, t) for t in texts], few.schema))
+    index, path = tokenshards.write_token_shards(rows, layout=layout)
+    facts = sorted(index.collect(), key=lambda r: r.global_slot)
+    assert [r.global_slot for r in facts] == list(range(len(facts)))
+    read = [tokenshards.read_slots(spark, path, layout, s, 1)[0].tolist() for s in range(len(facts))]
+    assert [len(x) for x in read] == [r.n_tokens for r in facts]
+    want = []
+    for r in rows.where("text is not null").collect():
+        ids = [*library.encode(r.text), library.eos_id()]
+        want += [(str(r.doc_id), k, ids[64 * k : 64 * k + 64]) for k in range(-(-len(ids) // 64))]
+    assert sorted((str(r.doc_id), r.seq_no, x) for r, x in zip(facts, read, strict=True)) == sorted(want)
+
+
 # ------------------------------------------------------------ the pipeline
 def test_pipeline_equals_brute_force(spark, documents):
     from tests.llm.test_simple_operators import brute_pii, brute_windows  # noqa: F401
