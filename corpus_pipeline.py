@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.llm import decontaminate, jaccard, pieces, pii, quality
-from driftloom.llm.common import broadcast_if_small, materialise, table
+from driftloom.llm.common import broadcast_if_small, materialise, number_rows, table
 from driftloom.llm.queries import QUALITY_CUT, quality_model
 
 #: Near copies share four fifths of their five-word shingles; the 4 words and 85 of 100 of op6_near_duplicates hold for that query alone.
@@ -20,18 +20,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id, and of rows with one id one row.
+    """Of each group of near duplicates the document with the smallest id, and of equal rows one.
 
-    Documents without words, and rows without an id, all stay.
+    Rows that share an id but not their texts are documents of their own: each stays or
+    goes by its own text, and of linked ones the first by id and digest stays. Documents
+    without words, and rows without an id, all stay.
     """
-    groups = materialise(jaccard.near_duplicates(docs, DEDUP_RULE), "groups")
-    gone = broadcast_if_small(groups.where("doc_id <> component_id").select("doc_id").distinct(), jaccard.BROADCAST_IDS)
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    repeated = broadcast_if_small(repeated, jaccard.BROADCAST_IDS)
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    rows, key = (docs, "doc_id") if repeated.isEmpty() else (_with_keys(docs), "_key")
+    groups = materialise(jaccard.near_duplicates(rows, DEDUP_RULE, id_col=key), "groups")
+    gone = broadcast_if_small(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), jaccard.BROADCAST_IDS)
+    return rows.join(gone, key, "left_anti").select(docs.columns)
+
+
+def _with_keys(docs: DataFrame) -> DataFrame:
+    """The rows with a number _key in the order of doc_id and digest, equal rows once; rows without an id have none and all stay."""
+    digest = F.sha2(F.to_json(F.struct(*docs.columns)), 256)
+    named = materialise(docs.where("doc_id is not null").withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"]), "dedup-rows")
+    numbers, _ = number_rows(named.select("doc_id", "_digest"), ["doc_id", "_digest"], "dedup-numbers")
+    keyed = named.join(numbers.select("doc_id", "_digest", F.col("row_no").alias("_key")), ["doc_id", "_digest"])
+    return materialise(keyed.select(*docs.columns, "_key").unionByName(docs.where("doc_id is null").withColumn("_key", F.lit(None).cast("long"))), "dedup-keyed")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -255,6 +255,14 @@ def test_dedup_stage_takes_five_words_and_four_fifths(spark, monkeypatch):
     assert [r.doc_id for r in corpus_pipeline.dedup_stage(spark, pair, "").collect()] == [1]
 
 
+def test_dedup_stage_judges_rows_of_one_id_by_their_own_texts(spark):
+    words = [" ".join(f"{p}{k}" for k in range(40)) for p in "abcd"]
+    rows = [(1, words[0], "x"), (2, words[0], "x"), (2, words[1], "x"), (2, words[2], "x"), (3, words[2], "x"), (3, words[3], "x"), (3, words[3], "x"), (4, "", "x"), (4, None, "x"), (None, words[0], "x"), (None, words[0], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    kept = sorted(map(str, map(tuple, corpus_pipeline.dedup_stage(spark, df, "").collect())))
+    assert kept == sorted(map(str, [rows[0], rows[2], rows[3], rows[5], rows[7], rows[8], rows[9], rows[10]]))
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd, none, tmp_path):
     docs = odd.selectExpr("doc_id", "text", "lang", "'s' as source", "cast(length(text) as long) as n_chars", "score", "n_hit")
     spark.createDataFrame([(1, 1), (6, 1), (7, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
