@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions.numeric import relative_change
-from driftloom.operators.vectors import collect_base, map_against
+from driftloom.operators import vectors
+from driftloom.operators.vectors import Base, map_against, parts
 
 #: The bandwidth grids, the percentile of the tail.
 GRID = tuple(float(x) for x in np.logspace(-2, math.log10(2), 15))
@@ -20,31 +21,36 @@ TAIL = 0.05
 
 @dataclass
 class Kde:
-    ids: np.ndarray
-    points: np.ndarray
+    base: Base
     bandwidth: float
 
     @classmethod
     def fit(cls, train: DataFrame, bandwidth: float | str = "scott", vec: str = "vec") -> Kde:
-        """train: a bounded sample (its size is checked). 'scott' is n ** (-1 / (d + 4))."""
-        ids, points = collect_base(train, vec)
+        """'scott' is n ** (-1 / (d + 4))."""
+        base = Base(train, vec)
         if bandwidth == "scott":
-            bandwidth = len(points) ** (-1 / (points.shape[1] + 4))
-        return cls(ids, points, float(bandwidth))
+            bandwidth = base.n ** (-1 / (base.dims + 4))
+        return cls(base, float(bandwidth))
 
     def log_norm(self, h: float) -> float:
-        n, d = self.points.shape
-        return -math.log(n) - d * math.log(h) - d / 2 * math.log(2 * math.pi)
+        return _log_norm(self.base.n, self.base.dims, h)
+
+
+def _log_norm(n: int, d: int, h: float) -> float:
+    return -math.log(n) - d * math.log(h) - d / 2 * math.log(2 * math.pi)
 
 
 def log_likelihood(df: DataFrame, kde: Kde, vec: str = "vec", keep: tuple[str, ...] = (), keep_schema: str = "") -> DataFrame:
-    """(id, keep.., ll): rows in blocks against the broadcast training points."""
+    """(id, keep.., ll): rows against the training points, block by block; logarithms of sums are merged."""
     h, norm = kde.bandwidth, kde.log_norm(kde.bandwidth)
 
-    def fn(ids, x, bi, b):
-        return {"ll": _kernel(_squares(x, b), h) + norm}
+    def fn(own, x, block, old):
+        ll = np.full(len(x), -np.inf) if old is None else old["ll"].astype(np.float64)
+        for _, b in parts(block[:2], vectors.CELLS // len(x)):
+            ll = np.logaddexp(ll, _kernel(_squares(x, b), h))
+        return {"ll": ll}
 
-    return map_against(df, (kde.ids, kde.points), fn, f"id long, {keep_schema}ll double", vec, keep)
+    return map_against(df, kde.base, fn, "ll double", vec, keep, keep_schema).withColumn("ll", F.col("ll") + F.lit(norm))
 
 
 def _squares(x: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -60,27 +66,27 @@ def _kernel(d2: np.ndarray, h: float) -> np.ndarray:
 def bandwidth_scores(df: DataFrame, folds: int = 5, grid: tuple[float, ...] = GRID, vec: str = "vec", seed: int = 42) -> DataFrame:
     """(bandwidth, score): mean over folds of the summed held-out log-likelihood. One distance matrix serves the whole grid.
 
-    df needs a column fold (0 .. folds - 1) and is a bounded sample.
+    df needs a column fold (0 .. folds - 1). A fold without training points has no score.
     """
-    sample = df.select("id", vec, "fold")
-    fold_of = {r["id"]: r["fold"] for r in sample.select("id", "fold").collect()}  # ids of the bounded sample
-    ids, points = collect_base(sample, vec)
-    fold = np.array([fold_of[i] for i in ids])
-    d = points.shape[1]
-
-    def fn(i, x, bi, b):
-        own = np.array([fold_of[k] for k in i])
-        d2, out = _squares(x, b), {}
-        for g, h in enumerate(grid):
-            ll = np.empty(len(x))
-            for f in np.unique(own):
-                rows, train = own == f, fold != f
-                ll[rows] = _kernel(d2[np.ix_(rows, train)], h) - math.log(train.sum()) - d * math.log(h) - d / 2 * math.log(2 * math.pi)
-            out[f"h{g}"] = ll
+    base = Base(df, vec, ("fold",))
+    held = {r["fold"]: r["count"] for r in df.groupBy("fold").count().collect()}  # a row a fold
+    names = [f"h{g}" for g in range(len(grid))]
+
+    def fn(own, x, block, old):
+        out = {c: np.full(len(x), -np.inf) if old is None else old[c].astype(np.float64) for c in names}
+        for _, b, of in parts(block, vectors.CELLS // len(x)):
+            d2 = _squares(x, b)
+            for f in np.unique(own["fold"]):
+                rows, train = own["fold"] == f, of != f
+                if train.any():
+                    near = d2[np.ix_(rows, train)]
+                    for c, h in zip(names, grid, strict=True):
+                        out[c][rows] = np.logaddexp(out[c][rows], _kernel(near, h))
         return out
 
-    wide = map_against(sample, (ids, points), fn, "id long, fold int, " + ", ".join(f"h{g} double" for g in range(len(grid))), vec, ("fold",))
-    sums = wide.groupBy("fold").agg(*[F.sum(f"h{g}").alias(f"h{g}") for g in range(len(grid))])
+    wide = map_against(df, base, fn, ", ".join(f"{c} double" for c in names), vec, ("fold",), "fold int, ")
+    norms = F.create_map(*[F.lit(x) for f, m in held.items() if m < base.n for x in (f, [_log_norm(base.n - m, base.dims, h) for h in grid])])
+    sums = wide.withColumn("_norm", norms[F.col("fold")]).groupBy("fold").agg(*[F.sum(F.col(c) + F.col("_norm")[g]).alias(c) for g, c in enumerate(names)])
     long = sums.select(F.explode(F.array(*[F.struct(F.lit(h).alias("bandwidth"), F.col(f"h{g}").alias("s")) for g, h in enumerate(grid)])).alias("x")).select("x.*")
     return long.groupBy("bandwidth").agg(F.avg("s").alias("score"))
 

@@ -13,8 +13,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of baseline vectors that may be broadcast.
+from driftloom.scratch import materialise
+
+#: Bytes of baseline vectors that a broadcast may hold; larger baselines are taken in blocks, one after another.
 BASE_BYTES = 256 << 20
+#: Numbers that an array of differences or distances may hold in a worker.
+CELLS = 1 << 23
 
 
 class Embedder(Protocol):
@@ -85,40 +89,76 @@ def variance_dim(df: DataFrame, dims: int, share: float = 0.95, vec: str = "vec"
     return int(np.searchsorted(np.cumsum(fit_pca(df, dims, vec)["ratios"]), share) + 1)
 
 
-def collect_base(base: DataFrame, vec: str = "vec") -> tuple[np.ndarray, np.ndarray]:
-    """Baseline ids and vectors, after a check of their size."""
-    dim = base.select(F.size(vec).alias("n")).first()
-    size = base.count() * ((dim["n"] if dim else 0) * 8 + 8)
-    if size > BASE_BYTES:
-        raise ValueError(f"a baseline of {size} bytes is too large to broadcast; sample it, as the reference semantics do")
-    rows = as_double(base.select("id", vec), vec).orderBy("id").toPandas()
-    return rows["id"].to_numpy(), np.array(rows[vec].tolist(), dtype=np.float64).reshape(len(rows), -1)
+class Base:
+    """A baseline of any size: frame (id, keep.., vec), n rows of dims numbers; iterating gives blocks (ids, vectors, *keep) that may be broadcast."""
+
+    def __init__(self, df: DataFrame, vec: str = "vec", keep: Sequence[str] = ()):
+        self.frame, self.keep = as_double(df.select("id", *keep, F.col(vec).alias("vec"))), keep
+        first = self.frame.select(F.size("vec").alias("n")).first()
+        self.n, self.dims = self.frame.count(), first["n"] if first else 0
+        self.blocks = max(1, -(-self.n * (self.dims * 8 + 8) // BASE_BYTES))
+        if self.blocks > 1:
+            self.frame = materialise(self.frame.withColumn("_place", F.monotonically_increasing_id()), "base")
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, ...]]:
+        for k in range(self.blocks):
+            part = self.frame if self.blocks == 1 else self.frame.where(F.pmod(F.xxhash64("_place"), F.lit(self.blocks)) == k)
+            rows = part.orderBy("id").toPandas()
+            points = np.array(rows["vec"].tolist(), dtype=np.float64).reshape(len(rows), self.dims)
+            yield rows["id"].to_numpy(), points, *[rows[c].to_numpy() for c in self.keep]
+
+
+def parts(block: tuple[np.ndarray, ...], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The block in slices of so many rows."""
+    for a in range(0, len(block[0]), max(1, width)):
+        yield tuple(c[a : a + max(1, width)] for c in block)
+
 
+def map_against(df: DataFrame, base: Base, fn: Callable[[dict[str, np.ndarray], np.ndarray, tuple[np.ndarray, ...], dict[str, np.ndarray] | None], dict], schema: str, vec: str = "vec", keep: Sequence[str] = (), keep_schema: str = "") -> DataFrame:
+    """(id, keep.., schema): rows, 512 at a time, against the broadcast blocks of the baseline, one after another.
 
-def map_against(df: DataFrame, base: tuple[np.ndarray, np.ndarray], fn: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict], schema: str, vec: str = "vec", keep: Sequence[str] = ()) -> DataFrame:
-    """Rows in blocks of 512 against the broadcast baseline: fn(ids, rows, base ids, base rows) gives result columns."""
-    shared = df.sparkSession.sparkContext.broadcast(base)
-    cols = ["id", *keep]
+    fn(columns, vectors, block, old) gives the schema's columns; old has what the blocks before gave, None at first.
+    """
+    cols, found = ["id", *keep], [c.split()[0] for c in schema.split(", ")]
+    frame = as_double(df.select(*cols, F.col(vec).alias("vec")))
+    for k, block in enumerate(base):
+        shared, last = df.sparkSession.sparkContext.broadcast(block), k == base.blocks - 1
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared, first=k == 0, last=last) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for i in range(0, len(f), 512):
+                    part = f.iloc[i : i + 512]
+                    own = {c: part[c].to_numpy() for c in cols}
+                    x = np.array(part["vec"].tolist(), dtype=np.float64)
+                    out = fn(own, x, shared.value, None if first else {c: part[c].to_numpy() for c in found})
+                    yield pd.DataFrame(own | ({} if last else {"vec": part["vec"].to_numpy()}) | out)
+
+        frame = frame.mapInPandas(run, f"id long, {keep_schema}{'' if last else 'vec array<double>, '}{schema}")
+        if not last:
+            frame = materialise(frame, "against")
+            shared.unpersist()
+    return frame
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for i in range(0, len(f), 512):
-                part = f.iloc[i : i + 512]
-                x = np.array(part[vec].tolist(), dtype=np.float64)
-                yield pd.DataFrame({c: part[c].to_numpy() for c in cols} | fn(part["id"].to_numpy(), x, *shared.value))
 
-    return as_double(df.select(*cols, vec), vec).mapInPandas(run, schema)
+def _two_least(old: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.sort(np.partition(np.concatenate([old, d], axis=1), 1, axis=1)[:, :2], axis=1)
 
 
-def nearest_two(df: DataFrame, base: tuple[np.ndarray, np.ndarray], vec: str = "vec", keep: Sequence[str] = (), keep_schema: str = "") -> DataFrame:
+def _old_pair(n: int, old: dict[str, np.ndarray] | None, a: str, b: str) -> np.ndarray:
+    return np.full((n, 2), np.inf) if old is None else np.stack([old[a], old[b]], axis=1).astype(np.float64)
+
+
+def nearest_two(df: DataFrame, base: Base, vec: str = "vec", keep: Sequence[str] = (), keep_schema: str = "") -> DataFrame:
     """(id, keep.., d1, d2): distances to the two nearest baseline rows."""
+    n, dims = base.n, base.dims
 
-    def fn(ids, x, bi, b):
-        d = np.sqrt(np.maximum(((x[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0)) if len(b) * x.shape[1] * len(x) < 2e7 else np.sqrt(np.maximum((x**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * x @ b.T, 0))
-        near = np.partition(d, min(1, d.shape[1] - 1), axis=1)
-        return {"d1": near[:, 0], "d2": near[:, min(1, d.shape[1] - 1)]}
+    def fn(own, x, block, old):
+        near, exact = _old_pair(len(x), old, "d1", "d2"), n * dims * len(x) < 2e7
+        for _, b in parts(block[:2], len(block[0]) if exact else CELLS // len(x)):
+            near = _two_least(near, np.sqrt(((x[:, None, :] - b[None, :, :]) ** 2).sum(axis=2) if exact else np.maximum((x**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * x @ b.T, 0)))
+        return {"d1": near[:, 0], "d2": near[:, min(1, n - 1)]}
 
-    return map_against(df, base, fn, f"id long, {keep_schema}d1 double, d2 double", vec, keep)
+    return map_against(df, base, fn, "d1 double, d2 double", vec, keep, keep_schema)
 
 
 def nn_coverage(gen: DataFrame, base: DataFrame, percentile: float = 0.9, vec: str = "vec") -> DataFrame:
@@ -128,9 +168,9 @@ def nn_coverage(gen: DataFrame, base: DataFrame, percentile: float = 0.9, vec: s
     fewer than 10 baseline or 2 generated rows.
     """
     spark = gen.sparkSession
-    b = collect_base(base, vec)
+    b = Base(base, vec)
     n = gen.count()
-    if len(b[0]) < 10 or n < 2:
+    if b.n < 10 or n < 2:
         return spark.createDataFrame([(0.0, 0.0, n)], "threshold double, coverage double, n long")
     limit = nearest_two(base, b, vec).agg(F.percentile("d2", F.lit(percentile)).alias("threshold"))
     found = nearest_two(gen, b, vec).crossJoin(F.broadcast(limit))  # limit is one row
@@ -138,21 +178,20 @@ def nn_coverage(gen: DataFrame, base: DataFrame, percentile: float = 0.9, vec: s
 
 
 def two_nn_dim(df: DataFrame, vec: str = "vec", discard: float = 0.1) -> DataFrame:
-    """Two-nearest-neighbour dimension of a bounded sample: fit of -ln(1 - F) on ln(r2 / r1) through the origin, without the top share."""
+    """Two-nearest-neighbour dimension: fit of -ln(1 - F) on ln(r2 / r1) through the origin, without the top share."""
     from pyspark.sql import Window
 
-    b = collect_base(df, vec)
-    ids, x = b
-
-    def fn(i, rows, bi, base):
-        d = np.sqrt(((rows[:, None, :] - base[None, :, :]) ** 2).sum(axis=2))
-        d[i[:, None] == bi[None, :]] = np.inf
-        near = np.sort(np.partition(d, 1, axis=1)[:, :2], axis=1)
+    def fn(own, x, block, old):
+        near = _old_pair(len(x), old, "r1", "r2")
+        for bi, b in parts(block[:2], CELLS // max(1, x.size)):
+            d = np.sqrt(((x[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+            d[own["id"][:, None] == bi[None, :]] = np.inf
+            near = _two_least(near, d)
         return {"r1": near[:, 0], "r2": near[:, 1]}
 
-    mu = map_against(df, b, fn, "id long, r1 double, r2 double", vec).where("r1 > 0").select(F.log(F.col("r2") / F.col("r1")).alias("lm"))
+    mu = map_against(df, Base(df, vec), fn, "r1 double, r2 double", vec).where("r1 > 0").select(F.log(F.col("r2") / F.col("r1")).alias("lm"))
     n = F.count("*").over(Window.partitionBy())
-    ranked = mu.select("lm", F.row_number().over(Window.orderBy("lm")).alias("i"), n.alias("n"))  # a sample that fits the driver
+    ranked = mu.select("lm", F.row_number().over(Window.orderBy("lm")).alias("i"), n.alias("n"))  # one number a row
     kept = ranked.where(F.col("i") <= F.floor(F.col("n") * (1 - discard))).withColumn("y", -F.log(1 - F.col("i") / F.col("n")))
     return kept.agg((F.sum(F.col("lm") * F.col("y")) / F.sum(F.col("lm") ** 2)).alias("dim"), F.count("*").alias("n"))
 

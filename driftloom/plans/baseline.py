@@ -80,7 +80,7 @@ class Baseline:
             rows = [(i, [float(x) for x in c], float(r)) for i, (c, r) in enumerate(zip(self.pca["components"], self.pca["ratios"], strict=True))] + [(-1, [float(x) for x in self.pca["mean"]], 0.0)]
             write_table(spark.createDataFrame(rows, "k int, w array<double>, ratio double"), f"{path}/pca")
         if self.kde:
-            write_table(spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(self.kde.ids, self.kde.points, strict=True)], "id long, vec array<double>"), f"{path}/kde")
+            write_table(self.kde.base.frame.select("id", "vec"), f"{path}/kde")
         write_record(spark, self.meta, f"{path}/manifest")
 
     @classmethod

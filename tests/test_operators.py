@@ -255,6 +255,22 @@ def test_kde_equals_the_sum_of_kernels(spark):
 
 
 # ------------------------------------------------------------ perplexity
+def test_baselines_of_several_blocks_give_the_same(spark, monkeypatch):
+    """What once was too large to broadcast; slices within a worker are small, too."""
+    from driftloom.plans import queries
+
+    names = ["nn_coverage", "kde_loglik", "tail_mass", "bandwidth_scores", "intrinsic_dim_2nn"]
+    run = lambda: {n: sorted(map(tuple, queries.QUERIES[n](spark, "/root/testdata/sf0.001").collect())) for n in names}
+    whole = run()
+    monkeypatch.setattr(vectors, "BASE_BYTES", 40_000)
+    monkeypatch.setattr(vectors, "CELLS", 20_000)
+    blocks = run()
+    for n in names:
+        assert len(blocks[n]) == len(whole[n])
+        for a, b in zip(blocks[n], whole[n], strict=True):
+            assert a == pytest.approx(b, rel=1e-6), n
+
+
 def test_ppl_forms(spark):
     losses = spark.createDataFrame([(1, p, p / 10) for p in range(1, 41)] + [(2, 1, 1.0)], "doc_id long, pos int, nll double")
     got = {r.doc_id: r.ppl for r in nll.doc_ppl(losses).collect()}
