@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import struct
 from array import array
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -16,62 +18,194 @@ from .common import arrow_map
 #: The piece model of the environment; a parameter of every function here.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Composed units and weights a worker may remember.
+#: Composed units and pair weights a worker may remember.
 UNITS, PAIRS = 100_000, 200_000
 INF = float("inf")
-_BPE = 2  # model type of the file format; 1 is a unigram model
-_NORMAL, _BYTE, _USER = 1, 6, 4  # piece types of the file format
+_UNIGRAM, _BPE = 1, 2  # model types of the file format
+_NORMAL, _UNKNOWN, _BYTE, _USER = 1, 2, 6, 4  # piece types of the file format
+#: What the file format's unigram models add to the weight of a character in no piece, over that of the dearest piece.
+UNKNOWN_GAP = 10.0
+
+
+class Rewriter:
+    """The model's character rules as a transducer: at each place the longest rule is read and what it writes is written."""
+
+    def __init__(self, charsmap: bytes):
+        """charsmap: the file format's double array of rules, and what they write, ended by zeros."""
+        self.arcs: list[dict[str, int]] = [{}]
+        self.writes: list[str | None] = [None]
+        if charsmap:
+            (size,) = struct.unpack_from("<I", charsmap)
+            units, outputs = np.frombuffer(charsmap, "<u4", size // 4, 4), charsmap[4 + size :]
+            for read, at in self._rules(units):
+                end = outputs.index(b"\0", at)
+                self._add(read.decode(), outputs[at:end].decode())
+        self.starts = re.compile("[" + "".join(map(re.escape, self.arcs[0])) + "]") if self.arcs[0] else None
+
+    @staticmethod
+    def _rules(units: np.ndarray) -> list[tuple[bytes, int]]:
+        """(what is read, offset of what is written) of every rule of a double array."""
+        labels, values = units & np.uint32(1 << 31 | 0xFF), units.tolist()
+        offset = lambda u: (u >> 10) << ((u & (1 << 9)) >> 6)
+        found, todo, every = [], [(offset(values[0]), b"")], np.arange(1, 256)
+        while todo:
+            base, read = todo.pop()
+            places = np.minimum(base ^ every, len(units) - 1)
+            for byte in (np.flatnonzero(labels[places] == every) + 1).tolist():
+                to = base ^ byte
+                if to < len(units):
+                    more, nxt = read + bytes([byte]), to ^ offset(values[to])
+                    if values[to] >> 8 & 1:
+                        found.append((more, values[nxt] & 0x7FFFFFFF))
+                    todo.append((nxt, more))
+        return found
 
+    def _add(self, read: str, write: str) -> None:
+        state = 0
+        for ch in read:
+            if ch not in self.arcs[state]:
+                self.arcs.append({})
+                self.writes.append(None)
+                self.arcs[state][ch] = len(self.arcs) - 1
+            state = self.arcs[state][ch]
+        self.writes[state] = write
+
+    def __call__(self, text: str) -> str:
+        if self.starts is None:
+            return text
+        out, at, n = [], 0, len(text)
+        while m := self.starts.search(text, at):
+            out.append(text[at : m.start()])
+            state, k, end, write = 0, m.start(), m.start() + 1, m[0]
+            while k < n and (state := self.arcs[state].get(text[k])) is not None:
+                k += 1
+                if self.writes[state] is not None:
+                    end, write = k, self.writes[state]
+            out.append(write)
+            at = end
+        out.append(text[at:])
+        return "".join(out)
+
+
+class Blanks:
+    """Blanks as a transducer of three states: before the text, in a word, behind blanks that are not written yet.
+
+    Each state's arcs: what a blank writes and where it leads, what goes before any other
+    character, which is written as it is and leads into a word. Where blanks may not be
+    left out, the state in a word is all there is and its arcs come back to it: then
+    composition is a map of characters.
+    """
 
-class PieceMachine:
-    """Normaliser, pieces and byte fallback as one transducer; encoding is its shortest path over an input.
+    BEFORE, WORD, BEHIND = range(3)
+
+    def __init__(self, prefix: bool, squeeze: bool, escape: bool):
+        self.mark = SPACE if escape else " "
+        self.prefix, self.squeeze = self.mark if prefix else "", squeeze
+        if squeeze:
+            self.arcs = {self.BEFORE: ("", self.BEFORE, self.prefix), self.WORD: ("", self.BEHIND, ""), self.BEHIND: ("", self.BEHIND, self.mark)}
+        else:
+            self.arcs = {self.WORD: (self.mark, self.WORD, "")}
+
+    def in_word(self, text: str) -> str:
+        """What the state in a word makes of text where its arcs come back to it."""
+        return text.replace(" ", self.mark)
 
-    The normaliser puts a blank before the text and writes blanks as U+2581. Every piece
-    is a path from the machine's root that reads its characters and writes its id; a
-    character in no piece is read by a byte path that writes the ids of its UTF-8 bytes.
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        if not self.squeeze:
+            return self.prefix + self.in_word(text)
+        state, out = self.BEFORE, []
+        for part in re.findall(" *[^ ]+| +", text):
+            rest = part.lstrip(" ")
+            for _ in range(len(part) - len(rest)):
+                write, state, _ = self.arcs[state]
+                out.append(write)
+            if rest:
+                out += [self.arcs[state][2], rest]
+                state = self.WORD
+        return "".join(out).rstrip(self.mark)
 
-    Unigram models weigh a piece with its negated score, and the tropical shortest path
-    is the encoding. In a merge (BPE) model the weights stand on pairs of pieces: 0 where
-    merging the two pieces' characters gives these two pieces again, infinite elsewhere.
-    A sequence of pieces all of whose pairs weigh 0 is what the merges make of the text,
-    so exactly one path has finite weight, for every prefix too, and it is the shortest.
 
-    Between characters that stand side by side in no piece, paths cannot cross; so the text
-    is composed unit by unit, and units that come again are remembered.
+class PieceMachine:
+    """Normaliser, pieces and byte fallback as one weighted transducer; encoding is the shortest path of its composition with a text.
+
+    The normaliser is two transducers, the model's character rules and its treatment of
+    blanks. The pieces share a prefix tree: from its root, where a piece has just ended,
+    arcs read the characters of a piece; the arc that ends it writes its id, adds its
+    weight and leads to the root again. A character in no piece is read by an arc that
+    writes the ids of its UTF-8 bytes, or the unknown id.
+
+    In unigram models a piece weighs its negated score. In merge (BPE) models the root is
+    split: there is one for each last piece, and a piece weighs 0 after a piece where
+    merging both pieces' characters gives these two pieces again, and is infinitely heavy
+    elsewhere. A sequence all of whose pairs weigh 0 is what the merges make of the text,
+    so every prefix has exactly one path of finite weight. These arcs are made when a
+    path first asks for them.
+
+    The composition's states are places of the text, with the last piece. Its shortest
+    path in the tropical semiring is found best first, of equal weights the farthest
+    place first. Paths cannot cross between characters that stand side by side in no
+    piece; so the text is composed unit by unit, and units that come again are remembered.
     """
 
-    def __init__(self, model_file: str = MODEL_FILE):
+    def __init__(self, model: str | bytes = MODEL_FILE):
+        """model: a model file, or its content. Models with symbols of the user, or blanks behind words, are refused."""
         from sentencepiece import sentencepiece_model_pb2 as pb
 
-        model = pb.ModelProto()
-        with open(model_file, "rb") as f:
-            model.ParseFromString(f.read())
-        self.merges = model.trainer_spec.model_type == _BPE
-        self.prefix = model.normalizer_spec.add_dummy_prefix
-        if model.normalizer_spec.precompiled_charsmap or model.normalizer_spec.remove_extra_whitespaces:
-            raise ValueError("only normalisers that keep characters and blanks are compiled")
+        proto = pb.ModelProto()
+        if isinstance(model, str):
+            with open(model, "rb") as f:
+                model = f.read()
+        proto.ParseFromString(model)
+        if proto.trainer_spec.model_type not in (_UNIGRAM, _BPE) or proto.trainer_spec.treat_whitespace_as_suffix or any(p.type == _USER for p in proto.pieces):
+            raise ValueError("not a unigram or merge model without symbols of the user")
+        self.merges = proto.trainer_spec.model_type == _BPE
+        norm = proto.normalizer_spec
+        self.rewrite = Rewriter(norm.precompiled_charsmap)
+        self.blanks = Blanks(norm.add_dummy_prefix, norm.remove_extra_whitespaces, norm.escape_whitespaces)
         self.ids: dict[str, int] = {}
         self.scores: dict[str, float] = {}
         self.bytes = [0] * 256
-        self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == 2)
+        self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == _UNKNOWN)
         self.out: list[bytes] = []
-        for i, p in enumerate(model.pieces):
+        for i, p in enumerate(proto.pieces):
             data = b""
-            if p.type in (_NORMAL, _USER):
+            if p.type == _NORMAL:
                 self.ids[p.piece], self.scores[p.piece] = i, p.score
                 data = p.piece.replace(SPACE, " ").encode()
             elif p.type == _BYTE:
                 self.bytes[int(p.piece[3:5], 16)] = i
                 data = bytes([int(p.piece[3:5], 16)])
+            elif p.type == _UNKNOWN:
+                data = proto.trainer_spec.unk_surface.encode()
             self.out.append(data)
-        self.fallback = model.trainer_spec.byte_fallback
-        self.longest = max(map(len, self.ids), default=1)
+        self.fallback = proto.trainer_spec.byte_fallback
+        self.wide = len(proto.pieces) > 65535
         # how each piece that merging reaches comes about
         self.traces = {p: t for p in self.ids if (t := self._trace(p))} if self.merges else {}
-        self.wide = len(model.pieces) > 65535
+        self._compile()
         self.unit = self._units()
         self._reset()
 
+    def _compile(self) -> None:
+        """The prefix tree: arcs of each state by character, and the weight of the piece that ends there, or None."""
+        if not self.merges and max(self.scores.values(), default=0.0) > 0:
+            raise ValueError("a piece may not weigh less than nothing")
+        self.lone = UNKNOWN_GAP - min(self.scores.values(), default=0.0)  # weight of a character in no piece
+        self.arcs: list[dict[str, int]] = [{}]
+        self.ends: list[float | None] = [None]
+        for piece in self.traces if self.merges else self.ids:
+            state = 0
+            for ch in piece:
+                to = self.arcs[state].get(ch)
+                if to is None:
+                    to = self.arcs[state][ch] = len(self.arcs)
+                    self.arcs.append({})
+                    self.ends.append(None)
+                state = to
+            self.ends[state] = 0.0 if self.merges else -self.scores[piece]
+
     def _units(self) -> re.Pattern:
         """What is composed alone: a word with the blanks before it, a mark after a letter, a line feed.
 
@@ -79,19 +213,20 @@ class PieceMachine:
         every piece, and no piece may hold a letter followed by one of the marks.
         """
         long = [p for p in self.ids if len(p) > 1]
-        if any(SPACE in p.lstrip(SPACE) for p in long):
-            return re.compile(".*", re.S)
+        if any(SPACE in p.lstrip(SPACE) for p in long) or not self.fallback:  # unknown characters in a row have one id
+            return re.compile(".+", re.S)
         line = "" if any("\n" in p for p in long) else "\n"
         across = {b for p in long for a, b in zip(p, p[1:], strict=False) if a.isascii() and a.isalpha()}
         marks = "".join(re.escape(c) for c in "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~" if c not in across)
-        rest = f"[^{SPACE}{line}{marks}]*"
+        blank = f" {SPACE}"
+        rest = f"[^{blank}{line}{marks}]*"
         more = f"(?:(?<![A-Za-z])[{marks}]{rest})*" if marks else ""
-        return re.compile(f"{SPACE}*[^{SPACE}{line}]{rest}{more}|{SPACE}+" + (f"|{line}" if line else ""))
+        return re.compile(f"[{blank}]*[^{blank}{line}]{rest}{more}|[{blank}]+" + (f"|{line}" if line else ""))
 
     def _reset(self) -> None:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[tuple[str, str], float] = {}
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("known", "older", "pairs")}
@@ -121,23 +256,22 @@ class PieceMachine:
             lasts.append(parts[-1])
         return scores, firsts, lasts
 
-    def _fits(self, left: str, right: str) -> bool:
-        """Whether the pair weighs 0: merging both side by side, no merge ever crosses between them.
+    def pair_weight(self, left: str, right: str) -> float:
+        """Weight of the arc that reads right after left, in a merge model: 0 if no merge ever crosses between them side by side.
 
         Until one crosses, each side merges as it does alone; so both traces are walked
         together, the better next merge first, and what stands at the border is looked up.
         """
-        none = ([], [left], [left])
-        ls, _, ends = self.traces.get(left, none)
-        rs, begins, _ = self.traces.get(right, ([], [right], [right]))
+        ls, _, ends = self.traces.get(left) or ((), (), (left,))
+        rs, begins, _ = self.traces.get(right) or ((), (right,), ())
         i = j = 0
-        fits = True
+        weight = 0.0
         while True:
             a = ls[i] if i < len(ls) else -INF
             b = rs[j] if j < len(rs) else -INF
             cross = self.scores.get(ends[i] + begins[j])
             if cross is not None and (cross > a or i == len(ls)) and (cross >= b or j == len(rs)):
-                fits = False
+                weight = INF
                 break
             if i < len(ls) and (a >= b or j == len(rs)):
                 i += 1
@@ -147,62 +281,60 @@ class PieceMachine:
                 break
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        self.pairs[left, right] = fits
-        return fits
+        self.pairs[left, right] = weight
+        return weight
+
+    def arcs_from(self, unit: str, place: int) -> list[tuple[float, int]]:
+        """(least weight, - place where it ends) of every piece that can be read from place on, the one to try first last."""
+        out, state, arcs, ends = [], 0, self.arcs, self.ends
+        for k in range(place, len(unit)):
+            state = arcs[state].get(unit[k])
+            if state is None:
+                break
+            if (weight := ends[state]) is not None:
+                out.append((weight, ~k))
+        if not out or out[0][1] != ~place:  # the character alone is no piece
+            out.insert(0, (0.0 if self.merges else self.lone, ~place))
+        if not self.merges:
+            out.sort(reverse=True)
+        return out
 
     def best_path(self, unit: str) -> list[str]:
-        """Pieces on the shortest path through the machine composed with unit."""
-        n, longest = len(unit), self.longest
-        if self.merges:
-            return self._finite_path(unit)
-        last: list[str] = [""] * (n + 1)
-        floor = min(self.scores.values(), default=0.0) - 10  # what a character in no piece weighs
-        weight = [0.0] + [INF] * n
-        for end in range(1, n + 1):
-            for begin in range(max(0, end - longest), end):
-                piece = unit[begin:end]
-                score = self.scores.get(piece, floor if end - begin == 1 else None)
-                if score is not None and weight[begin] - score < weight[end]:
-                    weight[end], last[end] = weight[begin] - score, piece
-        path, at = [], n
-        while at:
-            path.append(last[at])
-            at -= len(last[at])
-        return path[::-1]
+        """Pieces on the shortest path through the composition of unit and machine, best first.
 
-    def _finite_path(self, unit: str) -> list[str]:
-        """The one path whose pair weights are all 0: depth first, longest piece first.
-
-        A place that was reached and left without success is never tried again: every
-        prefix has one finite path only, so it can only be reached by the same one.
+        A place that was reached has its least weight, as no arc weighs less than nothing;
+        of a place's arcs one is in the queue at a time, and the pair weights of merges are
+        looked up when their arc's turn comes.
         """
-        if unit in self.traces:
-            return [unit]
-        n, longest, stable, pairs = len(unit), self.longest, self.traces, self.pairs
-        path: list[str] = []
-        dead: set[int] = set()
-        at, size = 0, min(longest, n)
-        while at < n:
-            left = path[-1] if path else None
-            while size:
-                piece = unit[at : at + size]
-                if (size == 1 or piece in stable) and at + size not in dead:
-                    if left is None:
-                        break
-                    fits = pairs.get((left, piece))
-                    if fits or (fits is None and self._fits(left, piece)):
-                        break
-                size -= 1
-            if size:
-                path.append(piece)
-                at += size
-                size = min(longest, n - at)
-            else:
-                dead.add(at)
-                size = len(path.pop())
-                at -= size
-                size -= 1
-        return path
+        n, pairs, back = len(unit), self.pairs if self.merges else None, {0: 0}
+        arcs = self.arcs_from(unit, 0)
+        todo = [(*arcs.pop(), 0, 0.0, arcs)]
+        while todo:
+            weight, end, begin, before, arcs = heappop(todo)
+            if arcs:
+                more, to = arcs.pop()
+                heappush(todo, (before + more, to, begin, before, arcs))
+            end = -end
+            if end in back:
+                continue
+            if pairs is not None and begin:
+                pair = unit[back[begin] : begin], unit[begin:end]
+                more = pairs.get(pair)
+                if more is None:
+                    more = self.pair_weight(*pair)
+                if more:
+                    continue
+            back[end] = begin
+            if end == n:
+                break
+            arcs = self.arcs_from(unit, end)
+            more, to = arcs.pop()
+            heappush(todo, (weight + more, to, end, weight, arcs))
+        path = []
+        while n:
+            path.append(unit[back[n] : n])
+            n = back[n]
+        return path[::-1]
 
     def _compose(self, unit: str) -> bytes:
         found = self.older.get(unit)
@@ -216,13 +348,14 @@ class PieceMachine:
 
     def _ids_of(self, unit: str) -> bytes:
         ids: list[int] = []
-        for piece in self.best_path(unit):
+        line = unit if self.blanks.squeeze else self.blanks.in_word(unit)
+        for piece in [line] if line in self.traces else self.best_path(line):
             i = self.ids.get(piece)
             if i is not None:
                 ids.append(i)
             elif self.fallback:
                 ids += [self.bytes[b] for b in piece.encode()]
-            else:
+            elif not ids or ids[-1] != self.unknown:
                 ids.append(self.unknown)
         return array("I" if self.wide else "H", ids).tobytes()
 
@@ -230,16 +363,25 @@ class PieceMachine:
         """Ids of the whole text; none for null and empty texts."""
         if not text:
             return np.zeros(0, np.int32)
-        line = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+        line = self.rewrite(text)
+        line = self.blanks(line) if self.blanks.squeeze else self.blanks.prefix + line  # else unit by unit
         known, compose = self.known.get, self._compose
         data = b"".join([known(u) or compose(u) for u in self.unit.findall(line)])
         return np.frombuffer(data, np.uint32 if self.wide else np.uint16).astype(np.int32)
 
     def decode(self, ids) -> str:
-        """The text of the ids: blanks again for U+2581, without the one put in front; broken UTF-8 becomes U+FFFD."""
-        out = self.out
-        text = b"".join([out[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        """The text of the ids, by the machine with reading and writing exchanged.
+
+        Blanks again for U+2581, without the one put in front; broken UTF-8 becomes U+FFFD.
+        """
+        parts = list(map(self.out.__getitem__, ids))
+        for k, i in enumerate(ids if self.blanks.prefix or self.blanks.squeeze else ()):  # the blank in front
+            if i == self.unknown or not parts[k].startswith(b" "):
+                break
+            parts[k] = parts[k][1:]
+            if parts[k] or not self.blanks.squeeze:
+                break
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 def encode_pieces(docs: DataFrame, model_file: str = MODEL_FILE, text_col: str = "text", ids_col: str = "piece_ids", check_col: str = "round_trip", machine: PieceMachine | None = None) -> DataFrame:

@@ -131,12 +131,68 @@ def test_pieces_odd_rows(odd, none, library):
     assert pieces.encode_pieces(none).count() == 0
 
 
-def test_unigram_weights_take_the_cheapest_path(machine):
-    m = pieces.PieceMachine.__new__(pieces.PieceMachine)
-    m.__setstate__(machine.__getstate__())
-    m.merges, m.ids = False, {"a": 0, "b": 1, "ab": 2, "abb": 3}
-    m.scores = {"a": -1.0, "b": -1.0, "ab": -1.5, "abb": -4.0}
-    assert m.best_path("abb") == ["ab", "b"]
+def unigram_model(rule, fallback, squeeze):
+    """A made-up unigram model; weights are multiples of a quarter, so that sums of both sides are exact."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = 1, fallback
+    if rule:
+        m.MergeFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = 1, fallback
+    m.normalizer_spec.add_dummy_prefix = m.normalizer_spec.escape_whitespaces = True
+    m.normalizer_spec.remove_extra_whitespaces = squeeze
+    del m.pieces[:]
+    rng = np.random.default_rng(4)
+    special = [("<unk>", 2), ("<s>", 3), ("</s>", 3), *[(f"<0x{b:02X}>", 6) for b in range(256 * fallback)]]
+    for name, kind in special:
+        m.pieces.add(piece=name, score=0, type=kind)
+    for name in ("▁", "a", "b", "c", "é", "f", "i", "1", "ab", "bc", "abc", "▁a", "▁ab", "aa", "fi", "a▁b", "▁▁", "カ"):
+        m.pieces.add(piece=name, score=-float(rng.integers(4, 60)) / 4, type=1)
+    return m.SerializeToString()
+
+
+@pytest.mark.parametrize("rule", [None, "nmt_nfkc"])
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_unigram_models_equal_the_library(rule, fallback, squeeze):
+    """Normaliser, prefix tree, byte fallback and weights end to end."""
+    import sentencepiece
+
+    data = unigram_model(rule, fallback, squeeze)
+    library, m = sentencepiece.SentencePieceProcessor(model_proto=data), pieces.PieceMachine(data)
+    rng = np.random.default_rng(9)
+    bits = ["a", "b", "c", " ", "  ", "é", "e\u0301", "ﬁ", "①", "Ａ", "日", "\t", "\u3000", "ab", "abc", "\u200b", "が", "ｶﾞ", "ｶ"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits, rng.integers(0, 14)))
+        ids = m.encode(text).tolist()
+        assert ids == library.encode(text), text
+        assert m.decode(ids) == library.decode(ids)
+
+
+def test_composition_and_its_shortest_path(machine):
+    """The composition's arcs, by hand; of all paths of a merge model one weighs 0, and it is the one found."""
+    m = pieces.PieceMachine(unigram_model(None, True, False))
+    assert {(~k + 1, w) for w, k in m.arcs_from("abc", 0)} == {(1, -m.scores["a"]), (2, -m.scores["ab"]), (3, -m.scores["abc"])}
+    assert m.arcs_from("日", 0) == [(m.lone, -1)]
+
+    def paths(text):
+        return [[]] if not text else [[text[:n], *rest] for n in range(1, len(text) + 1) if n == 1 or text[:n] in machine.traces for rest in paths(text[n:])]
+
+    for word in ("▁hello", "▁unhappily", "▁zqxv", "tttttt", "▁日é"):
+        light = [p for p in paths(word) if not any(machine.pair_weight(a, b) for a, b in zip(p, p[1:], strict=False))]
+        assert light == [machine.best_path(word)]
+
+
+def test_models_that_are_not_compiled_are_refused():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.ParseFromString(unigram_model(None, True, False))
+    m.pieces.add(piece="<mine>", score=0, type=4)
+    with pytest.raises(ValueError):
+        pieces.PieceMachine(m.SerializeToString())
 
 
 # ------------------------------------------------------------ 9: token shards
