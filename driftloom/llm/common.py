@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from driftloom.scratch import broadcast_if_small, materialise, scratch_path
 
-__all__ = ["WordHashes", "arrow_map", "broadcast_if_small", "crc_mod", "hash64", "materialise", "mix64", "number_rows", "scratch_path", "table"]
+__all__ = ["WordHashes", "arrow_map", "broadcast_if_small", "crc_mod", "free_name", "hash64", "map_batches", "materialise", "mix64", "number_rows", "scratch_path", "table"]
 
+#: Bytes of an Arrow batch; a longer row is a batch of its own.
+BATCH_BYTES = 2 << 20
 #: Entries a worker's word cache may hold before it is emptied.
 CACHE_ENTRIES = 150_000
 
@@ -22,11 +25,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with batches of BATCH_BYTES at most.
+
+    Executors and workers hold a batch at a time, in Arrow's own memory outside the heap;
+    with Spark's default that can be all of a partition. The bound is a setting of the
+    session; a smaller one stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def _give_back() -> None:
+    """Return what a task freed to the system: workers are kept, and Arrow and the C library keep free memory otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema) -> DataFrame:
     """mapInArrow for a function of one batch."""
 
@@ -38,7 +77,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
             else:
                 yield from out
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def hash64(data: bytes) -> int:
