@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, materialise
+from .common import arrow_map, free_name, materialise
 
 #: Item words that one automaton may hold; more items are scanned block after block.
 BLOCK_WORDS = 2_000_000
@@ -178,17 +178,21 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return "\n".join(x for x in out if x)
 
 
-def find_windows(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: bool = False) -> DataFrame:
+#: Columns that find_windows() appends.
+FOUND = ("_n_words", "_n_hit", "_spans", "_items")
+
+
+def find_windows(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: bool = False, names: tuple[str, ...] = FOUND) -> DataFrame:
     """Per document: n_words, n_hit, spans (word intervals hit by item windows), item_ids. keep: all columns of docs stay.
 
     A window is `window` consecutive words of an item, or all of a shorter item. Null
     texts and texts without words have no words and no hits; items without words have no
     windows; an empty item table hits nothing. Repeated items count once per item_id.
-    Other columns are ignored, or kept as they are; with keep, docs must not have columns
-    of the names _n_words, _n_hit, _spans, _items.
+    Other columns are ignored, or kept as they are; names (of the four new columns) must then not be theirs.
+    Items of more than BLOCK_WORDS words are scanned block after block, each over a written copy of the rows.
     """
     spark = docs.sparkSession
-    add = T.StructType([T.StructField("_n_words", T.LongType()), T.StructField("_n_hit", T.LongType()), T.StructField("_spans", T.ArrayType(T.IntegerType())), T.StructField("_items", T.ArrayType(T.StringType()))])
+    add = T.StructType([T.StructField(c, t) for c, t in zip(names, (T.LongType(), T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())), strict=True)])
     frame = docs if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     base, text_at = frame.columns, frame.columns.index(text_col if keep else "text")
     schema = T.StructType([*frame.schema.fields, *add.fields])
@@ -202,13 +206,13 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = 10, id_col: st
             for k, text in enumerate(batch.column(text_at).cast(pa.binary()).to_pylist()):
                 ws = words_of(text) if text else []
                 hit, which = auto.scan(ws)
-                names = {auto.items[i] for i in which}
+                called = {auto.items[i] for i in which}
                 if old is not None and old[0][k]:
                     hit = merge_spans(hit + list(zip(old[0][k][::2], old[0][k][1::2], strict=True)))
-                    names |= set(old[1][k])
+                    called |= set(old[1][k])
                 n_words.append(len(ws))
                 spans.append([x for s in hit for x in s])
-                found.append(sorted(names))
+                found.append(sorted(called))
             return pa.RecordBatch.from_arrays([*batch.columns[: len(base)], pa.array(n_words, pa.int64()), pa.array([sum(x[1::2]) - sum(x[::2]) for x in spans], pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=schema.names)
 
         frame = arrow_map(frame if first else materialise(frame, "windows"), scan, schema)
@@ -233,40 +237,60 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
     that make a window again, the text is scanned and cut anew until it has none.
     chars_col, if given, gets the new length in code points where a text was cut.
     """
-    found = find_windows(docs, items, window, text_col=text_col, item_col=item_col, item_text=item_text, keep=True)
-    found = found.where((F.col("_n_words") == 0) | (F.col("_n_hit") <= F.lit(max_coverage) * F.col("_n_words")))
-    names, text_at = docs.columns, docs.columns.index(text_col)
     blocks = _blocks(items, item_col, item_text)
     first, more = next(blocks), next(blocks, None) is not None
-    shared = None if more else docs.sparkSession.sparkContext.broadcast(ItemAutomaton(first, window))
+    if more:
+        return _decontaminate_blocks(docs, items, window, max_coverage, text_col, item_col, item_text, chars_col)
+    shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(first, window))
+    text_at, chars_at = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col else None
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        auto, changed, kept = shared.value, {}, np.ones(len(batch), bool)
+        for k, text in enumerate(batch.column(text_at).cast(pa.binary()).to_pylist()):
+            words = words_of(text) if text else []
+            spans = auto.scan(words)[0]
+            if spans and sum(b - a for a, b in spans) > max_coverage * len(words):
+                kept[k] = False
+            elif spans:
+                text = text.decode()
+                while spans:
+                    text = cut_words(text, spans)
+                    spans = auto.scan(words_of(text.encode()))[0]
+                changed[k] = text
+        return _with_texts(batch, changed, text_at, chars_at).filter(pa.array(kept))
+
+    return arrow_map(docs, cut, docs.schema)
+
+
+def _with_texts(batch: pa.RecordBatch, changed: dict[int, str], text_at: int, chars_at: int | None) -> pa.RecordBatch:
+    if not changed:
+        return batch
+    cols = list(batch.columns)
+    for at, new in ((text_at, changed), *([(chars_at, {k: len(t) for k, t in changed.items()})] if chars_at is not None else [])):
+        values = cols[at].to_pylist()
+        for k, x in new.items():
+            values[k] = x
+        cols[at] = pa.array(values, cols[at].type)
+    return pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+
+def _decontaminate_blocks(docs: DataFrame, items: DataFrame, window: int, max_coverage: float, text_col: str, item_col: str, item_text: str, chars_col: str | None) -> DataFrame:
+    """As decontaminate(), for items of several blocks: one block's automaton doesn't see windows of another that a cut brings about, so rows are looked at again."""
+    names = tuple(free_name(docs, c) for c in FOUND)
+    found = find_windows(docs, items, window, text_col=text_col, item_col=item_col, item_text=item_text, keep=True, names=names)
+    words, hit = map(F.col, names[:2])
+    found = found.where((words == 0) | (hit <= F.lit(max_coverage) * words))
+    columns, text_at, chars_at = docs.columns, docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col else None
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans = batch.column(batch.schema.get_field_index("_spans"))
-        cols = list(batch.columns[: len(names)])
-        hit = [i for i, x in enumerate(spans.to_pylist()) if x]
-        if hit:
-            texts = cols[text_at].to_pylist()
-            for i in hit:
-                flat = spans[i].as_py()
-                todo = list(zip(flat[::2], flat[1::2], strict=True))
-                while todo:
-                    texts[i] = cut_words(texts[i], todo)
-                    todo = shared.value.scan(words_of(texts[i].encode()))[0] if shared else []
-            cols[text_at] = pa.array(texts, pa.string())
-            if chars_col:
-                at = names.index(chars_col)
-                sizes = cols[at].to_pylist()
-                for i in hit:
-                    sizes[i] = len(texts[i])
-                cols[at] = pa.array(sizes, cols[at].type)
-        return pa.RecordBatch.from_arrays(cols, names=names)
-
-    out = arrow_map(found, cut, docs.schema)
-    if more:  # one block's automaton doesn't see windows of another that a cut brings about: look again
-        out = materialise(out, "cut")
-        again = find_windows(out, items, window, text_col=text_col, item_col=item_col, item_text=item_text, keep=True)
-        if not again.where("_n_hit > 0").isEmpty():
-            return decontaminate(out, items, window, 1.0, text_col, item_col, item_text, chars_col)
+        flat, texts = batch.column(names[2]).to_pylist(), batch.column(text_at).to_pylist()
+        changed = {k: cut_words(texts[k], list(zip(x[::2], x[1::2], strict=True))) for k, x in enumerate(flat) if x}
+        return _with_texts(batch.select(list(range(len(columns)))), changed, text_at, chars_at)
+
+    out = materialise(arrow_map(found, cut, docs.schema), "cut")
+    again = find_windows(out, items, window, text_col=text_col, item_col=item_col, item_text=item_text)
+    if not again.where("_n_hit > 0").isEmpty():
+        return _decontaminate_blocks(out, items, window, 1.0, text_col, item_col, item_text, chars_col)
     return out
 
 
