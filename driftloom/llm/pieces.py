@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 from array import array
+from collections.abc import Iterable
 from heapq import heappop, heappush
 
 import numpy as np
@@ -19,8 +20,9 @@ from .common import arrow_map
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Composed units and pair weights a worker may remember.
-UNITS, PAIRS = 100_000, 200_000
+UNITS, PAIRS = 150_000, 300_000
 INF = float("inf")
+_APART = 1 << 22  # more than twice any code point or id
 _UNIGRAM, _BPE = 1, 2  # model types of the file format
 _NORMAL, _UNKNOWN, _BYTE, _USER = 1, 2, 6, 4  # piece types of the file format
 #: What the file format's unigram models add to the weight of a character in no piece, over that of the dearest piece.
@@ -127,6 +129,25 @@ class Blanks:
         return "".join(out).rstrip(self.mark)
 
 
+def unit_pattern(names: Iterable[str], fallback: bool) -> re.Pattern:
+    """What may be composed alone: a word with the blanks before it, a mark after a letter, a line feed.
+
+    Only where no piece (names) reaches across: blanks must stand in front in every piece,
+    and no piece may hold a letter followed by one of the marks. Without byte fallback,
+    unknown characters in a row have one id, so texts stay whole.
+    """
+    long = [p for p in names if len(p) > 1]
+    if any(SPACE in p.lstrip(SPACE) for p in long) or not fallback:
+        return re.compile(".+", re.S)
+    line = "" if any("\n" in p for p in long) else "\n"
+    across = {b for p in long for a, b in zip(p, p[1:], strict=False) if a.isascii() and a.isalpha()}
+    marks = "".join(re.escape(c) for c in "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~" if c not in across)
+    blank = f" {SPACE}"
+    rest = f"[^{blank}{line}{marks}]*"
+    more = f"(?:(?<![A-Za-z])[{marks}]{rest})*" if marks else ""
+    return re.compile(f"[{blank}]*[^{blank}{line}]{rest}{more}|[{blank}]+" + (f"|{line}" if line else ""))
+
+
 class PieceMachine:
     """Normaliser, pieces and byte fallback as one weighted transducer; encoding is the shortest path of its composition with a text.
 
@@ -185,48 +206,33 @@ class PieceMachine:
         # how each piece that merging reaches comes about
         self.traces = {p: t for p in self.ids if (t := self._trace(p))} if self.merges else {}
         self._compile()
-        self.unit = self._units()
+        self.unit = unit_pattern(self.ids, self.fallback)
         self._reset()
 
     def _compile(self) -> None:
-        """The prefix tree: arcs of each state by character, and the weight of the piece that ends there, or None."""
+        """The prefix tree: a state is its arcs by character and the id of the piece that ends there, or None; weights by id."""
         if not self.merges and max(self.scores.values(), default=0.0) > 0:
             raise ValueError("a piece may not weigh less than nothing")
-        self.lone = UNKNOWN_GAP - min(self.scores.values(), default=0.0)  # weight of a character in no piece
-        self.arcs: list[dict[str, int]] = [{}]
-        self.ends: list[float | None] = [None]
-        for piece in self.traces if self.merges else self.ids:
-            state = 0
-            for ch in piece:
-                to = self.arcs[state].get(ch)
-                if to is None:
-                    to = self.arcs[state][ch] = len(self.arcs)
-                    self.arcs.append({})
-                    self.ends.append(None)
-                state = to
-            self.ends[state] = 0.0 if self.merges else -self.scores[piece]
-
-    def _units(self) -> re.Pattern:
-        """What is composed alone: a word with the blanks before it, a mark after a letter, a line feed.
-
-        Only where no piece of the model reaches across: blanks must stand in front in
-        every piece, and no piece may hold a letter followed by one of the marks.
-        """
-        long = [p for p in self.ids if len(p) > 1]
-        if any(SPACE in p.lstrip(SPACE) for p in long) or not self.fallback:  # unknown characters in a row have one id
-            return re.compile(".+", re.S)
-        line = "" if any("\n" in p for p in long) else "\n"
-        across = {b for p in long for a, b in zip(p, p[1:], strict=False) if a.isascii() and a.isalpha()}
-        marks = "".join(re.escape(c) for c in "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~" if c not in across)
-        blank = f" {SPACE}"
-        rest = f"[^{blank}{line}{marks}]*"
-        more = f"(?:(?<![A-Za-z])[{marks}]{rest})*" if marks else ""
-        return re.compile(f"[{blank}]*[^{blank}{line}]{rest}{more}|[{blank}]+" + (f"|{line}" if line else ""))
+        self.lone = 0.0 if self.merges else UNKNOWN_GAP - min(self.scores.values(), default=0.0)  # weight of a character in no piece
+        self.names = {i: p for p, i in self.ids.items()}
+        self.weights = [0.0] * len(self.out)
+        ends = dict(self.ids.items() if not self.merges else ((p, self.ids[p]) for p in self.traces))
+        if not self.merges:
+            for p, i in ends.items():
+                self.weights[i] = -self.scores[p]
+        begins = {p[:k] for p in ends for k in range(len(p))}
+        none: dict = {}
+        states: dict[str, tuple[dict, int | None]] = {"": ({}, None)}
+        for read in sorted(begins | ends.keys(), key=len):
+            if read:
+                states[read] = ({} if read in begins else none, ends.get(read))
+                states[read[:-1]][0][read[-1]] = states[read]
+        self.root = states[""][0]
 
     def _reset(self) -> None:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], float] = {}
+        self.pairs: dict[int, float] = {}
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("known", "older", "pairs")}
@@ -265,75 +271,78 @@ class PieceMachine:
         ls, _, ends = self.traces.get(left) or ((), (), (left,))
         rs, begins, _ = self.traces.get(right) or ((), (right,), ())
         i = j = 0
-        weight = 0.0
         while True:
             a = ls[i] if i < len(ls) else -INF
             b = rs[j] if j < len(rs) else -INF
             cross = self.scores.get(ends[i] + begins[j])
             if cross is not None and (cross > a or i == len(ls)) and (cross >= b or j == len(rs)):
-                weight = INF
-                break
+                return INF
             if i < len(ls) and (a >= b or j == len(rs)):
                 i += 1
             elif j < len(rs):
                 j += 1
             else:
-                break
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
-        self.pairs[left, right] = weight
-        return weight
-
-    def arcs_from(self, unit: str, place: int) -> list[tuple[float, int]]:
-        """(least weight, - place where it ends) of every piece that can be read from place on, the one to try first last."""
-        out, state, arcs, ends = [], 0, self.arcs, self.ends
+                return 0.0
+
+    def name(self, piece: int) -> str:
+        return self.names[piece] if piece >= 0 else chr(~piece)
+
+    def arcs_from(self, unit: str, place: int) -> list[tuple[float, int, int]]:
+        """(least weight, - place where it ends, piece) of every arc that reads from place on, the one to try first last.
+
+        piece is an id, or the inverted code point of a character that is no piece.
+        """
+        arcs, out, weights = self.root, [], self.weights
         for k in range(place, len(unit)):
-            state = arcs[state].get(unit[k])
+            state = arcs.get(unit[k])
             if state is None:
                 break
-            if (weight := ends[state]) is not None:
-                out.append((weight, ~k))
-        if not out or out[0][1] != ~place:  # the character alone is no piece
-            out.insert(0, (0.0 if self.merges else self.lone, ~place))
+            arcs, piece = state
+            if piece is not None:
+                out.append((weights[piece], ~k, piece))
+        if not out or out[0][1] != ~place:
+            out.insert(0, (self.lone, ~place, ~ord(unit[place])))
         if not self.merges:
             out.sort(reverse=True)
         return out
 
-    def best_path(self, unit: str) -> list[str]:
+    def best_path(self, unit: str) -> list[int]:
         """Pieces on the shortest path through the composition of unit and machine, best first.
 
         A place that was reached has its least weight, as no arc weighs less than nothing;
         of a place's arcs one is in the queue at a time, and the pair weights of merges are
         looked up when their arc's turn comes.
         """
-        n, pairs, back = len(unit), self.pairs if self.merges else None, {0: 0}
-        arcs = self.arcs_from(unit, 0)
-        todo = [(*arcs.pop(), 0, 0.0, arcs)]
-        while todo:
-            weight, end, begin, before, arcs = heappop(todo)
-            if arcs:
-                more, to = arcs.pop()
-                heappush(todo, (before + more, to, begin, before, arcs))
-            end = -end
-            if end in back:
-                continue
-            if pairs is not None and begin:
-                pair = unit[back[begin] : begin], unit[begin:end]
-                more = pairs.get(pair)
-                if more is None:
-                    more = self.pair_weight(*pair)
-                if more:
+        n, pairs, back = len(unit), self.pairs if self.merges else None, {0: (0, 0)}
+        todo: list[tuple] = []
+        place, weight, arcs_from = 0, 0.0, self.arcs_from
+        while place < n:
+            arcs = arcs_from(unit, place)
+            more, end, piece = arcs.pop()
+            heappush(todo, (weight + more, end, place, piece, weight, arcs))
+            while True:
+                weight, end, begin, piece, before, arcs = heappop(todo)
+                if arcs:
+                    more, to, other = arcs.pop()
+                    heappush(todo, (before + more, to, begin, other, before, arcs))
+                if -end in back:
                     continue
-            back[end] = begin
-            if end == n:
+                if pairs is not None and begin:
+                    left = back[begin][1]
+                    more = pairs.get(left * _APART + piece)
+                    if more is None:
+                        if len(pairs) >= PAIRS:
+                            pairs.clear()
+                        more = pairs[left * _APART + piece] = self.pair_weight(self.name(left), self.name(piece))
+                    if more:
+                        continue
                 break
-            arcs = self.arcs_from(unit, end)
-            more, to = arcs.pop()
-            heappush(todo, (weight + more, to, end, weight, arcs))
+            place = -end
+            back[place] = begin, piece
         path = []
         while n:
-            path.append(unit[back[n] : n])
-            n = back[n]
+            n, piece = back[n]
+            path.append(piece)
         return path[::-1]
 
     def _compose(self, unit: str) -> bytes:
@@ -347,14 +356,13 @@ class PieceMachine:
         return found
 
     def _ids_of(self, unit: str) -> bytes:
-        ids: list[int] = []
         line = unit if self.blanks.squeeze else self.blanks.in_word(unit)
-        for piece in [line] if line in self.traces else self.best_path(line):
-            i = self.ids.get(piece)
-            if i is not None:
-                ids.append(i)
+        ids: list[int] = []
+        for piece in [self.ids[line]] if line in self.traces else self.best_path(line):
+            if piece >= 0:
+                ids.append(piece)
             elif self.fallback:
-                ids += [self.bytes[b] for b in piece.encode()]
+                ids += [self.bytes[b] for b in chr(~piece).encode()]
             elif not ids or ids[-1] != self.unknown:
                 ids.append(self.unknown)
         return array("I" if self.wide else "H", ids).tobytes()
