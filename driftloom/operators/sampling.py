@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions.numeric import seeded, seeded_number
+from driftloom.numbering import number_rows
 
 
 def hash_order(df: DataFrame, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
@@ -23,12 +24,10 @@ def sample_exact(df: DataFrame, n: int, seed: int = 42, id_col: str = "doc_id")
     total = df.count()
     if total <= n:
         return df
-    from pyspark.sql import Window
-
     picked = np.sort(np.random.default_rng(seed).choice(total, size=n, replace=False))
-    few = df.sparkSession.createDataFrame([(int(i),) for i in picked], "_place long")
-    ranked = df.withColumn("_place", F.row_number().over(Window.orderBy(F.col(id_col).cast("string"))) - 1)
-    return ranked.join(F.broadcast(few), "_place").drop("_place")
+    few = df.sparkSession.createDataFrame([(int(i),) for i in picked], "row_no long")
+    ranked, _ = number_rows(df.withColumn("_id", F.col(id_col).cast("string")), ["_id"])
+    return ranked.join(F.broadcast(few), "row_no").drop("row_no", "_id")
 
 
 def buckets(df: DataFrame, k: int, seed: int = 42, id_col: str = "doc_id", name: str = "bucket") -> DataFrame:
@@ -40,10 +39,18 @@ def holdout(df: DataFrame, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     return buckets(df, 5, seed + 999, id_col, "_b").withColumn("is_holdout", F.col("_b") == 0).drop("_b")
 
 
-def mixtures(human: DataFrame, synthetic: DataFrame, n: int = 1000, fractions: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0), seed: int = 42, id_col: str = "doc_id") -> DataFrame:
-    """For each fraction int(n * fraction) synthetic rows and the rest human ones, labelled; raises where a pool is too small."""
+def split(df: DataFrame, train: float = 0.6, seed: int = 42, id_col: str = "doc_id", name: str = "is_train") -> DataFrame:
+    """Rows with a mark of those that train, a share of them by a hash of seed and id."""
+    return df.withColumn(name, seeded_number(seed, id_col) % 1000 < int(1000 * train))
+
+
+def mixtures(human: DataFrame, synthetic: DataFrame, n: int = 1000, fractions: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0), seed: int = 42, id_col: str = "doc_id", shrink: bool = False) -> DataFrame:
+    """For each fraction int(n * fraction) synthetic rows and the rest human ones, labelled. Where a pool is too small it raises, or with shrink n is the smaller pool's size."""
     from pyspark.sql import Window
 
+    if shrink:
+        n = min(n, *[df.limit(n).count() for df in (human, synthetic)])
+
     def ranked(df: DataFrame, label: str) -> DataFrame:
         few = sample(df.select(id_col, "text"), n, seed, id_col)
         return few.withColumn("r", F.row_number().over(Window.orderBy(seeded(seed, id_col), id_col))).withColumn("source", F.lit(label))  # n rows

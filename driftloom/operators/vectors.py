@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -13,6 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.numbering import number_rows
 from driftloom.scratch import materialise
 
 #: Bytes of baseline vectors that a broadcast may hold; larger baselines are taken in blocks, one after another.
@@ -148,15 +150,42 @@ def _old_pair(n: int, old: dict[str, np.ndarray] | None, a: str, b: str) -> np.n
     return np.full((n, 2), np.inf) if old is None else np.stack([old[a], old[b]], axis=1).astype(np.float64)
 
 
+def _two_nearest(x: np.ndarray, b: np.ndarray, same: np.ndarray | None = None) -> np.ndarray:
+    """Distances of each row of x to its two nearest rows of b; inf where there are fewer, and for pairs in `same`.
+
+    The expanded square, one product, tells which pairs may be the nearest; their
+    differences are then squared and added, so equal vectors are 0 apart at every size.
+    """
+    x2, b2 = (x**2).sum(1), (b**2).sum(1)
+    d2 = x2[:, None] + b2[None, :] - 2 * x @ b.T
+    if same is not None:
+        d2[same] = np.inf
+    out = np.full((len(x), 2), np.inf)
+    if not b.size:
+        return out
+    limit = np.partition(d2, min(1, len(b) - 1), axis=1)[:, min(1, len(b) - 1)] + 1e-9 * (x2 + b2.max())
+    rows, cols = np.nonzero((d2 <= limit[:, None]) & np.isfinite(d2))
+    exact = np.empty(len(rows))
+    width = max(1, CELLS // x.shape[1])
+    for i in range(0, len(rows), width):
+        exact[i : i + width] = np.sqrt(((x[rows[i : i + width]] - b[cols[i : i + width]]) ** 2).sum(axis=1))
+    order = np.lexsort((exact, rows))
+    rows, exact = rows[order], exact[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    first = place < 2
+    out[rows[first], place[first]] = exact[first]
+    return out
+
+
 def nearest_two(df: DataFrame, base: Base, vec: str = "vec", keep: Sequence[str] = (), keep_schema: str = "") -> DataFrame:
     """(id, keep.., d1, d2): distances to the two nearest baseline rows."""
-    n, dims = base.n, base.dims
+    last = min(1, base.n - 1)
 
     def fn(own, x, block, old):
-        near, exact = _old_pair(len(x), old, "d1", "d2"), n * dims * len(x) < 2e7
-        for _, b in parts(block[:2], len(block[0]) if exact else CELLS // len(x)):
-            near = _two_least(near, np.sqrt(((x[:, None, :] - b[None, :, :]) ** 2).sum(axis=2) if exact else np.maximum((x**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * x @ b.T, 0)))
-        return {"d1": near[:, 0], "d2": near[:, min(1, n - 1)]}
+        near = _old_pair(len(x), old, "d1", "d2")
+        for _, b in parts(block[:2], CELLS // len(x)):
+            near = _two_least(near, _two_nearest(x, b))
+        return {"d1": near[:, 0], "d2": near[:, last]}
 
     return map_against(df, base, fn, "d1 double, d2 double", vec, keep, keep_schema)
 
@@ -179,20 +208,15 @@ def nn_coverage(gen: DataFrame, base: DataFrame, percentile: float = 0.9, vec: s
 
 def two_nn_dim(df: DataFrame, vec: str = "vec", discard: float = 0.1) -> DataFrame:
     """Two-nearest-neighbour dimension: fit of -ln(1 - F) on ln(r2 / r1) through the origin, without the top share."""
-    from pyspark.sql import Window
-
     def fn(own, x, block, old):
         near = _old_pair(len(x), old, "r1", "r2")
-        for bi, b in parts(block[:2], CELLS // max(1, x.size)):
-            d = np.sqrt(((x[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-            d[own["id"][:, None] == bi[None, :]] = np.inf
-            near = _two_least(near, d)
+        for bi, b in parts(block[:2], CELLS // len(x)):
+            near = _two_least(near, _two_nearest(x, b, own["id"][:, None] == bi[None, :]))
         return {"r1": near[:, 0], "r2": near[:, 1]}
 
     mu = map_against(df, Base(df, vec), fn, "r1 double, r2 double", vec).where("r1 > 0").select(F.log(F.col("r2") / F.col("r1")).alias("lm"))
-    n = F.count("*").over(Window.partitionBy())
-    ranked = mu.select("lm", F.row_number().over(Window.orderBy("lm")).alias("i"), n.alias("n"))  # one number a row
-    kept = ranked.where(F.col("i") <= F.floor(F.col("n") * (1 - discard))).withColumn("y", -F.log(1 - F.col("i") / F.col("n")))
+    ranked, n = number_rows(mu, ["lm"], "mu")
+    kept = ranked.withColumn("i", F.col("row_no") + 1).where(F.col("i") <= math.floor(n * (1 - discard))).withColumn("y", -F.log(1 - F.col("i") / F.lit(max(n, 1))))
     return kept.agg((F.sum(F.col("lm") * F.col("y")) / F.sum(F.col("lm") ** 2)).alias("dim"), F.count("*").alias("n"))
 
 
