@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions.text import tokens
+from driftloom.operators.ranktests import spearman
 
 #: Fixed values of the reference semantics.
 COLD_START, TAIL, AT_CAP, SHORT = 16, 5, 130, (50, 70)
@@ -99,9 +100,9 @@ def histogram(df: DataFrame, value: str, bins: int = BINS) -> DataFrame:
     return df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(edge)).groupBy(bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))  # edge is one row
 
 
-def ppl_ratio(ppls: DataFrame, baseline: float = BASELINE_PPL, cap: float = MAX_PPL) -> DataFrame:
-    """One row: mean perplexity of the valid documents below cap, and baseline / mean."""
-    return ppls.where(finite(F.col("ppl")) & (F.col("ppl") < cap)).agg(F.avg("ppl").alias("mean_ppl"), (F.lit(baseline) / F.avg("ppl")).alias("ppl_ratio_vs_baseline"), F.count("*").alias("n_valid"))
+def ppl_ratio(ppls: DataFrame, baseline: float = BASELINE_PPL, cap: float = MAX_PPL, by: Sequence[str] = ()) -> DataFrame:
+    """(by, ..): mean perplexity of the valid documents below cap, and baseline / mean; without `by` one row."""
+    return ppls.where(finite(F.col("ppl")) & (F.col("ppl") < cap)).groupBy(*by).agg(F.avg("ppl").alias("mean_ppl"), (F.lit(baseline) / F.avg("ppl")).alias("ppl_ratio_vs_baseline"), F.count("*").alias("n_valid"))
 
 
 def inversion(ppl_g0: DataFrame, ppl_gk: DataFrame) -> DataFrame:
@@ -158,3 +159,12 @@ def length_bucket(n: Column) -> Column:
 def length_sensitivity(ppls: DataFrame) -> DataFrame:
     """(bucket, n, mean, median, std) of ppl by n_tokens; longer documents have no bucket and drop out."""
     return ppls.withColumn("bucket", length_bucket(F.col("n_tokens"))).where("bucket is not null and ppl is not null").groupBy("bucket").agg(F.count("*").alias("n"), F.avg("ppl").alias("mean_ppl"), F.percentile("ppl", F.lit(0.5)).alias("median_ppl"), F.stddev_pop("ppl").alias("std_ppl"))
+
+
+def length_verdict(ppls: DataFrame, alpha: float = 0.01) -> DataFrame:
+    """One row: Spearman's rho of length and perplexity with p, whether the buckets' means never rise, and whether longer documents are less perplexing (p below alpha, rho negative)."""
+    used = ppls.where(length_bucket(F.col("n_tokens")).isNotNull())
+    low = F.create_map(*[F.lit(x) for a, b in zip(LENGTH_CUTS, LENGTH_CUTS[1:], strict=False) for x in (f"{a}-{b - 1}", a)])
+    means = length_sensitivity(ppls).withColumn("low", low[F.col("bucket")])
+    out = spearman(used, "n_tokens", "ppl").crossJoin(F.broadcast(decreasing(means, "low", "mean_ppl")))  # one row each
+    return out.withColumn("supported", F.coalesce((F.col("p") < alpha) & (F.col("rho") < 0), F.lit(False)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.functions.numeric import normal_tail
+from driftloom.functions.numeric import normal_tail, student_two_sided
 
 
 def mann_whitney(df: DataFrame, value: str, first: Column, by: Sequence[str] = (), alternative: str = "two-sided") -> DataFrame:
@@ -45,7 +45,7 @@ def ks_statistic(df: DataFrame, value: str, first: Column, by: Sequence[str] = (
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, n, rho): correlation of average ranks; rows with a null in either don't count."""
+    """(by, n, rho, p): correlation of average ranks and its two-sided p by Student's distribution; rows with a null in either don't count."""
     rows = df.select(*by, F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null").groupBy(*by, "x", "y").agg(F.count("*").alias("w"))
     out = rows
     for c in ("x", "y"):
@@ -56,7 +56,10 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     n = F.sum(w)
     cov = F.sum(w * a * b) - F.sum(w * a) * F.sum(w * b) / n
     var = (F.sum(w * a * a) - F.sum(w * a) ** 2 / n) * (F.sum(w * b * b) - F.sum(w * b) ** 2 / n)
-    return out.groupBy(*by).agg(F.sum("w").alias("n"), (cov / F.sqrt(F.when(var > 0, var))).alias("rho"))
+    out = out.groupBy(*by).agg(F.sum("w").alias("n"), (cov / F.sqrt(F.when(var > 0, var))).alias("rho"))
+    rest = 1 - F.col("rho") * F.col("rho")
+    t = F.when(F.col("n") > 2, F.when(rest > 1e-12, F.abs("rho") * F.sqrt((F.col("n") - 2) / rest)).otherwise(1e9))
+    return out.withColumn("p", F.when(F.col("rho").isNotNull(), student_two_sided(t, F.col("n") - 2)))
 
 
 def bonferroni(tests: int, alpha: float = 0.01) -> float:

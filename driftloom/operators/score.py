@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions.numeric import clamp01
+from driftloom.operators.ranktests import spearman
 
 #: Signal weights; not derivable from the tests they are named after.
 WEIGHTS = {"lexical_ttr": 0.865, "lexical_kl": 0.865, "ppl_predictability": 0.865, "semantic_coverage": 0.300}
@@ -67,3 +68,9 @@ def index_entry(df: DataFrame, name: str, n_docs: int) -> DataFrame:
         F.struct(*[F.lit(w).alias(k) for k, w in WEIGHTS.items()]).alias("weights"),
         F.array(F.lit("tail mass is left out"), F.lit("the score is no probability")).alias("caveats"),
     )
+
+
+def calibration_verdict(curve: DataFrame, least_rho: float = 0.8, alpha: float = 0.05) -> DataFrame:
+    """One row from (true_synthetic_fraction, composite_index): Spearman's rho with p, and whether the index follows the share of synthetic text."""
+    out = spearman(curve, "true_synthetic_fraction", "composite_index")
+    return out.withColumn("supported", F.coalesce((F.col("rho") > least_rho) & (F.col("p") < alpha), F.lit(False)))

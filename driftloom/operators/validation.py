@@ -31,10 +31,11 @@ def is_current(df: DataFrame, cols: Sequence[str], manifest: dict) -> bool:
     return content_digest(df, cols).first()["digest"] == manifest.get("digest")
 
 
-def reject_accounting(docs: DataFrame, text: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """(by, reason, n, n_long): documents by the first filter that rejects them."""
+def reject_accounting(docs: DataFrame, text: Column | None = None, by: Sequence[str] = (), cap: int = 135) -> DataFrame:
+    """(by, reason, n, n_long): documents by the first filter that rejects them, and how many have more than `cap` tokens and are cut."""
     t = F.coalesce(F.col("text") if text is None else text, F.lit(""))
-    return docs.select(*by, reject_reason(t, tokens(t)).alias("reason")).groupBy(*by, "reason").agg(F.count("*").alias("n"))
+    words = tokens(t)
+    return docs.select(*by, reject_reason(t, words).alias("reason"), F.size(words).alias("size")).groupBy(*by, "reason").agg(F.count("*").alias("n"), F.count_if(F.col("size") > cap).alias("n_long"))
 
 
 def apply_rules(stats: DataFrame, rules: dict = CORPUS_RULES) -> DataFrame:
