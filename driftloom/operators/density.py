@@ -91,6 +91,25 @@ def bandwidth_scores(df: DataFrame, folds: int = 5, grid: tuple[float, ...] = GR
     return long.groupBy("bandwidth").agg(F.avg("s").alias("score"))
 
 
+def held_out_scores(df: DataFrame, grid: tuple[float, ...] = WEB_GRID, vec: str = "vec") -> DataFrame:
+    """(bandwidth, score): summed log-likelihood of the rows that do not train, under those that do; df needs a boolean column is_train."""
+    base = Base(df.where("is_train"), vec)
+    names = [f"h{g}" for g in range(len(grid))]
+
+    def fn(own, x, block, old):
+        out = {c: np.full(len(x), -np.inf) if old is None else old[c].astype(np.float64) for c in names}
+        for _, b in parts(block[:2], vectors.CELLS // len(x)):
+            d2 = _squares(x, b)
+            for c, h in zip(names, grid, strict=True):
+                out[c] = np.logaddexp(out[c], _kernel(d2, h))
+        return out
+
+    wide = map_against(df.where("not is_train"), base, fn, ", ".join(f"{c} double" for c in names), vec)
+    norms = [_log_norm(base.n, base.dims, h) if base.n else 0.0 for h in grid]
+    sums = wide.agg(*[F.sum(F.col(c) + F.lit(x)).alias(c) for c, x in zip(names, norms, strict=True)])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(h).alias("bandwidth"), F.col(c).alias("score")) for c, h in zip(names, grid, strict=True)])).alias("x")).select("x.*")
+
+
 def best_bandwidth(scores: DataFrame) -> float:
     return scores.orderBy(F.col("score").desc(), "bandwidth").first()["bandwidth"]
 
@@ -106,3 +125,12 @@ def tail_mass(gen_ll: DataFrame, base_ll: DataFrame, threshold: float) -> DataFr
     g = gen_ll.agg(F.avg("ll").alias("mean_ll"), F.stddev_pop("ll").alias("std_ll"), below.alias("tail_mass_fraction"))
     b = base_ll.agg(below.alias("baseline_tail_fraction"))
     return g.crossJoin(F.broadcast(b)).withColumn("tail_fraction_rel_change", relative_change(F.col("tail_mass_fraction"), F.col("baseline_tail_fraction")))
+
+
+def tail_by_cohort(ll: DataFrame, by: str, baseline: int = 0, percentile: float = TAIL) -> DataFrame:
+    """(by, n, mean_ll, tail_mass_fraction, rel_change): shares below the percentile of the baseline cohort, whose density ll should be."""
+    limit = tail_threshold(ll.where(F.col(by) == baseline), percentile)
+    below = F.avg((F.col("ll") < F.col("threshold")).cast("double"))
+    out = ll.crossJoin(F.broadcast(limit)).groupBy(by).agg(F.count("*").alias("n"), F.avg("ll").alias("mean_ll"), below.alias("tail_mass_fraction"))  # limit is one row
+    own = out.where(F.col(by) == baseline).select(F.col("tail_mass_fraction").alias("_own"))
+    return out.crossJoin(F.broadcast(own)).withColumn("rel_change", relative_change(F.col("tail_mass_fraction"), F.col("_own"))).drop("_own")
