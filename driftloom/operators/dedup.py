@@ -83,7 +83,8 @@ def _pairs(cells: DataFrame) -> DataFrame:
 
 def near_pairs(sigs: DataFrame, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS) -> DataFrame:
     """(a, b, est) for all a < b whose estimate reaches the threshold; exact, by an equi-join on bands. The result itself is all pairs of a group."""
-    return _verified(_pairs(_cells(sigs, threshold, permutations)), sigs, threshold)
+    sigs = materialise(sigs, "sigs")
+    return _verified(_pairs(materialise(_cells(sigs, threshold, permutations), "cells")), sigs, threshold)
 
 
 #: Band pairs per band entry up to which all pairs are joined; above, leaders thin the bands out first.

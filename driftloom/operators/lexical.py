@@ -159,7 +159,16 @@ def layer(docs: DataFrame, baseline: DataFrame, by: Sequence[str] = (), baseline
 
 def corpus_stats(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Documents, tokens, vocabulary, TTR and the documents' mean, deviation, least and most tokens."""
-    per = doc_stats(docs, *by).groupBy(*by).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.avg("n_tokens").alias("mean_tokens"), F.stddev_pop("n_tokens").alias("std_tokens"), F.min("n_tokens").alias("min_tokens"), F.max("n_tokens").alias("max_tokens"))
-    vocab = token_counts(docs, by).groupBy(*by).agg(F.count("*").alias("n_types"))
-    both = per.join(vocab, list(by), "left") if by else per.crossJoin(vocab)
+    # one pass: a row per word of a document, the first of which also stands for the document
+    t = docs.select(*by, tokens(F.col("text")).alias("_t"))
+    words = t.select(*by, F.size("_t").cast("long").alias("_n"), F.posexplode_outer("_t").alias("_pos", "_w"))
+    first = F.col("_pos").isNull() | (F.col("_pos") == 0)
+    n = F.when(first, F.col("_n"))
+    per_word = words.groupBy(*by, "_w").agg(F.count(n).alias("d"), F.sum(n).alias("s"), F.sum(n * n).alias("q"), F.min(n).alias("lo"), F.max(n).alias("hi"))
+    both = per_word.groupBy(*by).agg(F.coalesce(F.sum("d"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("s"), F.lit(0)).alias("n_tokens"), F.sum("q").alias("q"), F.min("lo").alias("min_tokens"), F.max("hi").alias("max_tokens"), F.count("_w").alias("n_types"))
+    docs_ = F.when(F.col("n_docs") > 0, F.col("n_docs"))
+    mean = F.col("n_tokens") / docs_
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / docs_ - mean * mean))
+    cast = lambda c: F.col(c).cast("int").alias(c)
+    both = both.select(*by, "n_docs", "n_tokens", mean.alias("mean_tokens"), spread.alias("std_tokens"), cast("min_tokens"), cast("max_tokens"), "n_types")
     return both.withColumn("ttr", F.when(F.col("n_tokens") > 0, F.col("n_types") / F.col("n_tokens")).otherwise(0.0))

@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from driftloom.functions.text import strip_blank, tokens
 from driftloom.operators.sampling import hash_order
 
+#: Bytes below which a table is not worth dealing out, and bytes a core from which its files do.
+SMALL_FILE, SMALL_TASK = 1 << 19, 4 << 20
 PAGE_SCHEMA = "id bigint, ns int, title string, revision struct<text:string>"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """The table; one too small to be split by its files is dealt out to all cores, as a single row group is a single task."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if SMALL_FILE < size < SMALL_TASK * cores else df
 
 
 def xml_articles(spark: SparkSession, path: str) -> DataFrame:
