@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import text as tx
 from driftloom.operators import dedup, density, lexical, nll, ranktests, sampling, score, signals, validation, vectors
-from driftloom.plans.golden import COMPOSITE_ROWS, GENERATION_ROWS
+from driftloom.scratch import materialise
 from driftloom.sources.readers import corpus_sample, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,30 +115,30 @@ BASE = "b AS (SELECT ngram, cnt, (cnt + 1) / ((SELECT sum(cnt) FROM e1) + (SELEC
 EN = f"e1 AS (SELECT ngram, count(*) AS cnt FROM (SELECT unnest({T}) AS ngram FROM documents WHERE lang = 'en') GROUP BY ngram)"
 
 
-def _en_base(spark, d, top=5_000):
-    return lexical.smoothed_baseline(lexical.token_counts(docs(spark, d).where("lang = 'en'")), top)
+def _en_base(spark, d):
+    return lexical.smoothed_baseline(lexical.token_counts(docs(spark, d).where("lang = 'en'")))
 
 
-@query(f"WITH {EN}, {BASE.format(top=5000)} SELECT ngram, cnt, round(p, 9) AS p FROM b")
+@query(f"WITH {EN}, {BASE.format(top=lexical.TOP_UNIGRAMS)} SELECT ngram, cnt, round(p, 9) AS p FROM b")
 def unigram_baseline_topk(spark, d):
     return rounded(_en_base(spark, d), 9)
 
 
-@query(f"WITH {TOK}, {grams(3)}, e1 AS (SELECT * FROM g3), {BASE.format(top=10000)} SELECT ngram, cnt, round(p, 9) AS p FROM b")
+@query(f"WITH {TOK}, {grams(3)}, e1 AS (SELECT * FROM g3), {BASE.format(top=lexical.TOP_TRIGRAMS)} SELECT ngram, cnt, round(p, 9) AS p FROM b")
 def trigram_baseline_topk(spark, d):
-    return rounded(lexical.smoothed_baseline(lexical.token_counts(docs(spark, d), n=3), 10_000), 9)
+    return rounded(lexical.smoothed_baseline(lexical.token_counts(docs(spark, d), n=3), lexical.TOP_TRIGRAMS), 9)
 
 
-@query("WITH o AS (SELECT doc_id, unnest(t) AS ngram, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, " + T + " AS t FROM documents)), c AS (SELECT ngram, count(*) AS cnt, min((doc_id, pos)) AS f FROM o GROUP BY ngram) SELECT ngram, cnt, round(cnt / (SELECT sum(cnt) FROM c), 9) AS p FROM c ORDER BY f LIMIT 5000")
+@query("WITH o AS (SELECT doc_id, unnest(t) AS ngram, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, " + T + " AS t FROM documents)), c AS (SELECT ngram, count(*) AS cnt, min((doc_id, pos)) AS f FROM o GROUP BY ngram) SELECT ngram, cnt, round(cnt / (SELECT sum(cnt) FROM c), 9) AS p FROM c ORDER BY f LIMIT 50000")
 def first_seen_baseline(spark, d):
-    return rounded(lexical.first_seen_baseline(docs(spark, d), 5_000), 9)
+    return rounded(lexical.first_seen_baseline(docs(spark, d)), 9)
 
 
 _B = "log2((coalesce(b.p, 0) * s.s + 1) / (s.s + s.v + 1))"
 
 
 def _kl_sql(by: str, n: int = 1) -> str:
-    return f"WITH {TOK}, {grams(1, by)}, {EN}, {BASE.format(top=5000)}, s AS (SELECT sum(p) AS s, count(*) AS v FROM b) SELECT g1.{by}, round(greatest(0, sum(g1.cnt * (log2(g1.cnt) - {_B})) / sum(g1.cnt) - log2(sum(g1.cnt))), 6) AS kl FROM g1 LEFT JOIN b ON g1.ngram = b.ngram CROSS JOIN s GROUP BY g1.{by}"
+    return f"WITH {TOK}, {grams(1, by)}, {EN}, {BASE.format(top=lexical.TOP_UNIGRAMS)}, s AS (SELECT sum(p) AS s, count(*) AS v FROM b) SELECT g1.{by}, round(greatest(0, sum(g1.cnt * (log2(g1.cnt) - {_B})) / sum(g1.cnt) - log2(sum(g1.cnt))), 6) AS kl FROM g1 LEFT JOIN b ON g1.ngram = b.ngram CROSS JOIN s GROUP BY g1.{by}"
 
 
 @query(_kl_sql("lang"))
@@ -156,7 +156,7 @@ def kl_corrected(spark, d):
     return rounded(lexical.kl_corrected(lexical.token_counts(docs(spark, d), ["lang"]), lexical.token_counts(docs(spark, d).where("lang = 'en'")), ["lang"]))
 
 
-_LAYER = f"""WITH {TOK}, {grams(1, 'source')}, {grams(2, 'source')}, {grams(3, 'source')}, {EN}, {BASE.format(top=5000)}, s AS (SELECT sum(p) AS s, count(*) AS v FROM b),
+_LAYER = f"""WITH {TOK}, {grams(1, 'source')}, {grams(2, 'source')}, {grams(3, 'source')}, {EN}, {BASE.format(top=lexical.TOP_UNIGRAMS)}, s AS (SELECT sum(p) AS s, count(*) AS v FROM b),
 a AS (SELECT source, sum(cnt)::BIGINT AS n_tokens, round(count(*) / sum(cnt), 6) AS ttr, round(log2(sum(cnt)) - sum(cnt * log2(cnt)) / sum(cnt), 6) AS entropy_1gram, round(count(*) FILTER (cnt = 1) / count(*), 6) AS zipf_tail_mass FROM g1 GROUP BY source),
 e2 AS (SELECT source, round(log2(sum(cnt)) - sum(cnt * log2(cnt)) / sum(cnt), 6) AS entropy_2gram FROM g2 GROUP BY source),
 e3 AS (SELECT source, round(log2(sum(cnt)) - sum(cnt * log2(cnt)) / sum(cnt), 6) AS entropy_3gram FROM g3 GROUP BY source),
@@ -194,7 +194,7 @@ def encoding_filter(spark, d):
     return docs(spark, d).select("doc_id", tx.encoding_ok(F.col("text")).alias("ok"))
 
 
-@query(f"SELECT lang, reason, count(*) AS n FROM (SELECT lang, CASE WHEN len(coalesce(text, '')) = 0 THEN 'empty' WHEN NOT {_ENC} THEN 'encoding' WHEN len({T}) < 50 THEN 'too_short' ELSE 'kept' END AS reason FROM documents) GROUP BY lang, reason")
+@query(f"SELECT lang, reason, count(*) AS n, count(*) FILTER (size > 135) AS n_long FROM (SELECT lang, len({T}) AS size, CASE WHEN len(coalesce(text, '')) = 0 THEN 'empty' WHEN NOT {_ENC} THEN 'encoding' WHEN len({T}) < 50 THEN 'too_short' ELSE 'kept' END AS reason FROM documents) GROUP BY lang, reason")
 def reject_accounting(spark, d):
     return validation.reject_accounting(docs(spark, d), by=["lang"])
 
@@ -227,13 +227,63 @@ def redirect_filter(spark, d):
     return table(spark, d, "pages").select("page_id", tx.is_redirect(html).alias("is_redirect"))
 
 
-@query()
+_MARKS = "{{box|a={{inner}} b}}&lt;p&gt; caf&eacute; &amp;amp; x² [[File:y.png]] =={0}== [[t|u]] }}"
+
+
+def _marked(body: str) -> str:
+    return "html || chr(10) || '" + _MARKS.replace("{0}", "Head") + "'" if body == "sql" else _MARKS.replace("{0}", "Head")
+
+
+def _marked_html():
+    """The page and, after it, a piece with every mark that the cleaner knows; the tables' own pages have few."""
+    return F.concat("html", F.lit("\n"), F.lit(_marked("spark")))
+
+
+#: Entities that the pages and the piece above have, each decoded once; NFKC of what else they hold.
+_ENTITIES = [("&eacute;", "é"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")]
+
+
+def _decoded(x: str) -> str:
+    for entity, char in _ENTITIES:
+        x = f"replace({x}, '{entity}', '{char}')"
+    for char, plain in ((" ", " "), ("²", "2")):
+        x = f"replace({x}, '{char}', '{plain}')"
+    return f"nfc_normalize({x})"
+
+
+def _templates(x: str) -> str:
+    for _ in range(2):
+        x = f"regexp_replace({x}, '\\{{\\{{[^{{}}]*\\}}\\}}', '', 'g')"
+    return f"replace({x}, '}}}}', '')"
+
+
+_LINKS = r"regexp_replace(regexp_replace(regexp_replace({x}, '\[\[(?:[^|\]]*\|)?([^\]]+)\]\]', '\1', 'g'), '\[https?://\S+\s+([^\]]+)\]', '\1', 'g'), '\[https?://\S+\]', '', 'g')"
+_HEADS = r"regexp_replace(regexp_replace({x}, '={{2,}}([^=]+)={{2,}}', '\1', 'g'), '(?i)\[\[(?:File|Image|Media):[^\]]+\]\]', '', 'g')"
+_SQUEEZE = r"regexp_replace(regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, {_templates(_marked('sql'))} AS text FROM pages")
+def template_strip(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.strip_templates(_marked_html()).alias("text"))
+
+
+@query(f"SELECT page_id, {_decoded(_marked('sql'))} AS text FROM pages")
+def entity_decode(spark, d):
+    """Entities, then NFKC."""
+    return table(spark, d, "pages").select("page_id", tx.decode_normalise(_marked_html()).alias("text"))
+
+
+@query(f"SELECT page_id, {_HEADS.format(x=_marked('sql'))} AS text FROM pages")
+def heading_strip(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.strip_headings(_marked_html()).alias("text"))
+
+
+@query(f"SELECT page_id, {_SQUEEZE.format(x=_HEADS.format(x=_LINKS.format(x=_decoded('regexp_replace(' + _templates(_marked('sql')) + ', ' + chr(39) + '<[^>]+>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')'))))} AS text FROM pages")
 def clean_full(spark, d):
-    """Rows only: nested templates, entities and NFKC have no SQL."""
-    return table(spark, d, "pages").select("page_id", tx.clean_wiki(F.col("html")).alias("text"))
+    return table(spark, d, "pages").select("page_id", tx.clean_wiki(_marked_html()).alias("text"))
 
 
-@query()
+@query(f"SELECT doc_id, {_SQUEEZE.format(x=_decoded('text'))} AS text FROM documents")
 def clean_plain(spark, d):
     return docs(spark, d).select("doc_id", tx.clean_light(F.col("text")).alias("text"))
 
@@ -282,6 +332,11 @@ def kfold_split(spark, d):
     return sampling.buckets(docs(spark, d), 5).select("doc_id", "bucket")
 
 
+@query(f"SELECT vec_id AS id, (('0x' || right({_HASH.format(seed=42).replace('doc_id', 'vec_id')}, 8))::BIGINT % 1000) < 600 AS is_train FROM embeddings")
+def split_60_40(spark, d):
+    return sampling.split(_vecs(spark, d), id_col="id").select("id", "is_train")
+
+
 @query(f"SELECT doc_id FROM documents ORDER BY {_HASH.format(seed=42)}, doc_id LIMIT 200")
 def hash_sample(spark, d):
     """The limit is the sample size."""
@@ -289,41 +344,57 @@ def hash_sample(spark, d):
 
 
 _POOL = "(SELECT doc_id, text, row_number() OVER (ORDER BY " + _HASH.format(seed=42) + ", doc_id) AS r FROM documents WHERE {cond})"
-MIX = f"f AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS fraction), mix AS (SELECT fraction AS true_synthetic_fraction, 'synthetic' AS source, doc_id, text FROM {_POOL.format(cond='lang <> ' + chr(39) + 'en' + chr(39))} JOIN f ON r <= floor(60 * fraction) UNION ALL SELECT fraction, 'human', doc_id, text FROM {_POOL.format(cond='lang = ' + chr(39) + 'en' + chr(39))} JOIN f ON r <= 60 - floor(60 * fraction))"
+MIX = f"nm AS (SELECT least(1000, count(*) FILTER (lang = 'en'), count(*) FILTER (lang <> 'en')) AS n FROM documents), f AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS fraction), mix AS (SELECT fraction AS true_synthetic_fraction, 'synthetic' AS source, doc_id, text FROM {_POOL.format(cond='lang <> ' + chr(39) + 'en' + chr(39))} JOIN f ON r <= floor((SELECT n FROM nm) * fraction) UNION ALL SELECT fraction, 'human', doc_id, text FROM {_POOL.format(cond='lang = ' + chr(39) + 'en' + chr(39))} JOIN f ON r <= (SELECT n FROM nm) - floor((SELECT n FROM nm) * fraction))"
 
 
 def _mixtures(spark, d):
     x = docs(spark, d)
-    return sampling.mixtures(x.where("lang = 'en'"), x.where("lang <> 'en'"), n=60)
+    return sampling.mixtures(x.where("lang = 'en'"), x.where("lang <> 'en'"), shrink=True)
 
 
 @query(f"WITH {MIX} SELECT * FROM mix")
 def mixture_build(spark, d):
-    """60 rows a mixture, so that every scale has enough; stand-ins for human and synthetic text."""
+    """1000 rows a mixture, or the smaller pool's size; stand-ins for human and synthetic text."""
     return _mixtures(spark, d)
 
 
 # ---------------------------------------------------------------- J: statistics
+def _simpson(f: str, end: str, steps: int = 2000) -> str:
+    """Integral of f (of x) from 0 to end."""
+    x = f"(({end}) * i / {steps})"
+    return f"(list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {f.replace('x', x)})) * ({end}) / {3 * steps})"
+
+
+def _normal_tail(z: str) -> str:
+    return f"(0.5 - sign({z}) * {_simpson('pow(2.718281828459045235, -pow(x, 2) / 2)', f'least(abs({z}), 9)')} / sqrt(2 * pi()))"
+
+
+def _student(t: str, df: str) -> str:
+    area = _simpson(f"pow(cos(x), ({df}) - 1)", f"atan(abs({t}) / sqrt({df}))")
+    return f"greatest(0, 1 - 2 * {area} * pow(2.718281828459045235, lgamma((({df}) + 1) / 2) - lgamma(({df}) / 2)) / sqrt(pi()))"
+
+
+def _rho_p(n: str = "n", rho: str = "rho") -> str:
+    t = f"(CASE WHEN 1 - {rho} * {rho} > 1e-12 THEN abs({rho}) * sqrt(({n} - 2) / (1 - {rho} * {rho})) ELSE 1e9 END)"
+    return f"CASE WHEN {n} > 2 AND {rho} IS NOT NULL THEN round({_student(t, f'({n} - 2)')}, 6) END"
+
+
 def _mwu_sql(rows: str, by: str, cmp: str = "abs(u - n1 * n2 / 2)") -> str:
     p, q = f"PARTITION BY {by} " if by else "", f"{by}, " if by else ""
     g = f" GROUP BY {by}" if by else ""
     return f"""r AS ({rows}), k AS (SELECT {q}x, f, rank() OVER ({p}ORDER BY x) + (count(*) OVER (PARTITION BY {q}x) - 1) / 2 AS rk, count(*) OVER (PARTITION BY {q}x) AS t FROM r),
 m AS (SELECT {q}count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, sum(rk) FILTER (f) - count(*) FILTER (f) * (count(*) FILTER (f) + 1) / 2 AS u, sum(t::DOUBLE * t - 1) AS tie FROM k{g})
-SELECT {q}n1, n2, round(u, 6) AS u, round(({cmp} - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - tie / ((n1 + n2) * (n1 + n2 - 1.0)))), 6) AS z, round(abs(u - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1.0) / 12) / sqrt(n1 + n2), 6) AS effect_r FROM m"""
-
-
-def _without_p(df: DataFrame) -> DataFrame:
-    return rounded(df.drop("p"))
+SELECT {q}n1, n2, round(u, 6) AS u, round(z, 6) AS z, round(abs(u - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1.0) / 12) / sqrt(n1 + n2), 6) AS effect_r, round(least(1, {2 if cmp.startswith('abs') else 1} * {_normal_tail('z')}), 6) AS p FROM (SELECT *, ({cmp} - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - tie / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z FROM m)"""
 
 
 @query("WITH " + _mwu_sql("SELECT event_type, value AS x, user_id % 2 = 0 AS f FROM events WHERE value IS NOT NULL", "event_type"))
 def mann_whitney_by_type(spark, d):
-    return _without_p(ranktests.mann_whitney(table(spark, d, "events"), "value", F.col("user_id") % 2 == 0, ["event_type"]))
+    return rounded(ranktests.mann_whitney(table(spark, d, "events"), "value", F.col("user_id") % 2 == 0, ["event_type"]))
 
 
 @query(f"WITH {TOK}, " + _mwu_sql("SELECT len(list_distinct(t)) / len(t) AS x, lang = 'en' AS f FROM tok WHERE len(t) > 0", ""))
 def mann_whitney_ttr(spark, d):
-    return _without_p(ranktests.mann_whitney(lexical.doc_stats(docs(spark, d), "lang"), "ttr", F.col("lang") == "en"))
+    return rounded(ranktests.mann_whitney(lexical.doc_stats(docs(spark, d), "lang"), "ttr", F.col("lang") == "en"))
 
 
 @query("WITH v AS (SELECT event_type, value AS x, count(*) FILTER (user_id % 2 = 0) AS a, count(*) FILTER (user_id % 2 <> 0) AS b FROM events WHERE value IS NOT NULL GROUP BY event_type, value), c AS (SELECT event_type, a, b, abs(sum(a) OVER w / sum(a) OVER (PARTITION BY event_type) - sum(b) OVER w / sum(b) OVER (PARTITION BY event_type)) AS g FROM v WINDOW w AS (PARTITION BY event_type ORDER BY x)) SELECT event_type, sum(a)::BIGINT AS n1, sum(b)::BIGINT AS n2, round(max(g), 6) AS d FROM c GROUP BY event_type")
@@ -331,7 +402,7 @@ def ks_statistic(spark, d):
     return rounded(ranktests.ks_statistic(table(spark, d, "events"), "value", F.col("user_id") % 2 == 0, ["event_type"]))
 
 
-@query(f"WITH {TOK}, p AS (SELECT lang, len(t) AS x, len(list_distinct(t)) / len(t) AS y FROM tok WHERE len(t) > 0), k AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY x) + (count(*) OVER (PARTITION BY lang, x) - 1) / 2 AS a, rank() OVER (PARTITION BY lang ORDER BY y) + (count(*) OVER (PARTITION BY lang, y) - 1) / 2 AS b FROM p) SELECT lang, count(*) AS n, round(corr(a, b), 6) AS rho FROM k GROUP BY lang")
+@query(f"WITH {TOK}, p AS (SELECT lang, len(t) AS x, len(list_distinct(t)) / len(t) AS y FROM tok WHERE len(t) > 0), k AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY x) + (count(*) OVER (PARTITION BY lang, x) - 1) / 2 AS a, rank() OVER (PARTITION BY lang ORDER BY y) + (count(*) OVER (PARTITION BY lang, y) - 1) / 2 AS b FROM p), c AS (SELECT lang, count(*) AS n, corr(a, b) AS rho FROM k GROUP BY lang) SELECT lang, n, round(rho, 6) AS rho, {_rho_p()} AS p FROM c")
 def spearman_len(spark, d):
     s = lexical.doc_stats(docs(spark, d), "lang").where("n_tokens > 0")
     return rounded(ranktests.spearman(s, "n_tokens", "ttr", ["lang"]).withColumn("n", F.col("n").cast("long")))
@@ -340,11 +411,19 @@ def spearman_len(spark, d):
 _K = "substr(source, 4)::INT % 5"
 
 
-@query(f"WITH {TOK}, s AS (SELECT {_K} AS k, len(list_distinct(t)) / len(t) AS ttr, len(t)::DOUBLE AS n FROM tok WHERE len(t) > 0), v AS (SELECT 'length' AS signal, k, n AS value FROM s UNION ALL SELECT 'ttr', k, ttr FROM s), " + _mwu_sql("SELECT signal, k, value AS x, false AS f FROM v WHERE k <> 0 UNION ALL SELECT signal, kk.k, value, true FROM v CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) kk WHERE v.k = 0", "signal, k"))
+@query(f"WITH {TOK}, s AS (SELECT {_K} AS k, len(list_distinct(t)) / len(t) AS ttr, len(t)::DOUBLE AS n FROM tok WHERE len(t) > 0), v AS (SELECT 'length' AS signal, k, n AS value FROM s UNION ALL SELECT 'ttr', k, ttr FROM s), " + _mwu_sql("SELECT signal, k, value AS x, false AS f FROM v WHERE k <> 0 UNION ALL SELECT signal, kk.k, value, true FROM v CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) kk WHERE v.k = 0", "signal, k").replace("SELECT signal, k, n1, n2, round(u", ", g AS (SELECT signal, k, n1, n2, round(u", 1) + ") SELECT *, p < 0.01 / (SELECT count(*) FROM g) AS significant FROM g")
 def test_grid(spark, d):
     s = lexical.doc_stats(docs(spark, d), "source").where("n_tokens > 0").withColumn("k", cohort())
     v = s.select("k", F.explode(F.array(F.struct(F.lit("ttr").alias("signal"), F.col("ttr").alias("value")), F.struct(F.lit("length").alias("signal"), F.col("n_tokens").cast("double").alias("value")))).alias("x")).select("x.signal", "k", "x.value")
-    return rounded(ranktests.test_grid(v).select("signal", "k", "n1", "n2", "u", "z", "effect_r"))
+    return rounded(ranktests.test_grid(v).select("signal", "k", "n1", "n2", "u", "z", "effect_r", "p", "significant"))
+
+
+@query(f"WITH {TOK}, s AS (SELECT lang, avg(len(list_distinct(t)) / len(t)) AS m, stddev_samp(len(list_distinct(t)) / len(t)) / sqrt(count(*)) AS se FROM tok WHERE len(t) > 0 GROUP BY lang), w AS (SELECT max(m) FILTER (lang = 'en') AS m_human, max(se) FILTER (lang = 'en') AS se_human, max(m) FILTER (lang = 'de') AS m_domain, max(se) FILTER (lang = 'de') AS se_domain, max(m) FILTER (lang = 'fr') AS m_model, max(se) FILTER (lang = 'fr') AS se_model FROM s) SELECT {', '.join(f'round({c}, 6) AS {c}' for c in ('m_human', 'se_human', 'm_domain', 'se_domain', 'm_model', 'se_model'))}, round(m_human - m_model, 6) AS gap, round((m_human - m_domain) / (m_human - m_model) * 100, 4) AS pct_domain, round((m_domain - m_model) / (m_human - m_model) * 100, 4) AS pct_contamination FROM w")
+def ablation_decomposition(spark, d):
+    """Languages stand in for the three conditions."""
+    s = lexical.doc_stats(docs(spark, d), "lang").where("n_tokens > 0").select(F.col("lang").alias("condition"), F.col("ttr").alias("value"))
+    out = ranktests.decomposition(s, "en", "de", "fr")
+    return rounded(out.withColumns({c: F.round(c, 4) for c in ("pct_domain", "pct_contamination")}))
 
 
 def cohort():
@@ -353,11 +432,6 @@ def cohort():
 
 
 # ---------------------------------------------------------------- K, L, M: scores and signals
-def _values(rows, names: str) -> str:
-    show = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
-    return "(VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + f") v({names})"
-
-
 _C = "round_even(greatest(0, least(1, {x})), 4)"
 _COMP = {
     "lexical_ttr": _C.format(x="(0.11227::DOUBLE - ttr) / (0.11227::DOUBLE - 0.05847::DOUBLE)"),
@@ -368,16 +442,7 @@ _COMP = {
 _COMPOSITE = f"c AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _COMP.items())} FROM src), i AS (SELECT *, round_even((0.865 * lexical_ttr + 0.865 * lexical_kl + 0.865 * ppl_predictability + 0.3 * semantic_coverage) / 2.895, 4) AS composite_index FROM c)"
 
 
-def _golden(spark):
-    return spark.createDataFrame(COMPOSITE_ROWS, "fraction double, ttr double, kl double, ppl_ratio double, coverage double")
-
-
-@query(f"WITH src AS (SELECT * FROM {_values(COMPOSITE_ROWS, 'fraction, ttr, kl, ppl_ratio, coverage')}), {_COMPOSITE} SELECT fraction, {', '.join(_COMP)}, composite_index, round_even(greatest(0, least(1, composite_index)), 3) AS point_estimate, round_even(greatest(0, round_even(greatest(0, least(1, composite_index)), 3) - 0.2), 3) AS ci_lower_95, round_even(least(1, round_even(greatest(0, least(1, composite_index)), 3) + 0.2), 3) AS ci_upper_95, composite_index < 0.25 AS control_passed, composite_index > 0.5 AS validation_passed FROM i")
-def composite_index(spark, d):
-    return score.gates(score.estimate(score.composite(_golden(spark)))).drop("ttr", "kl", "ppl_ratio", "coverage")
-
-
-_LEX = f"WITH {TOK}, {grams(1, 'lang')}, {EN}, {BASE.format(top=5000)}, s AS (SELECT sum(p) AS s, count(*) AS v FROM b), src AS (SELECT lang, round(count(*) / sum(g1.cnt), 6) AS ttr, round(greatest(0, sum(g1.cnt * (log2(g1.cnt) - {_B})) / sum(g1.cnt) - log2(sum(g1.cnt))), 6) AS kl, NULL::DOUBLE AS ppl_ratio, 1.0::DOUBLE AS coverage FROM g1 LEFT JOIN b ON g1.ngram = b.ngram CROSS JOIN s GROUP BY lang), {_COMPOSITE}"
+_LEX = f"WITH {TOK}, {grams(1, 'lang')}, {EN}, {BASE.format(top=lexical.TOP_UNIGRAMS)}, s AS (SELECT sum(p) AS s, count(*) AS v FROM b), src AS (SELECT lang, round(count(*) / sum(g1.cnt), 6) AS ttr, round(greatest(0, sum(g1.cnt * (log2(g1.cnt) - {_B})) / sum(g1.cnt) - log2(sum(g1.cnt))), 6) AS kl, NULL::DOUBLE AS ppl_ratio, 1.0::DOUBLE AS coverage FROM g1 LEFT JOIN b ON g1.ngram = b.ngram CROSS JOIN s GROUP BY lang), {_COMPOSITE}"
 
 
 @query(f"{_LEX} SELECT lang, ttr, kl, composite_index FROM i")
@@ -388,37 +453,6 @@ def composite_by_lang(spark, d):
     return score.composite(row).select("lang", "ttr", "kl", "composite_index")
 
 
-def _series(spark):
-    rows = [(s, signals.SIGNALS[s][2], k, v) for s, vs in GENERATION_ROWS.items() for k, v in enumerate(vs)]
-    return spark.createDataFrame(rows, "signal string, direction string, k int, value double")
-
-
-_SER = "s AS (SELECT * FROM " + _values([(s, signals.SIGNALS[s][2], k, v) for s, vs in GENERATION_ROWS.items() for k, v in enumerate(vs)], "signal, direction, k, value") + ")"
-_AN = f"""{_SER}, a AS (SELECT *, (value - first_value(value) OVER w) / abs(first_value(value) OVER w) * 100 AS change, value - lag(value) OVER w AS step, first_value(value) OVER w AS g0 FROM s WINDOW w AS (PARTITION BY signal ORDER BY k)),
-z AS (SELECT signal, direction, min(k) FILTER (k > 0 AND CASE WHEN direction = 'increasing' THEN change > 2 ELSE change < -2 END) AS first_detection, coalesce(bool_and(CASE WHEN direction = 'increasing' THEN step >= 0 ELSE step <= 0 END), true) AS is_monotonic,
-round_even(abs(arg_max(value, k) - arg_min(value, k)) / (stddev_pop(value) + 1e-9), 3) AS effect, round_even(arg_max(change, k), 2) AS total_effect_pct, round_even(arg_max(change, k) / (count(*) - 1), 2) AS rate_pct, arg_min(value, k) AS g0_value, arg_max(value, k) AS g_final_value FROM a GROUP BY signal, direction)"""
-
-
-@query(f"WITH {_AN} SELECT *, row_number() OVER (ORDER BY coalesce(first_detection, 999), effect DESC, signal)::INT AS rank FROM z")
-def signal_ranking(spark, d):
-    return signals.analyse(_series(spark))
-
-
-@query(f"WITH {_AN} SELECT signal, first_detection FROM z WHERE first_detection IS NOT NULL")
-def first_detection(spark, d):
-    return signals.analyse(_series(spark)).where("first_detection is not null").select("signal", "first_detection")
-
-
-@query(f"WITH {_AN}, p AS (SELECT coalesce(max(CASE WHEN signal = 'tail_mass_fraction' THEN coalesce(first_detection, 999) END), 999) AS tail, coalesce(max(CASE WHEN signal = 'avg_pairwise_cos_dist' THEN coalesce(first_detection, 999) END), 999) AS semantic, coalesce(max(CASE WHEN signal = 'ppl_inversion_ratio' THEN coalesce(first_detection, 999) END), 999) AS ppl, coalesce(max(CASE WHEN signal = 'entropy_1gram' THEN coalesce(first_detection, 999) END), 999) AS lexical FROM z) SELECT *, tail < semantic AS h1, semantic < lexical AS h2, ppl < tail AS h3 FROM p")
-def detection_hypotheses(spark, d):
-    return signals.hypotheses(signals.analyse(_series(spark)))
-
-
-@query(f"WITH {_SER} SELECT signal, k, value, round(value / first_value(value) OVER w, 6) AS relative, round((1 - value / first_value(value) OVER w) * 100, 6) AS drop_pct FROM s WINDOW w AS (PARTITION BY signal ORDER BY k)")
-def normalised_series(spark, d):
-    return rounded(signals.normalised(_series(spark)))
-
-
 _GEN = f"t AS (SELECT {_K} AS k, len({T}) AS n FROM documents), g AS (SELECT k, count(*) AS docs, round(avg(n), 6) AS mean_tokens FROM t GROUP BY k)"
 
 
@@ -491,10 +525,99 @@ def tail_mass(spark, d):
     return rounded(density.tail_mass(ll.where("label >= 5"), ll.where("label < 5"), t))
 
 
-@query("WITH " + V + ", f AS (SELECT id, vec, label % 5 AS fold FROM v), p AS (SELECT x.id, x.fold, list_sum(list_transform(list_zip(x.vec, y.vec), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) AS d2 FROM f x JOIN f y ON x.fold <> y.fold), n AS (SELECT x.fold, count(*) AS n FROM (SELECT DISTINCT fold FROM f) x JOIN f y ON x.fold <> y.fold GROUP BY x.fold), h AS (SELECT unnest([0.25, 0.5, 1.0])::DOUBLE AS h), m AS (SELECT id, min(d2) AS m FROM p GROUP BY id), l AS (SELECT h.h, p.id, p.fold, -any_value(m.m) / (2 * h.h * h.h) + ln(sum(exp(-(p.d2 - m.m) / (2 * h.h * h.h)))) - ln(any_value(n.n)) - 64 * ln(h.h) - 32 * ln(2 * pi()) AS ll FROM p JOIN m ON p.id = m.id JOIN n ON p.fold = n.fold CROSS JOIN h GROUP BY h.h, p.id, p.fold), s AS (SELECT h, fold, sum(ll) AS s FROM l GROUP BY h, fold) SELECT h AS bandwidth, round(avg(s), 4) AS score FROM s GROUP BY h")
+_FOLD = f"(('0x' || right({_HASH.format(seed=42).replace('doc_id', 'vec_id')}, 8))::BIGINT"
+_D2 = "list_sum(list_transform(list_zip(x.vec, y.vec), lambda q: (q[1] - q[2]) * (q[1] - q[2])))"
+_KERNEL = "-any_value(m.m) / (2 * h.h * h.h) + ln(sum(exp(-(p.d2 - m.m) / (2 * h.h * h.h)))) - ln(any_value(n.n)) - 64 * ln(h.h) - 32 * ln(2 * pi())"
+
+
+def _grid_sql(grid: tuple[float, ...]) -> str:
+    return f"h AS (SELECT unnest([{', '.join(f'{x!r}::DOUBLE' for x in grid)}]) AS h)"
+
+
+@query(f"WITH f AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, {_FOLD} % 5)::INT AS fold FROM embeddings), p AS (SELECT x.id, x.fold, {_D2} AS d2 FROM f x JOIN f y ON x.fold <> y.fold), n AS (SELECT x.fold, count(*) AS n FROM (SELECT DISTINCT fold FROM f) x JOIN f y ON x.fold <> y.fold GROUP BY x.fold), {_grid_sql(density.GRID)}, m AS (SELECT id, min(d2) AS m FROM p GROUP BY id), l AS (SELECT h.h, p.id, p.fold, {_KERNEL} AS ll FROM p JOIN m ON p.id = m.id JOIN n ON p.fold = n.fold CROSS JOIN h GROUP BY h.h, p.id, p.fold), s AS (SELECT h, fold, sum(ll) AS s FROM l GROUP BY h, fold) SELECT round(h, 9) AS bandwidth, round(avg(s), 2) AS score FROM s GROUP BY h")
 def bandwidth_scores(spark, d):
-    v = _vecs(spark, d).withColumn("fold", F.col("label") % 5)
-    return rounded(density.bandwidth_scores(v, grid=(0.25, 0.5, 1.0)), 4)
+    """The whole grid; folds by a hash of the id."""
+    v = sampling.buckets(_vecs(spark, d), 5, id_col="id", name="fold")
+    return density.bandwidth_scores(v).select(F.round("bandwidth", 9).alias("bandwidth"), F.round("score", 2).alias("score"))
+
+
+@query(f"WITH f AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, {_FOLD} % 1000) < 600 AS t FROM embeddings), p AS (SELECT x.id, {_D2} AS d2 FROM f x JOIN f y ON NOT x.t AND y.t), n AS (SELECT count(*) AS n FROM f WHERE t), {_grid_sql(density.WEB_GRID)}, m AS (SELECT id, min(d2) AS m FROM p GROUP BY id), l AS (SELECT h.h, p.id, {_KERNEL} AS ll FROM p JOIN m ON p.id = m.id CROSS JOIN n CROSS JOIN h GROUP BY h.h, p.id) SELECT round(h, 9) AS bandwidth, round(sum(ll), 2) AS score FROM l GROUP BY h")
+def bandwidth_web(spark, d):
+    out = density.held_out_scores(sampling.split(_vecs(spark, d), id_col="id"))
+    return out.select(F.round("bandwidth", 9).alias("bandwidth"), F.round("score", 2).alias("score"))
+
+
+_TAIL0 = f"{_KDE.replace('b AS (SELECT * FROM v WHERE label < 5)', 'b AS (SELECT * FROM v WHERE label = 0)')}, h0 AS (SELECT quantile_cont(ll, 0.05) AS threshold FROM ll WHERE label = 0), tm AS (SELECT label, count(*) AS n, avg(ll) AS mean_ll, avg((ll < threshold)::INT) AS f FROM ll CROSS JOIN h0 GROUP BY label)"
+
+
+def _tail0(spark, d):
+    """Tail mass of every label under the density of label 0."""
+    v = _vecs(spark, d)
+    ll = density.log_likelihood(v, density.Kde.fit(v.where("label = 0"), 0.5), keep=("label",), keep_schema="label int, ")
+    return density.tail_by_cohort(ll, "label")
+
+
+@query(f"WITH {_TAIL0} SELECT label, n, round(mean_ll, 6) AS mean_ll, round(f, 6) AS tail_mass_fraction, round(CASE WHEN (SELECT f FROM tm WHERE label = 0) > 0 THEN (f - (SELECT f FROM tm WHERE label = 0)) / (SELECT f FROM tm WHERE label = 0) END, 6) AS rel_change FROM tm")
+def tail_mass_g0(spark, d):
+    return rounded(_tail0(spark, d))
+
+
+#: Six of the seven signals; the seventh needs a scorer for each generation.
+_SIX = {k: v for k, v in signals.SIGNALS.items() if k != "ppl_inversion_ratio"}
+_LAYER_K = _LAYER.replace("source, ", f"{_K} AS source, ", 1)
+_LEXICAL = ("ttr", "entropy_1gram", "kl_div_1gram", "zipf_alpha")
+
+
+def _records(spark, d):
+    """A nested record per stand-in generation: sources modulo 5, and the embeddings' first five labels."""
+    lex = lexical.layer(docs(spark, d).withColumn("k", cohort()), _en_base(spark, d), ["k"]).select("k", *_LEXICAL)
+    cos = vectors.cosine_diversity(_vecs(spark, d, "label < 5"), ["label"]).select(F.col("label").alias("k"), "avg_cos_dist")
+    tail = _tail0(spark, d).select(F.col("label").alias("k"), "tail_mass_fraction")
+    rows = rounded(lex.join(cos, "k").join(tail, "k"))
+    return rows.select(F.col("k").alias("generation_k"), F.struct(*_LEXICAL).alias("lexical"), F.struct(F.col("avg_cos_dist").alias("avg_pairwise_cosine_dist")).alias("semantic"), F.struct("tail_mass_fraction").alias("tail_mass"), F.struct(F.lit(None).cast("double").alias("perplexity_inversion_ratio")).alias("perplexity_inversion"))
+
+
+def _series(spark, d):
+    return materialise(signals.extract(_records(spark, d), _SIX), "series")
+
+
+_COS = "u AS (SELECT label, list_transform(vec, lambda x: x / sqrt(list_sum(list_transform(vec, lambda y: y * y)))) AS u FROM v WHERE label < 5), du AS (SELECT label, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM u), su AS (SELECT label, i, sum(x) AS s, sum(x * x) AS q, count(*) AS n FROM du GROUP BY label, i), cos AS (SELECT label, 1 - (sum(s * s) - sum(q)) / (max(n) * (max(n) - 1)) AS c FROM su GROUP BY label)"
+_REC = f"lk AS ({_LAYER_K}), {_TAIL0}, {_COS}, rec AS (SELECT lk.source AS k, ttr, entropy_1gram, kl_div_1gram, zipf_alpha, round(c, 6) AS avg_pairwise_cos_dist, round(f, 6) AS tail_mass_fraction FROM lk JOIN cos ON cos.label = lk.source JOIN tm ON tm.label = lk.source)"
+_SER = f"{_REC}, s AS (" + " UNION ALL ".join(f"SELECT '{name}' AS signal, '{way}' AS direction, k, {name}::DOUBLE AS value FROM rec" for name, (_, _, way) in _SIX.items()) + ")"
+_AN = f"""{_SER}, a AS (SELECT *, CASE WHEN first_value(value) OVER w <> 0 THEN (value - first_value(value) OVER w) / abs(first_value(value) OVER w) * 100 ELSE 0 END AS change, value - lag(value) OVER w AS step, first_value(value) OVER w AS g0 FROM s WINDOW w AS (PARTITION BY signal ORDER BY k)),
+z AS (SELECT signal, direction, min(k) FILTER (k > 0 AND CASE WHEN direction = 'increasing' THEN change > 2 ELSE change < -2 END) AS first_detection, coalesce(bool_and(CASE WHEN direction = 'increasing' THEN step >= 0 ELSE step <= 0 END), true) AS is_monotonic,
+round_even(abs(arg_max(value, k) - arg_min(value, k)) / (stddev_pop(value) + 1e-9), 3) AS effect, round_even(arg_max(change, k), 2) AS total_effect_pct, round_even(arg_max(change, k) / (count(*) - 1), 2) AS rate_pct, arg_min(value, k) AS g0_value, arg_max(value, k) AS g_final_value FROM a GROUP BY signal, direction)"""
+
+
+@query(f"WITH {_SER} SELECT * FROM s")
+def signal_extract(spark, d):
+    return _series(spark, d)
+
+
+@query(f"WITH {_AN} SELECT *, row_number() OVER (ORDER BY coalesce(first_detection, 999), effect DESC, signal)::INT AS rank FROM z")
+def signal_ranking(spark, d):
+    return signals.analyse(_series(spark, d))
+
+
+@query(f"WITH {_AN} SELECT signal, first_detection FROM z WHERE first_detection IS NOT NULL")
+def first_detection(spark, d):
+    return signals.analyse(_series(spark, d)).where("first_detection is not null").select("signal", "first_detection")
+
+
+@query(f"WITH {_AN}, p AS (SELECT coalesce(max(CASE WHEN signal = 'tail_mass_fraction' THEN coalesce(first_detection, 999) END), 999) AS tail, coalesce(max(CASE WHEN signal = 'avg_pairwise_cos_dist' THEN coalesce(first_detection, 999) END), 999) AS semantic, coalesce(max(CASE WHEN signal = 'ppl_inversion_ratio' THEN coalesce(first_detection, 999) END), 999) AS ppl, coalesce(max(CASE WHEN signal = 'entropy_1gram' THEN coalesce(first_detection, 999) END), 999) AS lexical FROM z) SELECT *, tail < semantic AS h1, semantic < lexical AS h2, ppl < tail AS h3 FROM p")
+def detection_hypotheses(spark, d):
+    return signals.hypotheses(signals.analyse(_series(spark, d)))
+
+
+@query(f"WITH {_SER} SELECT signal, k, value, round(value / first_value(value) OVER w, 6) AS relative, round((1 - value / first_value(value) OVER w) * 100, 6) AS drop_pct FROM s WINDOW w AS (PARTITION BY signal ORDER BY k)")
+def normalised_series(spark, d):
+    return rounded(signals.normalised(_series(spark, d)))
+
+
+@query(f"WITH {_REC} SELECT k, 1 AS missing FROM rec")
+def record_completeness(spark, d):
+    """Of seven fields; the perplexity ratio is the one that these records lack."""
+    return signals.completeness(_records(spark, d), [f"{layer}.{metric}" for layer, metric, _ in signals.SIGNALS.values()])
 
 
 # ---------------------------------------------------------------- I: perplexity with the built-in scorer
@@ -578,7 +701,7 @@ _SIZES = f"sz AS (SELECT doc_id, len({T}) AS n_tokens FROM documents)"
 @query(f"WITH {_NLL}, {_SIZES}, c AS (SELECT nll.doc_id, n_tokens >= 130 AS at_cap, nll, row_number() OVER (PARTITION BY nll.doc_id ORDER BY pos DESC) AS r FROM nll JOIN sz USING (doc_id) WHERE n_tokens >= 130 OR n_tokens BETWEEN 50 AND 70), " + _mwu_sql("SELECT round(nll, 9) AS x, at_cap AS f FROM c WHERE r <= 5", "", "(u - n1 * n2 / 2)"))
 def tail_comparison(spark, d):
     t = nll.tail_losses(_losses(spark, d), lexical.doc_stats(docs(spark, d))).withColumn("nll", F.round("nll", 9))
-    return _without_p(ranktests.mann_whitney(t, "nll", F.col("at_cap"), alternative="greater"))
+    return rounded(ranktests.mann_whitney(t, "nll", F.col("at_cap"), alternative="greater"))
 
 
 @query(f"WITH {_NLL}, {_SIZES}, c AS (SELECT nll.doc_id, n_tokens >= 130 AS at_cap, nll, row_number() OVER (PARTITION BY nll.doc_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY nll.doc_id) AS n FROM nll JOIN sz USING (doc_id)), p AS (SELECT doc_id, exp(avg(nll)) AS a, exp(avg(nll) FILTER (i > 16)) AS b, exp(avg(nll) FILTER (i > 16 AND (NOT at_cap OR i <= n - 5))) AS c FROM c GROUP BY doc_id) SELECT round(avg(a), 4) AS whole_ppl, round(avg(b), 4) AS excl_coldstart_ppl, round(avg(c), 4) AS excl_both_ppl, count(b) AS n_warm, round(avg(a) - avg(b), 4) AS coldstart_reduction, round(avg(b) - avg(c), 4) AS tail_reduction, round(avg(a) - 22.5, 4) AS total_gap, round(avg(c) - 22.5, 4) AS remaining_gap FROM p")
@@ -592,6 +715,57 @@ def length_buckets(spark, d):
     return rounded(nll.length_sensitivity(p), 4)
 
 
+@query(f"WITH {_PPL}, b AS (SELECT CASE WHEN n < 75 THEN 0 WHEN n < 95 THEN 75 WHEN n < 115 THEN 95 WHEN n < 136 THEN 115 END AS bucket, n AS x, ppl AS y FROM ppl), u AS (SELECT * FROM b WHERE bucket IS NOT NULL AND y IS NOT NULL), k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b FROM u), c AS (SELECT count(*) AS n, corr(a, b) AS rho FROM k), l AS (SELECT m <= lag(m) OVER (ORDER BY bucket) AS ok FROM (SELECT bucket, avg(y) AS m FROM u GROUP BY bucket)), o AS (SELECT n, rho, {_rho_p()} AS p FROM c) SELECT n, round(rho, 6) AS rho, p, (SELECT coalesce(bool_and(ok), true) FROM l) AS monotone, coalesce(p < 0.01 AND rho < 0, false) AS supported FROM o")
+def length_verdict(spark, d):
+    p = nll.doc_ppl(_losses(spark, d)).withColumnRenamed("n", "n_tokens").withColumn("ppl", F.round("ppl", 9))
+    return rounded(nll.length_verdict(p))
+
+
+_PPL_K = f"""{_nll_sql(_K + ' = 0', 'na')}, pg AS (SELECT doc_id, any_value({_K}) AS k, exp(avg(nll)) AS ppl FROM na WHERE pos <= 128 GROUP BY doc_id HAVING count(*) > 1), ref AS (SELECT k, round(avg(ppl), 4) AS ppl_ref FROM pg GROUP BY k)"""
+
+
+@query(f"WITH {_PPL_K} SELECT k, ppl_ref, 1 + k / 4 AS ratio, round(ppl_ref / (1 + k / 4), 4) AS ppl_gk FROM ref")
+def ppl_from_ratio(spark, d):
+    """Records that have a ratio but no perplexity of their own; the ratios are made up."""
+    n = "cast(substr(source, 4) as int) % 5"
+    ppl = nll.doc_ppl(_losses(spark, d, f"{n} = 0", "source"), "source", max_length=128).where("ppl is not null")
+    ref = rounded(ppl.groupBy(cohort()).agg(F.avg("ppl").alias("ppl_ref")), 4)
+    return rounded(nll.ppl_under_gk(ref.select("k", "ppl_ref", (1 + F.col("k") / 4).alias("ratio"), F.lit(None).cast("double").alias("ppl_gk"))), 4)
+
+
+_SRC = f"{grams(1, 'source')}, {EN}, {BASE.format(top=lexical.TOP_UNIGRAMS)}, sb AS (SELECT sum(p) AS s, count(*) AS v FROM b), lx AS (SELECT source, round(count(*) / sum(g1.cnt), 6) AS ttr, round(greatest(0, sum(g1.cnt * (log2(g1.cnt) - {_B.replace('s.s', 'sb.s').replace('s.v', 'sb.v')})) / sum(g1.cnt) - log2(sum(g1.cnt))), 6) AS kl FROM g1 LEFT JOIN b ON g1.ngram = b.ngram CROSS JOIN sb GROUP BY source), tp AS (SELECT source, exp(avg(nll)) AS ppl FROM nll WHERE pos <= 128 GROUP BY source, doc_id HAVING count(*) > 1), rt AS (SELECT source, round(44.44 / avg(ppl), 6) AS ppl_ratio FROM tp WHERE ppl < 10000 GROUP BY source), src AS (SELECT lx.source, ttr, kl, ppl_ratio, 1.0::DOUBLE AS coverage FROM lx LEFT JOIN rt USING (source))"
+
+
+def _by_source(spark, d):
+    """ttr, kl and perplexity ratio of every source; no vectors belong to them."""
+    uni = lexical.token_counts(docs(spark, d), ["source"])
+    lex = lexical.shape(uni, ["source"]).select("source", "ttr").join(lexical.kl(uni, _en_base(spark, d), ["source"]), "source")
+    ratio = nll.ppl_ratio(nll.doc_ppl(_losses(spark, d, "lang = 'en'", "source"), "source", max_length=128), by=["source"]).select("source", F.col("ppl_ratio_vs_baseline").alias("ppl_ratio"))
+    return rounded(lex.join(ratio, "source", "left")).withColumn("coverage", F.lit(1.0))
+
+
+_POINT = "round_even(greatest(0, least(1, composite_index)), 3)"
+_BAND = f"{_POINT} AS point_estimate, round_even(greatest(0, {_POINT} - 0.2), 3) AS ci_lower_95, round_even(least(1, {_POINT} + 0.2), 3) AS ci_upper_95"
+
+
+@query(f"WITH {TOK}, {_NLL}, {_SRC}, {_COMPOSITE} SELECT source, {', '.join(_COMP)}, composite_index, {_BAND}, composite_index < 0.25 AS control_passed, composite_index > 0.5 AS validation_passed FROM i")
+def composite_index(spark, d):
+    return score.gates(score.estimate(score.composite(_by_source(spark, d)))).drop("ttr", "kl", "ppl_ratio", "coverage")
+
+
+@query(f"WITH {TOK}, {_NLL}, {_SRC}, {_COMPOSITE.replace('0.11227::DOUBLE', '0.112::DOUBLE').replace('0.05847::DOUBLE', '0.058::DOUBLE')} SELECT source, lexical_ttr, composite_index FROM i")
+def composite_story(spark, d):
+    """With the anchors of the variant for story corpora."""
+    return score.composite(_by_source(spark, d), score.STORY_ANCHORS).select("source", "lexical_ttr", "composite_index")
+
+
+@query(f"WITH {TOK}, {_NLL}, {_SRC}, {_COMPOSITE} SELECT 'documents' AS dataset, (SELECT count(*) FROM documents)::INT AS n_documents, composite_index, {_BAND}, {', '.join(_COMP)}, 0.865 AS weight_ttr, 2 AS n_caveats FROM i")
+def index_entries(spark, d):
+    """The nested record of every source, unfolded again."""
+    e = score.index_entry(score.gates(score.estimate(score.composite(_by_source(spark, d)))), "documents", docs(spark, d).count())
+    return e.select("metadata.*", "scores.*", "component_scores.*", F.col("weights.lexical_ttr").alias("weight_ttr"), F.size("caveats").alias("n_caveats"))
+
+
 _INV = f"{_nll_sql(_K + ' = 0', 'na')}, {_nll_sql(_K + ' = 1', 'nb')}, pa AS (SELECT doc_id, exp(avg(nll)) AS p0 FROM na WHERE pos <= 128 GROUP BY doc_id HAVING count(*) > 1), pb AS (SELECT doc_id, exp(avg(nll)) AS pk FROM nb WHERE pos <= 128 GROUP BY doc_id HAVING count(*) > 1)"
 
 
@@ -603,7 +777,6 @@ def ppl_inversion(spark, d):
 
 
 # ---------------------------------------------------------------- E: near duplicates
-_PERMS = 16
 _SHINGLES = "sh AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(x) - 4, 0) + 1), lambda i: substr(x, i, 5))) AS g FROM (SELECT doc_id, lower(text) AS x FROM cap))"
 _CAP = f"cap AS (SELECT doc_id, CASE WHEN len(t) > 135 THEN array_to_string(t[1:135], ' ') ELSE text END AS text FROM (SELECT doc_id, text, {T} AS t FROM documents) WHERE len(t) >= 50)"
 
@@ -618,30 +791,35 @@ def _sig_sql(n: int) -> str:
     return f"{_CAP}, {_SHINGLES}, hs AS (SELECT doc_id, ('0x' || right(sha256(unnest(g)), 8))::BIGINT & 2147483647 AS h FROM sh), sig AS (SELECT doc_id, [{cols}] AS sig FROM hs GROUP BY doc_id)"
 
 
-@query(f"WITH {_sig_sql(_PERMS)} SELECT doc_id, array_to_string(sig, ',') AS sig FROM sig")
+@query(f"WITH {_sig_sql(dedup.PERMUTATIONS)} SELECT doc_id, array_to_string(sig, ',') AS sig FROM sig")
 def minhash_signature(spark, d):
-    return dedup.signatures(_capped(spark, d), _PERMS).select("doc_id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
+    return dedup.signatures(_capped(spark, d)).select("doc_id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
 
 
 _NEAR = "np AS (SELECT x.doc_id AS a, y.doc_id AS b, list_sum(list_transform(list_zip(x.sig, y.sig), lambda p: (p[1] = p[2])::INT)) / 128 AS est FROM sig x JOIN sig y ON x.doc_id < y.doc_id)"
 
 
-@query(f"WITH {_sig_sql(128)}, {_NEAR} SELECT a, b, round(est, 6) AS est FROM np WHERE est >= 0.85")
+@query(f"WITH {_sig_sql(dedup.PERMUTATIONS)}, {_NEAR} SELECT a, b, round(est, 6) AS est FROM np WHERE est >= 0.85")
 def near_dup_pairs(spark, d):
     return rounded(dedup.near_pairs(dedup.signatures(_capped(spark, d))))
 
 
-@query()
+@query(f"WITH RECURSIVE {_sig_sql(dedup.PERMUTATIONS)}, {_NEAR}, nb AS (SELECT b AS id, list(a) AS less FROM np WHERE est >= 0.85 GROUP BY b), o AS (SELECT id, less, row_number() OVER (ORDER BY id) AS r FROM nb), st(r, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT st.r + 1, CASE WHEN len(list_filter(o.less, lambda x: NOT list_contains(st.gone, x))) > 0 THEN list_append(st.gone, o.id) ELSE st.gone END FROM st JOIN o ON o.r = st.r + 1), g AS (SELECT unnest(gone) AS id FROM st WHERE r = (SELECT max(r) FROM st)) SELECT cap.doc_id, g.id IS NULL AS kept FROM cap LEFT JOIN g ON g.id = cap.doc_id")
 def greedy_dedup(spark, d):
-    """Rows only here; tests hold it against the sequential rule."""
+    """The SQL goes through the documents in their order; this does not."""
     return dedup.greedy_dedup(_capped(spark, d))
 
 
 # ---------------------------------------------------------------- K6: calibration over mixtures
-@query(f"WITH {MIX}, tok AS (SELECT true_synthetic_fraction AS f, {T} AS t FROM mix), {grams(1, 'f')}, {EN}, {BASE.format(top=5000)}, s AS (SELECT sum(p) AS s, count(*) AS v FROM b), src AS (SELECT g1.f, round(count(*) / sum(g1.cnt), 6) AS ttr, round(greatest(0, sum(g1.cnt * (log2(g1.cnt) - {_B})) / sum(g1.cnt) - log2(sum(g1.cnt))), 6) AS kl, NULL::DOUBLE AS ppl_ratio, 1.0::DOUBLE AS coverage FROM g1 LEFT JOIN b ON g1.ngram = b.ngram CROSS JOIN s GROUP BY g1.f), {_COMPOSITE} SELECT f AS true_synthetic_fraction, ttr, kl, composite_index FROM i")
+@query(f"WITH {MIX}, tok AS (SELECT true_synthetic_fraction AS f, {T} AS t FROM mix), {grams(1, 'f')}, {EN}, {BASE.format(top=lexical.TOP_UNIGRAMS)}, s AS (SELECT sum(p) AS s, count(*) AS v FROM b), src AS (SELECT g1.f, round(count(*) / sum(g1.cnt), 6) AS ttr, round(greatest(0, sum(g1.cnt * (log2(g1.cnt) - {_B})) / sum(g1.cnt) - log2(sum(g1.cnt))), 6) AS kl, NULL::DOUBLE AS ppl_ratio, 1.0::DOUBLE AS coverage FROM g1 LEFT JOIN b ON g1.ngram = b.ngram CROSS JOIN s GROUP BY g1.f), {_COMPOSITE} SELECT f AS true_synthetic_fraction, ttr, kl, composite_index FROM i")
 def calibration_curve(spark, d):
     by = ["true_synthetic_fraction"]
     uni = lexical.token_counts(_mixtures(spark, d), by)
     row = rounded(lexical.shape(uni, by).select(*by, "ttr").join(lexical.kl(uni, _en_base(spark, d), by), by))
     row = row.select(*by, "ttr", "kl", F.lit(None).cast("double").alias("ppl_ratio"), F.lit(1.0).alias("coverage"))
     return score.composite(row).select(*by, "ttr", "kl", "composite_index")
+
+
+@query(SQL["calibration_curve"].replace("SELECT f AS true_synthetic_fraction, ttr, kl, composite_index FROM i", f", k AS (SELECT rank() OVER (ORDER BY f) + (count(*) OVER (PARTITION BY f) - 1) / 2 AS a, rank() OVER (ORDER BY composite_index) + (count(*) OVER (PARTITION BY composite_index) - 1) / 2 AS b FROM i), rk AS (SELECT count(*) AS n, corr(a, b) AS rho FROM k), o AS (SELECT n, CASE WHEN isnan(rho) THEN NULL ELSE rho END AS rho FROM rk) SELECT n, round(rho, 6) AS rho, {_rho_p()} AS p, coalesce(rho > 0.8 AND {_rho_p()} < 0.05, false) AS supported FROM o"))
+def calibration_verdict(spark, d):
+    return rounded(score.calibration_verdict(calibration_curve(spark, d)))
