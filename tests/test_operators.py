@@ -354,3 +354,57 @@ def test_streaming_extension(spark, tmp_path):
     q.stop()
     rows = spark.sql("select n_docs, n_tokens, round(mean_ttr, 3) from monitor").collect()
     assert [tuple(r) for r in rows] == [(2, 4, 0.833)]
+
+
+def test_command_line(spark, tmp_path):
+    """build, measure and score over tables, as `python -m driftloom` runs them."""
+    from driftloom.__main__ import main
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'")
+    docs.write.parquet(f"{tmp_path}/raw")
+    vecs = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    for name, cond in (("base", "label < 5"), ("vecs", "label >= 5")):
+        vecs.where(cond).select("id", "vec").write.parquet(f"{tmp_path}/{name}")
+    main(["build", f"{tmp_path}/raw", f"{tmp_path}/study", "--docs", "50", "--plain", "--vectors", f"{tmp_path}/base"])
+    assert spark.read.parquet(f"{tmp_path}/study/corpus").count() == 50
+    main(["measure", f"{tmp_path}/study/pack", f"{tmp_path}/raw", f"{tmp_path}/layer", "--by", "source"])
+    assert spark.read.parquet(f"{tmp_path}/layer").count() == docs.select("source").distinct().count()
+    main(["score", f"{tmp_path}/study/pack", f"{tmp_path}/raw", f"{tmp_path}/vecs", f"{tmp_path}/base", f"{tmp_path}/entry", "--fit", f"{tmp_path}/study/corpus"])
+    assert 0 <= spark.read.parquet(f"{tmp_path}/entry").first().scores.composite_index <= 1
+
+
+def test_scratch_tables_go_with_their_step(spark):
+    import os
+
+    from driftloom.scratch import materialise, passing, scratch_root
+
+    root = scratch_root(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    with passing(spark) as keep:
+        inner = materialise(spark.range(5).toDF("a"), "inner")
+        kept = keep(inner.where("a > 1"), "kept")
+    left = set(os.listdir(root)) - before
+    assert [x.rpartition("-")[0] for x in left] == ["kept"] and kept.count() == 3
+
+
+def test_two_nearest_is_the_same_in_blocks_and_alone():
+    """Copies are 0 apart, however many rows stand beside them."""
+    rng = np.random.default_rng(3)
+    b = rng.normal(size=(500, 16)) * 1000
+    x = np.concatenate([b[:5], rng.normal(size=(20, 16)) * 1000])
+    want = np.sort(np.sqrt(((x[:, None] - b[None]) ** 2).sum(2)), axis=1)[:, :2]
+    assert np.array_equal(vectors._two_nearest(x, b), want) and (want[:5, 0] == 0).all()
+    alone = np.concatenate([vectors._two_nearest(x[i : i + 1], b) for i in range(len(x))])
+    assert np.array_equal(alone, want)
+    assert np.isinf(vectors._two_nearest(x, b[:1])[:, 1]).all()
+
+
+def test_student_tail(spark):
+    from driftloom.functions.numeric import student_two_sided
+
+    # closed forms: one degree of freedom is Cauchy's distribution, two has t / sqrt(2 + t^2)
+    rows = [(t, n) for t in (0.0, 0.5, 2.0, 10.0) for n in (1, 2)]
+    got = {(r.t, r.n): r.p for r in spark.createDataFrame(rows, "t double, n long").select("t", "n", student_two_sided("t", "n").alias("p")).collect()}
+    for t, n in rows:
+        want = 1 - 2 / np.pi * np.arctan(t) if n == 1 else 1 - t / np.sqrt(2 + t * t)
+        assert got[t, n] == pytest.approx(want, abs=1e-9)
