@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import zlib
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from driftloom.scratch import discard
+from driftloom.scratch import discard, own_shuffles
 
-from .common import arrow_map, materialise, number_rows, scratch_path
+from .common import arrow_map, map_batches, materialise, scratch_path
+from .pieces import MODEL_FILE, SPACE
 from .sharding import Feistel
 
-#: The piece model of the environment; a parameter.
-MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-SPACE = "▁"
 #: Fills the end of a document's last sequence; no token has this id.
 PAD = 65535
-CACHE = 300_000
-#: Documents whose first sequence numbers a broadcast may hold; beyond, a shuffled join.
-BROADCAST_DOCS = 1_000_000
+#: Words that a worker may remember, and as many older ones.
+CACHE = 400_000
 #: Passes over the stored tokens that write the shards: the shuffle on disk is that fraction of them.
-GROUPS = 3
+GROUPS = 2
+#: File beside the shards that tells of what they were made.
+FINGERPRINT = "_made_of"
 
 
 @dataclass(frozen=True)
@@ -77,16 +79,14 @@ class PieceTokens:
         """uint16 ids of each text, the end-of-text id last. Words not known yet are encoded together."""
         split = [t.split(" ") if t and self.apart and "  " not in t and t[0] != " " and t[-1] != " " and SPACE not in t else None for t in texts]
         known, older, end = self.known, self.older, array("H", [self.end]).tobytes()
-        fresh = set().union(*filter(None, split)) - known.keys()
-        again = fresh & older.keys()
-        known.update((w, older[w]) for w in again)
-        words = list(fresh - again)
+        fresh = {w for ws in filter(None, split) for w in ws if w not in known}
+        known.update((w, older[w]) for w in fresh if w in older)
+        words = [w for w in fresh if w not in known]
         known.update(zip(words, map(_packed, self.library.encode(words, num_threads=1)), strict=True))
         odd = iter(self.library.encode([t for t, ws in zip(texts, split, strict=True) if ws is None], num_threads=1))
         out = [(_packed(next(odd)) if ws is None else b"".join(map(known.__getitem__, ws))) + end for ws in split]
-        for w in words:
-            if len(w) > 64:
-                del known[w]
+        for w in (w for w in words if len(w) > 64):
+            del known[w]
         if len(known) > CACHE:  # what is not asked for again goes with the older half
             self.older, self.known = known, {}
         return out
@@ -97,9 +97,10 @@ def _packed(ids: list[int]) -> bytes:
 
 
 def tokenise(docs: DataFrame, tokens: PieceTokens, layout: Layout, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, crc, n_tokens, n_seq, ids) of every row with a text; ids are compressed uint16s, end-of-text last."""
+    """(doc_id, crc, n_tokens, crcs, ids) of every row with a text; ids are compressed uint16s, end-of-text last; crcs are those of its records."""
     shared = docs.sparkSession.sparkContext.broadcast(tokens)
-    lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    lean = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    step = 2 * layout.length
 
     def apply(batch: pa.RecordBatch):
         import zstandard
@@ -107,89 +108,106 @@ def tokenise(docs: DataFrame, tokens: PieceTokens, layout: Layout, id_col: str =
         pack = zstandard.ZstdCompressor(level=1).compress
         for i in range(0, len(batch), 512):
             part = batch.slice(i, 512)
-            texts = part.column(1).to_pylist()
-            data = shared.value(texts)
-            n = [len(d) // 2 for d in data]
+            data = shared.value(part.column(1).to_pylist())
+            crcs = [array("I", [zlib.crc32(r) for r in records(d, step)]).tobytes() for d in data]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([zlib.crc32(d) for d in data], pa.int64()), pa.array(n, pa.int64()), pa.array([-(-x // layout.length) for x in n], pa.int64()), pa.array([pack(d) for d in data], pa.binary())],
-                names=["doc_id", "crc", "n_tokens", "n_seq", "ids"],
+                [part.column(0), pa.array([zlib.crc32(d) for d in data], pa.int64()), pa.array([len(d) // 2 for d in data], pa.int64()), pa.array(crcs, pa.binary()), pa.array([pack(d) for d in data], pa.binary())],
+                names=["doc_id", "crc", "n_tokens", "crcs", "ids"],
             )
 
-    return arrow_map(lean, apply, "doc_id long, crc long, n_tokens long, n_seq long, ids binary")
+    return arrow_map(lean, apply, f"doc_id {lean.schema[0].dataType.simpleString()}, crc long, n_tokens long, crcs binary, ids binary")
 
 
-#: What tells documents apart; ids may be null. Rows that agree in it have as many sequences.
-KEY = ["doc_id", "crc", "n_tokens"]
+def records(data: bytes, step: int) -> list[bytes]:
+    """The ids in pieces of `step` bytes, the last one filled with PAD."""
+    data += b"\xff" * (-len(data) % step)
+    return [data[a : a + step] for a in range(0, len(data), step)]
 
 
-def _keyed(rows: DataFrame, others: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows joined with others on KEY, a null id equal to a null id; others may be a broadcast."""
-    there = others.select(*[F.col(c).alias(f"_{c}") for c in KEY], *[c for c in others.columns if c not in KEY])
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("crc") == F.col("_crc")) & (F.col("n_tokens") == F.col("_n_tokens"))
-    return rows.join(there, same, how).drop(*[f"_{c}" for c in KEY])
+#: The order of documents: ids may be null; texts of one id are told apart by their ids' digests.
+ORDER = ["doc_id", "crc", "n_tokens", "digest"]
 
 
-def _starts(tokenised: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, crc, n_tokens, start): the number of each document's first sequence, documents in order of KEY, null ids first; and the total.
+def _placed(stored: DataFrame, layout: Layout) -> tuple[DataFrame, dict[int, int], int]:
+    """stored in ORDER, with `part` and `first`; first + starts[part] is the number of a document's first sequence. And the total.
 
-    Rows that agree in KEY share one entry: the c-th of them starts c * n_seq later.
+    Range partitions are written once, each with its own running numbers; one number per
+    partition comes to the driver. Rows equal in ORDER may swap numbers: they are equal.
     """
-    lean = tokenised.groupBy(*KEY).agg(F.count("*").alias("copies"), F.first("n_seq").alias("n_seq"))
-    numbered, _ = number_rows(lean.select(*KEY, (F.col("copies") * F.col("n_seq")).alias("width")), KEY, "token-docs")
-    # running sums per block of rows, then block offsets: no window over all rows
-    block = F.shiftright("row_no", 16)
-    numbered = materialise(numbered.select(*KEY, "width", "row_no", block.alias("block")), "token-rows")
-    sums = sorted((r.block, r.w) for r in numbered.groupBy("block").agg(F.sum("width").alias("w")).collect())  # one row for 65,536 documents
-    offset, total = [], 0
-    for b, w in sums:
-        offset.append((b, total))
-        total += w
-    spark = tokenised.sparkSession
-    offsets = spark.createDataFrame(offset or [(0, 0)], "block long, offset long")
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.sum("width").over(Window.partitionBy("block").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return numbered.join(F.broadcast(offsets), "block").select(*KEY, (F.col("offset") + before).alias("start")), total
-
-
-def _sequences(placed: DataFrame, layout: Layout, total: int, payload: bool, first: int = 0, width: int | None = None) -> DataFrame:
-    """One row per sequence with its slot: payload as the record's bytes, or the facts about it. width: only shards from first on."""
-    facts = "shard int, slot long, global_slot long, byte_offset long, doc_id long, seq_no long, n_tokens int, record_crc32 long"
-    schema = "shard int, slot long, record binary" if payload else facts
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(4096))  # deals out repeated rows
+    keys = [F.col(c).asc_nulls_first() for c in ORDER]
+    ranged = stored.withColumn("digest", F.xxhash64("ids")).withColumn("_spread", spread).repartitionByRange(*keys, "_spread")
+    sorted_ = ranged.drop("_spread").sortWithinPartitions(*keys)
+    names, at = [*sorted_.columns, "part", "first"], sorted_.columns.index("n_tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, start = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            width = -(-batch.column(at).to_numpy() // layout.length)
+            end = start + np.cumsum(width)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), part, np.int32)), pa.array(end - width)], names=names)
+            start = int(end[-1]) if len(end) else start
+
+    placed = materialise(map_batches(sorted_, run, T.StructType([*sorted_.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("first", T.LongType())])), "token-docs")
+    ends = placed.groupBy("part").agg(F.max(F.col("first") + F.ceil(F.col("n_tokens") / layout.length)).alias("n")).collect()
+    starts, total = {}, 0
+    for part, n in sorted(map(tuple, ends)):
+        starts[part] = total
+        total += n
+    return placed, starts, total
+
+
+def _slots(batch: pa.RecordBatch, starts: dict[int, int], order: Feistel, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the documents' sequences, one after another: the row of the batch, the place in its document, the global slot."""
+    n, part, first = (batch.column(c).to_numpy() for c in ("n_tokens", "part", "first"))
+    begin = first + np.array([starts[p] for p in part.tolist()], np.int64)
+    width = -(-n // layout.length)
+    row = np.repeat(np.arange(len(n)), width)
+    seq = np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width)
+    return row, seq, order.permute(begin[row] + seq) if len(row) else np.zeros(0, np.int64)
+
+
+def _records(placed: DataFrame, starts: dict[int, int], layout: Layout, total: int, low: int, high: int) -> DataFrame:
+    """(shard, slot, record) of the sequences of shards low .. high - 1."""
 
     def apply(batch: pa.RecordBatch):
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack, order, stride = zstandard.ZstdDecompressor().decompress, Feistel(total, layout.key), 2 * layout.length
+        for i in range(0, len(batch), 256):
+            part = batch.slice(i, 256)
+            _, _, where = _slots(part, starts, order, layout)
+            n = part.column("n_tokens").to_numpy()
+            width = -(-n // layout.length)
+            body = np.full(len(where) * layout.length, PAD, "<u2")
+            # ids stand one after another; each document's go to where its first sequence begins
+            shift = (np.cumsum(width) - width) * layout.length - (np.cumsum(n) - n)
+            ids = np.frombuffer(b"".join(map(unpack, part.column("ids").to_pylist())), "<u2")
+            body[np.arange(len(ids)) + np.repeat(shift, n)] = ids
+            mine = np.flatnonzero((where >= low * layout.per_shard) & (where < high * layout.per_shard))
+            where, body = where[mine], body.reshape(-1, layout.length)[mine]
+            ends = pa.py_buffer(np.arange(len(mine) + 1, dtype=np.int32) * stride)
+            yield pa.RecordBatch.from_arrays([pa.array(where // layout.per_shard, pa.int32()), pa.array(where % layout.per_shard), pa.Array.from_buffers(pa.binary(), len(mine), [None, ends, pa.py_buffer(body)])], names=["shard", "slot", "record"])
+
+    return arrow_map(placed.select("n_tokens", "part", "first", "ids"), apply, "shard int, slot long, record binary")
+
+
+def _index(placed: DataFrame, starts: dict[int, int], layout: Layout, total: int) -> DataFrame:
+    def apply(batch: pa.RecordBatch):
         order = Feistel(total, layout.key)
         for i in range(0, len(batch), 256):
             part = batch.slice(i, 256)
-            records, slots, ids, seqs, sizes = [], [], [], [], []
-            for doc, n, start, data in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
-                raw = np.frombuffer(unpack(data), np.uint16)
-                k = -(-n // layout.length)
-                full = np.full(k * layout.length, PAD, np.uint16)
-                full[:n] = raw
-                body = full.astype("<u2").tobytes()
-                records += [body[a : a + 2 * layout.length] for a in range(0, len(body), 2 * layout.length)]
-                slots.append(np.arange(start, start + k))
-                if not payload:
-                    ids += [doc] * k
-                    seqs += range(k)
-                    sizes += [layout.length] * (k - 1) + [n - (k - 1) * layout.length]
-            where = order.permute(np.concatenate(slots)) if slots else np.zeros(0, np.int64)
-            shard, slot = where // layout.per_shard, where % layout.per_shard
-            if width is not None:
-                mine = np.flatnonzero((shard >= first) & (shard < first + width))
-                shard, slot, records = shard[mine], slot[mine], [records[k] for k in mine.tolist()]
-            head = [pa.array(shard, pa.int32()), pa.array(slot, pa.int64())]
-            if payload:
-                yield pa.RecordBatch.from_arrays([*head, pa.array(records, pa.binary())], names=["shard", "slot", "record"])
-            else:
-                tail = [pa.array(where, pa.int64()), pa.array(slot * layout.stride, pa.int64()), pa.array(ids, pa.int64()), pa.array(seqs, pa.int64()), pa.array(sizes, pa.int32()), pa.array([zlib.crc32(r) for r in records], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*head, *tail], names=[x.split()[0] for x in facts.split(", ")])
-
-    return arrow_map(placed.select("doc_id", "n_tokens", "start", "ids"), apply, schema)
+            row, seq, where = _slots(part, starts, order, layout)
+            left = part.column("n_tokens").to_numpy()[row] - seq * layout.length
+            crcs = np.frombuffer(b"".join(part.column("crcs").to_pylist()), "<u4")
+            slot = where % layout.per_shard
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(where // layout.per_shard, pa.int32()), pa.array(slot), pa.array(where), pa.array(slot * layout.stride), part.column("doc_id").take(pa.array(row)), pa.array(seq), pa.array(np.minimum(left, layout.length), pa.int32()), pa.array(crcs, pa.int64())],
+                names=["shard", "slot", "global_slot", "byte_offset", "doc_id", "seq_no", "n_tokens", "record_crc32"],
+            )
+
+    id_type = placed.schema["doc_id"].dataType.simpleString()
+    return arrow_map(placed.select("doc_id", "n_tokens", "part", "first", "crcs"), apply, f"shard int, slot long, global_slot long, byte_offset long, doc_id {id_type}, seq_no long, n_tokens int, record_crc32 long")
 
 
 def write_token_shards(docs: DataFrame, path: str | None = None, tokens: PieceTokens | None = None, layout: Layout = Layout(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
@@ -197,53 +215,53 @@ def write_token_shards(docs: DataFrame, path: str | None = None, tokens: PieceTo
 
     Every text, with the end-of-text id after it, is cut into sequences of layout.length
     ids, the last one filled with PAD. Sequences are numbered by (doc_id, crc32 of the
-    ids, number of ids, place), null ids first; a Feistel permutation keyed by layout.key gives each its global slot, so
+    ids, number of ids, digest of the ids, place), null ids first; a Feistel permutation keyed by layout.key gives each its global slot, so
     slot s is record s mod per_shard of shard s div per_shard, at a computable byte: a
     reader may stop and go on anywhere. The order depends on the rows and the key alone.
     Spark's committer writes each shard as one file, so lost tasks are redone whole; a run
-    that is given the path of one that broke off writes only the groups that lack.
+    that is given the path of one that broke off writes only the groups that lack. The path
+    keeps a fingerprint of rows, layout and model; shards of others there are an error.
 
     Null texts have no sequences; an empty text has one, with the end-of-text id. Texts
-    with a null id are written like others. Equal rows have sequences each. An empty table writes an empty folder. Other columns are
+    with a null id are written like others; ids may have any type that sorts. Equal rows have sequences each. An empty table writes an empty folder. Other columns are
     ignored. The index has a row per sequence: shard, slot, global_slot, byte_offset,
     doc_id, seq_no, n_tokens, record_crc32.
     """
     spark = docs.sparkSession
-    path = path or scratch_path(spark, "token-shards")
-    stored = materialise(tokenise(docs, tokens or PieceTokens(), layout, id_col, text_col), "tokens")
-    starts, total = _starts(stored)
-    starts = materialise(starts, "token-starts")
-    n_docs = starts.count()
-    copies = stored.groupBy(*KEY).count().where("count > 1")
-    placed = _keyed(stored, F.broadcast(starts) if n_docs <= BROADCAST_DOCS else starts)
-    if not copies.isEmpty():  # the c-th of the rows that agree starts c widths later; by their ids, as rows without an id may agree by chance
-        from pyspark.sql import Window
-
-        again = _keyed(placed, copies.select(*KEY), "left_semi")
-        nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("ids")) - 1
-        placed = _keyed(placed, copies.select(*KEY), "left_anti").unionByName(again.withColumn("start", F.col("start") + nth * F.col("n_seq")))
-    if n_docs > BROADCAST_DOCS:  # one shuffled join, not one a group; the tokens stay on disk once
-        placed = materialise(placed.select("doc_id", "n_tokens", "start", "ids"), "placed-tokens")
-        discard(stored)
-        _free(spark)
+    path, tokens = path or scratch_path(spark, "token-shards"), tokens or PieceTokens()
+    stored = materialise(tokenise(docs, tokens, layout, id_col, text_col), "tokens")
+    placed, starts, total = _placed(stored, layout)
+    discard(stored)
+    facts = placed.agg(F.sum(F.xxhash64(*ORDER).cast("decimal(38,0)"))).first()[0]
+    _claim(spark, path, f"{hashlib.sha256(tokens.model).hexdigest()} {layout} {total} {facts}")
     shards = max(1, -(-total // layout.per_shard))
     # in groups of shards, so that the shuffle files of one group exist at a time; a group that is there is not written again
     size = -(-shards // GROUPS)
-    for first in range(0, shards, size):
-        width = min(size, shards - first)
-        if not _exists(spark, f"{path}/from-{first:08d}/_SUCCESS"):
-            records = _sequences(placed, layout, total, payload=True, first=first, width=width)
-            dealt = records.repartitionById(width, F.col("shard") - first).sortWithinPartitions("slot")
-            dealt.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").text(f"{path}/from-{first:08d}")
-            del records, dealt
-            _free(spark)
-    return _sequences(placed, layout, total, payload=False), path
-
-
-def _free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for low in range(0, shards, size):
+        high = min(low + size, shards)
+        if not _exists(spark, f"{path}/from-{low:08d}/_SUCCESS"):
+            dealt = _records(placed, starts, layout, total, low, high).repartitionById(high - low, F.col("shard") - low).sortWithinPartitions("slot")
+            with own_shuffles(spark):
+                dealt.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").text(f"{path}/from-{low:08d}")
+    lean = materialise(placed.drop("ids"), "token-index")
+    discard(placed)
+    return _index(lean, starts, layout, total), path
+
+
+def _claim(spark: SparkSession, path: str, facts: str) -> None:
+    """Leave the fingerprint in path, or raise where shards with another one are."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{FINGERPRINT}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        stream = fs.open(at)
+        old = bytes(stream.readAllBytes()).decode()
+        stream.close()
+        if old != facts:
+            raise ValueError(f"{path} has shards of other rows, another layout or another model")
+    else:
+        stream = fs.create(at)
+        stream.write(facts.encode())
+        stream.close()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
