@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -15,11 +18,15 @@ class Kind:
     #: Score of a match that passes its check, before context; at least `LEAST` keeps the span.
     score: float
     context: str = ""
+    #: Neither side of the match may touch an ASCII letter or digit.
+    alone: bool = False
 
 
 LEAST = 0.5
 CONTEXT_GAIN = 0.3
 CONTEXT_CHARS = 48
+#: Code points of the chunks in which a text is looked up, and values of a block of running totals.
+CHUNK, BLOCK = 256, 128
 
 #: The contract's four kinds in its order. The patterns match what the contract's match, or leave out
 #: matches that their check drops: atomic runs and a look behind keep the search linear on long runs.
@@ -30,8 +37,8 @@ BASE_KINDS = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.6, "phone|tel|call|mobile|fax"),
 )
 MORE_KINDS = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 0.8, "iban|account|konto|compte|cuenta|bank"),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "ssn|social security"),  # kept only near such words
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", 0.8, "iban|account|konto|compte|cuenta|bank", True),
+    Kind("ssn", r"[0-9]+(?:-[0-9]+)+", 0.3, "ssn|social security", True),  # kept only near such words
 )
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
@@ -67,49 +74,96 @@ def passes(kind: str, found: Column) -> Column:
     if kind == "iban":
         compact = F.replace(found, F.lit(" "), F.lit(""))
         return F.length(compact).between(15, 34) & (mod97(compact) == 1)
+    if kind == "ssn":
+        return found.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
     return F.lit(True)
 
 
 _SPAN = "array<struct<kind:string,rank:int,start:int,end:int,score:double>>"
 
 
-def _located(kind: Kind, rank: int, text: Column, found: Column) -> Column:
-    """Spans of the matches `found`: the pieces between matches give the places."""
-    pieces = F.split(text, kind.pattern, -1)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once: inside a lambda an expression would be computed for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of the longs, op over all before it, from 0. Block by block: appending to one long array would copy it each time."""
+
+    def along(block: Column, start: Column) -> Column:
+        return F.aggregate(block, F.array(start), lambda acc, v: F.array_append(acc, op(F.element_at(acc, -1), v)))
+
+    def of(values: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))
+        return _let(F.transform(starts, lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK))), carried)
+
+    def carried(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0).cast("long"), op))
+        inside = lambda carry: F.flatten(F.transform(blocks, lambda block, b: F.slice(along(block, F.get(carry, b)), F.lit(1), F.size(block))))
+        return _let(along(totals, F.lit(0).cast("long")), inside)
+
+    return F.when(F.size(values) > 0, _let(values, of)).otherwise(F.array().cast("array<long>"))
+
+
+def _chunks(text: Column) -> Column:
+    """The text in pieces of CHUNK code points, so that a place is found without walking there."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _cut(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points start .. end - 1 of the text, where they exist."""
+    first = F.floor(start / CHUNK)
+    some = F.array_join(F.slice(chunks, (first + 1).cast("int"), (F.floor(end / CHUNK) - first + 1).cast("int")), "")
+    return F.substring(some, (start - first * CHUNK + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["piece"])
-        end = start + F.length(pair["hit"])
-        near = F.lower(F.concat(F.substring(text, F.greatest(start + 1 - CONTEXT_CHARS, F.lit(1)), F.least(start, F.lit(CONTEXT_CHARS))), F.lit(" "), F.substring(text, end + 1, F.lit(CONTEXT_CHARS))))
+
+def _located(kind: Kind, rank: int, text: Column) -> Column:
+    """Spans of the kind's matches: what stands between matches gives their places."""
+
+    def span(chunks: Column, x: Column) -> Column:
+        start, end = x["before"] + F.length(x["piece"]), x["before"] + F.length(x["piece"]) + F.length(x["hit"])
+        ok = passes(kind.name, x["hit"])
+        if kind.alone:
+            ok &= ~F.concat(_cut(chunks, F.greatest(start - 1, F.lit(0)), start), F.lit(" "), _cut(chunks, end, end + 1)).rlike("[A-Za-z0-9]")
+        near = F.lower(F.concat(_cut(chunks, F.greatest(start - CONTEXT_CHARS, F.lit(0)), start), F.lit(" "), _cut(chunks, end, end + CONTEXT_CHARS)))
         score = F.lit(kind.score) + (F.when(near.rlike(rf"(?<![a-z])(?:{kind.context})"), CONTEXT_GAIN).otherwise(0.0) if kind.context else 0.0)
-        score = F.when(passes(kind.name, pair["hit"]), F.least(score, F.lit(1.0))).otherwise(0.0)
-        span = F.struct(F.lit(kind.name).alias("kind"), F.lit(rank).alias("rank"), start.cast("int").alias("start"), end.cast("int").alias("end"), score.cast("double").alias("score"))
-        return F.struct(end.cast("int").alias("at"), F.when(score >= LEAST, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        score = F.when(ok, F.least(score, F.lit(1.0))).otherwise(0.0)
+        return F.struct(F.lit(kind.name).alias("kind"), F.lit(rank).alias("rank"), start.cast("int").alias("start"), end.cast("int").alias("end"), score.cast("double").alias("score"))
+
+    def spans(hits: Column) -> Column:
+        # the places of what is left of the text: the split has one piece more than there are matches
+        pairs = F.zip_with(F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(hits)), hits, lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
+        return _let(pairs, placed)
+
+    def placed(pairs: Column) -> Column:
+        before = _running(F.transform(pairs, lambda x: (F.length(x["piece"]) + F.length(x["hit"])).cast("long")), lambda a, b: a + b)
+        whole = F.zip_with(pairs, before, lambda x, b: F.struct(x["piece"].alias("piece"), x["hit"].alias("hit"), b.alias("before")))
+        found = _let(_chunks(text), lambda chunks: F.transform(whole, lambda x: span(chunks, x)))
+        return F.filter(found, lambda s: s["score"] >= LEAST)
+
+    hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    return _let(hits, lambda h: F.when(F.size(h) > 0, spans(h)).otherwise(F.array().cast(_SPAN)))
+
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
-    spans = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(_SPAN))
+def _spans(text: Column, kinds: tuple[Kind, ...]) -> Column:
+    return F.concat(*[_located(k, n, text) for n, k in enumerate(kinds)])
 
 
-def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = BASE_KINDS + MORE_KINDS, text_col: str = "text", spans_col: str = "_spans") -> DataFrame:
+def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = BASE_KINDS + MORE_KINDS, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """docs with spans_col: array of (kind, rank, start, end, score), by kind and start; code points, end exclusive.
 
     Per kind, matches are leftmost and don't overlap; those that fail their check are
     dropped without another try. Kinds may overlap each other. Null and empty texts have
-    no spans. All rows and columns stay; columns named _hit0, _hit1 ... and spans_col are replaced.
+    no spans. All rows and columns stay; a column named spans_col is replaced. The work
+    grows with the length of a text, also where it is full of matches.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    hits = [f"_hit{k}" for k in range(len(kinds))]
-    proposed = docs.withColumns({h: F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)) for h, k in zip(hits, kinds, strict=True)})
-    spans = F.concat(*[_located(k, n, text, F.col(h)) for n, (h, k) in enumerate(zip(hits, kinds, strict=True))])
-    return proposed.withColumn(spans_col, spans).drop(*hits)
+    return docs.withColumn(spans_col, _spans(F.coalesce(F.col(text_col), F.lit("")), kinds))
 
 
 def pii_report(docs: DataFrame, kinds: tuple[Kind, ...] = BASE_KINDS + MORE_KINDS, base: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document the counts of the first `base` kinds, the digest of their spans, all spans and their scores."""
     lean = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = find_pii(lean, kinds)
+    found = find_pii(lean, kinds, spans_col="_spans")
     show = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     basic = F.filter("_spans", lambda s: s["rank"] < base)
 
@@ -121,20 +175,27 @@ def pii_report(docs: DataFrame, kinds: tuple[Kind, ...] = BASE_KINDS + MORE_KIND
 
 
 def redact(docs: DataFrame, kinds: tuple[Kind, ...] = BASE_KINDS + MORE_KINDS, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
-    """docs with every span replaced by [KIND]; overlapping spans become one, named by the first. Null texts stay null."""
-    found = find_pii(docs, kinds, text_col)
-    text = F.col(text_col)
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, out).otherwise(acc["out"]).alias("out"))
-
-    ordered = F.array_sort("_spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(ordered, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
-    hit = F.size("_spans") > 0
-    out = found.withColumn(text_col, F.when(hit, clean).otherwise(text))
-    if chars_col:
-        out = out.withColumn(chars_col, F.when(hit, F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
-    return out.select(docs.columns)
+    """docs with every span replaced by [KIND]; overlapping spans become one, named by the first. Null texts stay null.
+
+    chars_col, if given, gets the new length in code points where a text was changed. All
+    other columns stay as they are, whatever their names.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+
+    def clean(spans: Column) -> Column:
+        ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+        return _let(ordered, lambda xs: _let(_running(F.transform(xs, lambda s: s["end"].cast("long")), lambda a, b: F.greatest(a, b)), lambda done: _let(_chunks(text), lambda chunks: joined(xs, done, chunks))))
+
+    def joined(spans: Column, done: Column, chunks: Column) -> Column:
+        both = F.zip_with(spans, done, lambda s, d: F.struct(s["start"].alias("start"), d.alias("done"), s["kind"].alias("kind")))
+        fresh = F.filter(both, lambda x: x["start"] >= x["done"])
+        parts = F.transform(fresh, lambda x: F.concat(_cut(chunks, x["done"], x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), _cut(chunks, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
+
+    chars = F.col(chars_col) if chars_col else F.lit(None).cast("int")
+    as_was = F.struct(F.col(text_col).alias("text"), chars.alias("chars"))
+    anew = lambda t: F.struct(t.alias("text"), F.length(t).cast(docs.schema[chars_col].dataType if chars_col else "int").alias("chars"))
+    out = _let(_spans(text, kinds), lambda s: F.when(F.size(s) > 0, _let(clean(s), anew)).otherwise(as_was))
+    name = free_name(docs, "_redacted")
+    fields = {text_col: F.col(name)["text"]} | ({chars_col: F.col(name)["chars"]} if chars_col else {})
+    return docs.withColumn(name, out).select(*[fields[c].alias(c) if c in fields else F.col(f"`{c}`") for c in docs.columns])

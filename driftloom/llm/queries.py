@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sql.OP2, "op3_decontamination": sql.OP3, "op5_secrets": sql.OP5, "op6_near_duplicates": sql.OP6, "op8_nearest": sql.OP8}
+    return {"op2_sharding": sql.OP2, "op3_decontamination": sql.OP3, "op4_pii": sql.OP4, "op5_secrets": sql.OP5, "op6_near_duplicates": sql.OP6, "op8_nearest": sql.OP8}

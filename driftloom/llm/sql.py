@@ -28,8 +28,8 @@ _SECRETS = [
 
 def _found(rank: int, kind: str, pattern: str, condition: str) -> str:
     pieces, hits = f"string_split_regex(coalesce(text, ''), '{pattern}')", f"regexp_extract_all(coalesce(text, ''), '{pattern}')"
-    return f"""SELECT doc_id, {rank} AS r, '{kind}' AS kind, m, s FROM (SELECT doc_id, unnest(hs) AS m, unnest(list_transform(range(1, len(hs) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hs[1:i - 1], lambda x: len(x))), 0)))::BIGINT AS s
-FROM (SELECT doc_id, {pieces} AS ps, {hits} AS hs FROM documents)) WHERE {condition}"""
+    return f"""SELECT doc_id, {rank} AS r, '{kind}' AS kind, m, s, x FROM (SELECT doc_id, x, unnest(hs) AS m, unnest(list_transform(range(1, len(hs) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hs[1:i - 1], lambda x: len(x))), 0)))::BIGINT AS s
+FROM (SELECT doc_id, coalesce(text, '') AS x, {pieces} AS ps, {hits} AS hs FROM documents)) WHERE {condition}"""
 
 
 def _secrets() -> str:
@@ -43,6 +43,34 @@ SELECT d.doc_id, {', '.join(f'coalesce({n}, 0) AS {n}' for n in names)}, sha256(
 
 OP5 = _secrets()
 
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, len({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse({_DIGITS}), i, 1)::INT ELSE (2 * substr(reverse({_DIGITS}), i, 1)::INT) // 10 + (2 * substr(reverse({_DIGITS}), i, 1)::INT) % 10 END)) % 10 = 0"
+_COMPACT = "replace(m, ' ', '')"
+_MOD97 = f"list_reduce(list_prepend(0, list_transform(string_split(substr({_COMPACT}, 5) || substr({_COMPACT}, 1, 4), ''), lambda c: ascii(c))), lambda a, c: CASE WHEN c >= 65 THEN (a * 100 + c - 55) % 97 ELSE (a * 10 + c - 48) % 97 END) = 1"
+_ALONE = "NOT regexp_matches(CASE WHEN s > 0 THEN substr(x, s, 1) ELSE '' END || ' ' || substr(x, s + len(m) + 1, 1), '[A-Za-z0-9]')"
+#: kind, pattern, condition on the match, score, context words
+_PII = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", 0.9, "mail|write|contact|kontakt|correo"),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda o: len(ltrim(o, '0')) > 3 OR coalesce(try_cast(ltrim(o, '0') AS INT), 0) > 255)) = 0", 0.7, "ip|host|server|address"),
+    ("card", r"[0-9](?:[ -]?[0-9])+", f"len({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}", 0.8, "card|visa|credit|pay|karte|carte|tarjeta"),
+    ("phone", r"\+[0-9][ ().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 9 AND 15", 0.6, "phone|tel|call|mobile|fax"),
+    ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", f"{_ALONE} AND len({_COMPACT}) BETWEEN 15 AND 34 AND {_MOD97}", 0.8, "iban|account|konto|compte|cuenta|bank"),
+    ("ssn", r"[0-9]+(?:-[0-9]+)+", f"{_ALONE} AND regexp_full_match(m, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}')", 0.3, "ssn|social security"),
+]
+
+
+def _pii() -> str:
+    near = "lower(substr(x, greatest(s + 1 - 48, 1), least(s, 48)) || ' ' || substr(x, s + len(m) + 1, 48))"
+    parts = " UNION ALL ".join(f"SELECT *, least(1.0, {score} + CASE WHEN regexp_matches({near}, '(?:^|[^a-z])(?:{words})') THEN 0.3 ELSE 0 END) AS score FROM ({_found(r, k, p, c)})" for r, (k, p, c, score, words) in enumerate(_PII))
+    names = [f"n_{k}" for k, *_ in _PII[:4]]
+    counts = ", ".join(f"count(*) FILTER (r = {r}) AS {n}" for r, n in enumerate(names))
+    show = "kind || ':' || s || ':' || (s + len(m))"
+    return f"""WITH f AS (SELECT * FROM ({parts}) WHERE score >= 0.5), a AS (SELECT doc_id, {counts}, string_agg({show}, ',' ORDER BY r, s) FILTER (r < 4) AS b, string_agg({show}, ',' ORDER BY r, s) AS spans, string_agg(printf('%.2f', score::DOUBLE), ',' ORDER BY r, s) AS scores FROM f GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce({n}, 0) AS {n}' for n in names)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM documents d LEFT JOIN a USING (doc_id)"""
+
+
+OP4 = _pii()
+
 OP6 = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({FOLD}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS k FROM d WHERE len(ws) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
