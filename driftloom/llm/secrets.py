@@ -42,9 +42,9 @@ _VALUE = re.compile(rb"""[^:=]*[:=]\x20*["']?(.*)""", re.S)
 class SecretScanner:
     """All rules' spans in a byte string, per rule leftmost, longest and non-overlapping.
 
-    One unanchored automaton for all rules reads each byte once and tells where some
-    rule's match ends. Only there, the rule's reversed automaton finds the leftmost start
-    and its forward automaton the longest end. For this the earliest end must belong to
+    One unanchored automaton for all rules reads each byte once, without going back, and
+    tells where some rule's match ends. There, the rule's reversed automaton finds the leftmost start
+    and its forward automaton the longest end, over the bytes of that match alone. For this the earliest end must belong to
     the leftmost match, which holds if no match of a rule can begin inside a longer one
     and end before that could have ended; tests hold the rules against `re`.
     """
@@ -95,29 +95,23 @@ class SecretScanner:
         return best
 
     def scan(self, data: bytes) -> list[tuple[int, int, int]]:
-        """(rule number, start, end) in bytes. Most texts end in the first loop, where no rule matches at all."""
-        row = self.rows[self.all.start]
-        for b in data:
-            row = row[b]
-            if row[256]:
-                break
-        else:
-            return []
+        """(rule number, start, end) in bytes: one pass over data; around the end of a match its own bytes are looked at again."""
         row, done, out = self.rows[self.all.start], [0] * len(self.rules), []
-        for i, b in enumerate(data):
+        left = iter(data)
+        for b in left:
             row = row[b]
-            mark = row[256]
-            if mark:
+            if row[256]:
+                mark, end = row[256], len(data) - left.__length_hint__()
                 for r, rule in enumerate(self.rules):
-                    if mark >> r & 1 and i >= done[r]:
-                        start = self._leftmost(r, data, i + 1, done[r])
+                    if mark >> r & 1 and end > done[r]:
+                        start = self._leftmost(r, data, end, done[r])
                         if start is None:
                             continue
-                        done[r] = end = self._longest(r, data, start)
-                        if end - start < rule.least:
+                        done[r] = stop = self._longest(r, data, start)
+                        if stop - start < rule.least:
                             continue
-                        if not rule.least_value or len(_VALUE.match(data[start:end])[1]) >= rule.least_value:
-                            out.append((r, start, end))
+                        if not rule.least_value or len(_VALUE.match(data[start:stop])[1]) >= rule.least_value:
+                            out.append((r, start, stop))
         return out
 
 
