@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from operator import eq
+from functools import reduce
+from operator import eq, or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from driftloom.scratch import discard
+
+from .common import arrow_map, materialise
 from .grams import BITS, code_points, letter_codes, shape_codes, trigrams
 
 #: Labelled rows that the model may use: the bound of what is broadcast (TRAIN_ROWS x RANK floats).
@@ -18,6 +21,8 @@ TRAIN_ROWS = 4000
 #: Buckets of the hashed terms; steps of a repetition term; rank of the latent space; neighbours that vote.
 HASHED, STEPS, RANK, NEIGHBOURS = 4096, 16, 48, 25
 BUCKETS = HASHED + 2 * STEPS
+#: Power of the cosine that weighs a vote.
+POWER = 8
 #: What a reached step counts: about as much as a term of a long text.
 STEP_COUNT = 400
 BLOCK = 128
@@ -58,22 +63,38 @@ class QualityModel:
     prior: float
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        v = x @ self.axes
-        size = np.linalg.norm(v, axis=1, keepdims=True)
-        return np.where(size > 1e-9, v / np.maximum(size, 1e-12), 0).astype(np.float32)
+        """Unit vectors of rows of term counts, or zeros. Each row is summed by itself in a fixed order: what it is batched with changes nothing."""
+        out = np.zeros((len(counts), self.axes.shape[1]))
+        for row, c in zip(out, counts, strict=True):
+            terms = np.flatnonzero(c)
+            x = np.log1p(c[terms]) * self.idf[terms]
+            size = np.sqrt((x * x).sum())
+            if size > 0:
+                v = ((x / size)[:, None] * self.axes[terms]).sum(axis=0)
+                size = np.sqrt((v * v).sum())
+                if size > 1e-9:
+                    row[:] = v / size
+        return out
 
     def vote(self, vectors: np.ndarray) -> np.ndarray:
-        """Share of label 1 among the nearest labelled vectors, weighted by cosine above the farthest voter's."""
+        """Share of label 1 among the NEIGHBOURS nearest labelled vectors, each weighted by the eighth power of its cosine.
+
+        Ties go to the labelled row that comes first. The blocked product tells who may be
+        among the nearest; their cosines are then summed in a fixed order.
+        """
         if not len(self.labels):
             return np.full(len(vectors), self.prior)
-        k = min(NEIGHBOURS, len(self.labels))
-        cos = vectors @ self.vectors.T
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        sim = np.maximum(np.take_along_axis(cos, near, axis=1), 0).astype(np.float64) ** 8
-        # one neighbour's worth of the prior keeps votes of nothing near defined
-        return ((sim * self.labels[near]).sum(axis=1) + 0.05 * self.prior) / (sim.sum(axis=1) + 0.05)
+        k, out = min(NEIGHBOURS, len(self.labels)), np.zeros(len(vectors))
+        product = vectors @ self.vectors.T
+        least = np.partition(product, -k, axis=1)[:, -k] - 1e-9
+        for i, (v, row) in enumerate(zip(vectors, product, strict=True)):
+            may = np.flatnonzero(row >= least[i])
+            cos = (self.vectors[may] * v).sum(axis=1)
+            near = np.lexsort((may, -cos))[:k]
+            weight = np.maximum(cos[near], 0) ** POWER
+            # one neighbour's worth of the prior keeps votes of nothing near defined
+            out[i] = ((weight * self.labels[may[near]]).sum() + 0.05 * self.prior) / (weight.sum() + 0.05)
+        return out
 
 
 def fit(rows: list[tuple[str, int]], rank: int = RANK) -> QualityModel:
@@ -81,7 +102,7 @@ def fit(rows: list[tuple[str, int]], rank: int = RANK) -> QualityModel:
     labels = np.array([y for _, y in rows], dtype=np.float64)
     prior = float(labels.mean()) if len(labels) else 0.5
     if not len(rows):
-        return QualityModel(np.ones(BUCKETS), np.zeros((BUCKETS, 1)), np.zeros((0, 1), np.float32), labels, prior)
+        return QualityModel(np.ones(BUCKETS), np.zeros((BUCKETS, 1)), np.zeros((0, 1)), labels, prior)
     counts = np.array([term_counts(t) for t, _ in rows], dtype=np.float32)
     idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     x = np.log1p(counts) * idf
@@ -92,35 +113,38 @@ def fit(rows: list[tuple[str, int]], rank: int = RANK) -> QualityModel:
     for _ in range(2):
         q = np.linalg.qr(x.T @ (x @ q))[0]
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
-    model = QualityModel(idf, (q @ vt[:rank].T).astype(np.float32), np.zeros((0, rank), np.float32), labels, prior)
-    model.vectors = np.concatenate([model.embed(counts[i : i + BLOCK]) for i in range(0, len(counts), BLOCK)])
+    model = QualityModel(idf.astype(np.float64), (q @ vt[:rank].T).astype(np.float64), np.zeros((0, rank)), labels, prior)
+    model.vectors = model.embed(counts.astype(np.float64))
     return model
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable=None, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[tuple[str, int]]:
-    """At most `rows` labelled rows, half of them of each label if there are as many, chosen by a hash of the id.
+    """At most `rows` labelled texts, half of them of each label at most: those that come first by a hash of the id, then by id and text.
 
     usable: a condition on `doc_id` of rows that may be learned from. Null labels, labels
     other than 0 and 1 and null texts teach nothing; ids that are labelled twice count
-    with their smallest label.
+    with their smallest label; rows equal in id and text count once.
     """
     ids = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
     ids = ids if usable is None else ids.where(usable)
     ids = ids.groupBy("doc_id").agg(F.min("y").alias("y")).withColumn("h", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")), F.lit(1 << 30)))
+    ids = materialise(ids, "labelled")
     counts = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}
-    chosen: list[tuple] = []
-    for y, want in ((0, rows // 2), (1, rows // 2)):
-        if y in counts:
-            limit = min(1 << 30, int((1 << 30) * (want * 1.3 + 100) / counts[y]))
-            got = sorted((r.h, r.doc_id) for r in ids.where((F.col("y") == y) & (F.col("h") < limit)).collect())
-            chosen += [(i, y) for _, i in got[:want]]
-    if not chosen:
-        return []
-    spark = docs.sparkSession
-    few = spark.createDataFrame(chosen, ids.select("doc_id", "y").schema)
     lean = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where("t is not null")
-    found = lean.join(F.broadcast(few), "doc_id").select("doc_id", "t", "y").collect()  # at most `rows` ids
-    return [(t, y) for _, t, y in sorted({(r.doc_id, r.t, r.y) for r in found})][: 2 * rows]
+    first, want = Window.partitionBy("y").orderBy("h", "doc_id", "t"), rows // 2
+    shares, chosen = {y: (want * 1.3 + 100) / n for y, n in counts.items()}, {}
+    while shares:  # ids below a bound, so that about the wanted number is joined; more where too few of them have texts
+        below = reduce(or_, [(F.col("y") == y) & (F.col("h") < min(1.0, x) * (1 << 30)) for y, x in shares.items()])
+        few = ids.where(below)
+        small = sum(x * counts[y] for y, x in shares.items()) < 16 * rows
+        found = lean.join(F.broadcast(few) if small else few, "doc_id").dropDuplicates(["doc_id", "t"]).withColumn("r", F.row_number().over(first)).where(F.col("r") <= want)
+        got: dict[int, list] = {y: [] for y in shares}
+        for r in found.select("doc_id", "t", "y").collect():
+            got[r.y].append(tuple(r))
+        chosen |= {y: x for y, x in got.items() if len(x) == want or shares[y] >= 1}
+        shares = {y: 4 * x for y, x in shares.items() if y not in chosen}
+    discard(ids)
+    return [(t, y) for _, t, y in sorted(x for xs in chosen.values() for x in xs)]
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
