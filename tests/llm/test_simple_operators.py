@@ -41,6 +41,78 @@ def test_langid_weights_are_sparse():
     assert model.predict("the dog")[0] == "en" and model.predict("le chien")[0] == "fr"
 
 
+def test_training_equals_brute_force():
+    """FTRL-proximal with both penalties, coordinate by coordinate, and the calibrated temperature."""
+    import math
+
+    rows = [("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("кот и пёс", "ru"), ("a dog", "en"), ("un chien", "fr")] * 6
+    alpha, beta, l1, l2, scale = 0.5, 1.0, 0.002, 0.0005, 20.0
+    model = langid.fit(rows, epochs=2)
+    langs = ["en", "fr", "ru"]
+    feats = [(dict(zip(p.tolist(), tf.tolist(), strict=True)), langs.index(y)) for t, y in rows for p, tf in [langid._features(t)]]
+    df = {}
+    for f, _ in feats:
+        for p in f:
+            df[p] = df.get(p, 0) + 1
+    idf = {p: math.log((1 + len(feats)) / (1 + c)) + 1 for p, c in df.items()}
+    order = np.random.default_rng(7).permutation(len(feats)).tolist()
+    z, n = {}, {}
+
+    def weight(p, k):
+        a, b = z.get((p, k), 0.0), n.get((p, k), 0.0)
+        return 0.0 if abs(a) <= l1 else -(a - math.copysign(l1, a)) / ((beta + math.sqrt(b)) / alpha + l2)
+
+    def chances(x, t=1.0):
+        s = [(weight("bias", k) + sum(v * weight(p, k) for p, v in x.items())) / t for k in range(3)]
+        e = [math.exp(v - max(s)) for v in s]
+        return [v / sum(e) for v in e]
+
+    for _ in range(2):
+        for at, i in enumerate(order):
+            if at % 5:
+                f, y = feats[i]
+                x = {p: tf * idf[p] * scale for p, tf in f.items()}
+                err = [c - (k == y) for k, c in enumerate(chances(x))]
+                new = {}
+                for p, v in [*x.items(), ("bias", 1.0)]:
+                    for k in range(3):
+                        g, a, b = v * err[k], z.get((p, k), 0.0), n.get((p, k), 0.0)
+                        new[p, k] = a + g - (math.sqrt(b + g * g) - math.sqrt(b)) / alpha * weight(p, k), b + g * g
+                for key, (a, b) in new.items():
+                    z[key], n[key] = a, b
+    for p in df:
+        assert np.allclose(model.weights[p], [weight(p, k) * idf[p] * scale for k in range(3)], rtol=1e-4, atol=1e-5)
+    held = [feats[i] for i in order[::5]]
+    loss = lambda t: -sum(math.log(chances({p: tf * idf[p] * scale for p, tf in f.items()}, t)[y] + 1e-12) for f, y in held) / len(held)
+    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121)).tolist()
+    assert math.isclose(loss(model.temperature), min(map(loss, grid)), rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_scripts_are_told_apart():
+    """Letters of other scripts have codes of their own, so that languages outside a-z can be learned."""
+    rows = [("кот и собака живут в доме", "ru"), ("γάτα και σκύλος στο σπίτι", "el"), ("חתול וכלב בבית", "he"), ("猫と犬が家にいます", "ja"), ("고양이와 개가 집에 있다", "ko")] * 12
+    model = langid.fit(rows)
+    for text, lang in (("собака и кот", "ru"), ("σκύλος και γάτα", "el"), ("כלב וחתול", "he"), ("犬と猫", "ja"), ("개와 고양이", "ko")):
+        assert model.predict(text)[0] == lang
+    far = "x" * ((1 << 20) - 1) + "собака"  # over the border of two pieces
+    whole = langid._grams(far)
+    assert whole.shape[1] == langid._grams(far[: 1 << 20]).shape[1] + langid._grams(far[(1 << 20) - 2 :], 2).shape[1]
+
+
+def test_training_rows_are_bounded_by_rows(spark):
+    """Many rows of one id neither crowd the driver nor vanish; the choice does not hang on partitions."""
+    rows = [(1, f"same id {i}", "en") for i in range(3000)] + [(i, f"le chat {i}", "fr") for i in range(30)] + [(None, "no id", "de"), (5, None, "en"), (6, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_rows(df.repartition(5), rows_per_lang=100)
+    assert got == langid.training_rows(df.repartition(2), rows_per_lang=100)
+    assert [sum(y == x for _, y in got) for x in ("de", "en", "fr")] == [1, 100, 30]
+    same = spark.createDataFrame([(1, "one row", "en")] * 500, df.schema)
+    assert langid.training_rows(same, rows_per_lang=10) == [("one row", "en")] * 10
+    labels = spark.createDataFrame([(1, 1), *[(i, i % 2) for i in range(2, 30)]], "doc_id long, quality int")
+    some = quality.training_rows(df, labels, rows=20)
+    assert some == quality.training_rows(df.repartition(7), labels, rows=20) and [sum(y == k for _, y in some) for k in (0, 1)] == [10, 10]
+
+
 # ------------------------------------------------------------ 2: sharding
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 5000), st.integers(0, 2**64 - 1))
@@ -138,6 +210,16 @@ def test_cuts_that_make_windows_are_cut_again(spark, monkeypatch, block):
     assert left == "q\nr"
 
 
+@pytest.mark.parametrize("block", [2_000_000, 3])
+def test_decontaminate_keeps_columns_of_any_name(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    items = spark.createDataFrame([(1, "a b"), (2, "c d")], "item_id long, text string")
+    rows = [(1, "z a b y c d x", 4, "k", [1], 13, None), (2, None, None, None, None, None, 1), (3, "plain", 1, "", [], 5, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n_words int, _n_hit string, _spans array<int>, n_chars int, _items int")
+    out = sorted(map(tuple, decontaminate.decontaminate(docs, items, max_coverage=0.9, chars_col="n_chars").collect()))
+    assert out == [(1, "z\n y\nx", 4, "k", [1], 6, None), *rows[1:]]
+
+
 # ------------------------------------------------------------ 4: PII
 def brute_pii(text):
     out = []
@@ -186,6 +268,38 @@ def test_pii_odd_rows_checksums_and_redaction(spark, odd, none):
     assert pii.pii_report(long).where("spans <> ''").count() == 0
 
 
+def test_redaction_keeps_columns_of_any_name(spark):
+    rows = [(1, "a@b.org and a@b.org", "x", [1], 3, 19), (2, "none", "y", [2], 4, 7), (3, None, "z", None, 5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _hit0 string, _spans array<int>, _redacted int, n_chars int")
+    out = sorted(map(tuple, pii.redact(df, chars_col="n_chars").collect()))
+    assert out == [(1, "[EMAIL] and [EMAIL]", "x", [1], 3, 19), (2, "none", "y", [2], 4, 7), (3, None, "z", None, 5, None)]
+
+
+def test_pii_in_texts_full_of_it(spark):
+    """Many matches in one text: places, overlaps and the time they take."""
+    import time
+
+    pieces = [f"u{i}@é{i % 7}.de 10.0.{i % 256}.1 x" for i in range(300)]
+    text = "; ".join(pieces)
+    row = pii.pii_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    check_pii([row], {1: text})
+    mixed = "+49 30 1234567 4111 1111 1111 1111 a@1.2.3.4 b@1.2.3.4.c"
+    docs = spark.createDataFrame([(1, mixed), (2, text)], "doc_id long, text string")
+    spans = {r.doc_id: [s.split(":") for s in r.spans.split(",")] for r in pii.pii_report(docs).collect()}
+    for r in pii.redact(docs).collect():
+        source, out, at = {1: mixed, 2: text}[r.doc_id], [], 0
+        order = [k.name for k in pii.BASE_KINDS + pii.MORE_KINDS]
+        for start, _, end, kind in sorted((int(a), order.index(k), int(b), k) for k, a, b in spans[r.doc_id]):
+            if start >= at:
+                out += [source[at:start], f"[{kind.upper()}]"]
+            at = max(at, end)
+        assert r.text == "".join(out) + source[at:]
+    many = spark.createDataFrame([(1, "mail a@b.org now " * 20_000)], "doc_id long, text string")
+    for run in (lambda: pii.pii_report(many).first().n_email, lambda: pii.redact(many).first().text.count("[EMAIL]")):
+        begin = time.perf_counter()
+        assert run() == 20_000 and time.perf_counter() - begin < 30
+
+
 # ------------------------------------------------------------ 5: secrets
 BASE = [
     (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
@@ -298,6 +412,42 @@ def test_equals_sql(spark, name):
     assert compare(spark, queries.queries()[name], queries.oracle_sql()[name], SF) is None
 
 
+def test_votes_equal_brute_force(spark, documents):
+    """TF-IDF, projection and vote of every document, term by term; ties to the labelled row that comes first."""
+    import math
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = quality.training_rows(documents, labels)
+    model = quality.fit(rows + rows[:30])  # repeated rows tie
+    base = [(v.tolist(), y) for v, y in zip(model.vectors, model.labels.tolist(), strict=True)]
+    got = {r.doc_id: r.score for r in quality.score(documents, model).collect()}
+    for d in documents.limit(40).collect():
+        x = [math.log1p(c) * i for c, i in zip(quality.term_counts(d.text).tolist(), model.idf.tolist(), strict=True)]
+        size = math.sqrt(sum(v * v for v in x))
+        vec = [sum(v / size * a for v, a in zip(x, axis, strict=True) if v) for axis in model.axes.T.tolist()]
+        size = math.sqrt(sum(v * v for v in vec))
+        cos = sorted(((-round(sum(a * b for a, b in zip(v, vec, strict=True)) / size, 12), k) for k, (v, _) in enumerate(base)))[: quality.NEIGHBOURS]
+        weights = [(max(-c, 0) ** quality.POWER, base[k][1]) for c, k in cos]
+        want = (sum(w * y for w, y in weights) + 0.05 * model.prior) / (sum(w for w, _ in weights) + 0.05)
+        assert abs(got[d.doc_id] - want) < 1e-9
+
+
+def test_quality_axes_are_those_of_the_matrix(spark, documents):
+    """The truncated SVD keeps about as much of the TF-IDF rows as the whole one of that rank."""
+    rows = quality.training_rows(documents, spark.read.parquet(f"{SF}/labels.parquet"))
+    model = quality.fit(rows)
+    x = np.log1p(np.array([quality.term_counts(t) for t, _ in rows])) * model.idf
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    best = (np.linalg.svd(x, compute_uv=False)[: model.axes.shape[1]] ** 2).sum()
+    assert ((x @ model.axes) ** 2).sum() > 0.99 * best
+
+
+def test_quality_scores_do_not_hang_on_partitions(spark, documents):
+    model = queries.quality_model(spark, documents, SF)
+    scores = [{r.doc_id: r.score for r in quality.score(documents.repartition(n), model).collect()} for n in (1, 13)]
+    assert scores[0] == scores[1]
+
+
 def test_quality_hears_repetition(spark):
     """Words said over and over are no quality, in words that no labelled row has."""
     said = quality.term_counts("Vorp vorp is. " + "zzub " * 60)
