@@ -82,9 +82,32 @@ def _pairs(cells: DataFrame) -> DataFrame:
 
 
 def near_pairs(sigs: DataFrame, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS) -> DataFrame:
-    """(a, b, est) for all a < b whose estimate reaches the threshold; exact, by an equi-join on bands. The result itself is all pairs of a group."""
+    """(a, b, est) for all a < b whose estimate reaches the threshold; exact, by an equi-join on bands.
+
+    Only the first document of each signature is joined; its pairs then hold for all that
+    share the signature. The result itself is all pairs of a group; representative_pairs
+    has what it says without them.
+    """
+    firsts, members = representatives(sigs)
+    pairs = representative_pairs(firsts, threshold, permutations)
+    equal = members.groupBy("first").agg(F.count("*").alias("c")).where("c > 1").select(F.col("first").alias("a"), F.col("first").alias("b"), F.lit(1.0).alias("est"))
+    side = lambda x, y: members.select(F.col("first").alias(x), F.col("doc_id").alias(y))
+    both = pairs.unionByName(equal).join(side("a", "x"), "a").join(side("b", "y"), "b")
+    ordered = both.where((F.col("a") < F.col("b")) | (F.col("x") < F.col("y")))
+    return ordered.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "est")
+
+
+def representatives(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, sig) of the first document of each signature, and (first, doc_id) of all."""
     sigs = materialise(sigs, "sigs")
-    return _verified(_pairs(materialise(_cells(sigs, threshold, permutations), "cells")), sigs, threshold)
+    firsts = materialise(sigs.groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "firsts")
+    members = materialise(sigs.join(firsts.withColumnRenamed("doc_id", "first"), "sig").select("first", "doc_id"), "members")
+    return firsts, members
+
+
+def representative_pairs(firsts: DataFrame, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS) -> DataFrame:
+    """(a, b, est) between documents of different signatures."""
+    return _verified(_pairs(materialise(_cells(firsts, threshold, permutations), "cells")), firsts, threshold)
 
 
 #: Band pairs per band entry up to which all pairs are joined; above, leaders thin the bands out first.
