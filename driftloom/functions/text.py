@@ -11,13 +11,21 @@ from pyspark.sql import functions as F
 
 #: The white space that Python's str.split() knows; Java's \s alone lacks some.
 BLANKS = r"\s\x1c-\x1f\x85   -     　"
+#: Patterns of the cleaning steps.
+TAG = "<[^>]+>"
+LINK = r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]"
+URL_WITH_WORDS = rf"\[https?://[^{BLANKS}]+[{BLANKS}]+([^\]]+)\]"
+URL_ALONE = rf"\[https?://[^{BLANKS}]+\]"
+HEADING = "={2,}([^=]+)={2,}"
+FILE_LINK = r"(?i)\[\[(?:File|Image|Media):[^\]]+\]\]"
+BLANK_RUN, LINE_RUN = "[ \t]+", "\n{3,}"
 #: Fixed values of the reference semantics.
 MIN_TOKENS, CONTROL_SHARE, NON_ASCII_SHARE = 50, 0.01, 0.30
 
 
 def tokens(text: Column) -> Column:
     """Whitespace tokens, case and punctuation kept. Null text: no tokens."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{BLANKS}]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{BLANKS}]+"), "")
 
 
 def strip_blank(text: Column) -> Column:
@@ -42,26 +50,26 @@ def shingles(text: Column, n: int = 5) -> Column:
 
 
 def strip_tags(text: Column) -> Column:
-    return F.regexp_replace(text, "<[^>]+>", " ")
+    return F.regexp_replace(text, TAG, " ")
 
 
 def resolve_links(text: Column) -> Column:
     """[[target|shown]] and [[shown]] become shown; [http... shown] becomes shown; a bare [http...] goes."""
-    text = F.regexp_replace(text, r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1")
-    text = F.regexp_replace(text, rf"\[https?://[^{BLANKS}]+[{BLANKS}]+([^\]]+)\]", "$1")
-    return F.regexp_replace(text, rf"\[https?://[^{BLANKS}]+\]", "")
+    text = F.regexp_replace(text, LINK, "$1")
+    text = F.regexp_replace(text, URL_WITH_WORDS, "$1")
+    return F.regexp_replace(text, URL_ALONE, "")
 
 
 def strip_headings(text: Column) -> Column:
     """==heading== keeps its words; file links that still stand go (after resolve_links none do)."""
-    text = F.regexp_replace(text, "={2,}([^=]+)={2,}", "$1")
-    return F.regexp_replace(text, r"(?i)\[\[(?:File|Image|Media):[^\]]+\]\]", "")
+    text = F.regexp_replace(text, HEADING, "$1")
+    return F.regexp_replace(text, FILE_LINK, "")
 
 
 def squeeze(text: Column) -> Column:
     """Runs of blanks and tabs to one blank, three and more line feeds to two, ends stripped."""
-    text = F.regexp_replace(text, "[ \t]+", " ")
-    return strip_blank(F.regexp_replace(text, "\n{3,}", "\n\n"))
+    text = F.regexp_replace(text, BLANK_RUN, " ")
+    return strip_blank(F.regexp_replace(text, LINE_RUN, "\n\n"))
 
 
 def is_redirect(text: Column) -> Column:
