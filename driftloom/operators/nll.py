@@ -34,25 +34,37 @@ class BigramScorer:
     def __init__(self, cohort: DataFrame, lam: float = 0.5, alpha: float = 1.0):
         self.pairs, self.lam, self.alpha = _pairs(cohort), lam, alpha
 
-    def score(self, docs: DataFrame, *keep: str) -> DataFrame:
+    def score(self, docs: DataFrame, *keep: str, max_length: int | None = None) -> DataFrame:
+        """(doc_id, keep.., pos, nll) of every token, or of the first max_length of each document."""
+        return score_together([self], docs, *keep, max_length=max_length).withColumnRenamed("nll_0", "nll")
+
+    def losses(self, asked: DataFrame) -> DataFrame:
+        """(prev, w, nll) for distinct pairs (prev, w): frequent words don't make the joins skewed."""
         fit = self.pairs.groupBy("prev", "w").agg(F.count("*").alias("cvw"))
         uni = fit.groupBy("w").agg(F.sum("cvw").alias("cw"))
         prev = fit.where("prev is not null").groupBy("prev").agg(F.sum("cvw").alias("cv"))
         size = uni.agg(F.sum("cw").alias("n"), F.count("*").alias("v"))
-        text = _pairs(docs, *keep)
-        # probabilities are joined to distinct pairs, so frequent words don't make the joins skewed
-        asked = text.select("prev", "w").distinct()
         known = asked.join(fit, asked.prev.eqNullSafe(fit.prev) & (asked.w == fit.w), "left").select(asked.prev, asked.w, "cvw")
         known = known.join(uni, "w", "left").join(prev, "prev", "left").crossJoin(F.broadcast(size))  # size is one row
         low = (F.coalesce("cw", F.lit(0)) + self.alpha) / (F.coalesce("n", F.lit(0)) + self.alpha * (F.col("v") + 1))
         p = F.when(F.col("prev").isNull() | F.col("cv").isNull(), low).otherwise(self.lam * F.coalesce("cvw", F.lit(0)) / F.col("cv") + (1 - self.lam) * low)
-        losses = known.select(F.col("prev").alias("_p"), F.col("w").alias("_w"), (-F.log(p)).alias("nll"))
-        return text.join(losses, text.prev.eqNullSafe(losses["_p"]) & (text.w == losses["_w"])).select("doc_id", *keep, "pos", "nll")
+        return known.select("prev", "w", (-F.log(p)).alias("nll"))
+
+
+def score_together(scorers: Sequence[BigramScorer], docs: DataFrame, *keep: str, max_length: int | None = None) -> DataFrame:
+    """(doc_id, keep.., pos, nll_0, nll_1, ..): the tokens are dealt out once for all scorers."""
+    text = _pairs(docs, *keep, max_length=max_length)
+    out = text
+    for k, scorer in enumerate(scorers):
+        found = scorer.losses(text.select("prev", "w").distinct()).select(F.col("prev").alias("_p"), F.col("w").alias("_w"), F.col("nll").alias(f"nll_{k}"))
+        out = out.join(found, out.prev.eqNullSafe(found["_p"]) & (out.w == found["_w"])).drop("_p", "_w")
+    return out.select("doc_id", *keep, "pos", *[f"nll_{k}" for k in range(len(scorers))])
 
 
-def _pairs(docs: DataFrame, *keep: str) -> DataFrame:
-    """(doc_id, keep.., pos, prev, w) of every token; prev is null for the first."""
-    t = docs.select("doc_id", *keep, tokens(F.col("text")).alias("t"))
+def _pairs(docs: DataFrame, *keep: str, max_length: int | None = None) -> DataFrame:
+    """(doc_id, keep.., pos, prev, w) of every token, or of the first max_length; prev is null for the first."""
+    words = tokens(F.col("text"))
+    t = docs.select("doc_id", *keep, (words if max_length is None else F.slice(words, 1, max_length)).alias("t"))
     pair = F.transform("t", lambda w, i: F.struct((i + 1).alias("pos"), F.when(i > 0, F.element_at("t", F.greatest(i, F.lit(1)))).alias("prev"), w.alias("w")))
     return t.select("doc_id", *keep, F.explode(pair).alias("x")).select("doc_id", *keep, "x.pos", "x.prev", "x.w")
 
@@ -107,8 +119,13 @@ def ppl_ratio(ppls: DataFrame, baseline: float = BASELINE_PPL, cap: float = MAX_
 
 def inversion(ppl_g0: DataFrame, ppl_gk: DataFrame) -> DataFrame:
     """One row of the ratio ppl_G0 / ppl_Gk over documents valid under both, joined by id."""
-    ok = lambda d, n: d.where(finite(F.col("ppl"))).select("doc_id", F.col("ppl").alias(n))
-    r = ok(ppl_g0, "p0").join(ok(ppl_gk, "pk"), "doc_id").withColumn("r", F.col("p0") / F.col("pk"))
+    named = lambda d, n: d.select("doc_id", F.col("ppl").alias(n))
+    return inversion_of(named(ppl_g0, "p0").join(named(ppl_gk, "pk"), "doc_id"))
+
+
+def inversion_of(ppls: DataFrame) -> DataFrame:
+    """As inversion(), from one table (p0, pk)."""
+    r = ppls.where(finite(F.col("p0")) & finite(F.col("pk"))).withColumn("r", F.col("p0") / F.col("pk"))
     return r.agg(F.count("*").alias("n_valid_samples"), F.avg("p0").alias("ppl_under_g0"), F.avg("pk").alias("ppl_under_gk"), F.avg("r").alias("perplexity_inversion_ratio"), F.stddev_pop("r").alias("std_ppl_inversion_ratio"), (F.avg("r") - 1).alias("ratio_deviation_from_1"))
 
 

@@ -625,8 +625,8 @@ def _cap_docs(spark, d):
     return docs(spark, d).select("doc_id", "lang", "source", "text")
 
 
-def _losses(spark, d, fit="lang = 'en'", *keep):
-    return nll.BigramScorer(docs(spark, d).where(fit)).score(_cap_docs(spark, d), *keep)
+def _losses(spark, d, fit="lang = 'en'", *keep, max_length=None):
+    return nll.BigramScorer(docs(spark, d).where(fit)).score(_cap_docs(spark, d), *keep, max_length=max_length)
 
 
 def _nll_sql(fit: str, name: str = "nll") -> str:
@@ -662,7 +662,7 @@ def windowed_ppl(spark, d):
 
 @query(f"WITH {_PPL}, t AS (SELECT doc_id, exp(avg(nll)) AS ppl FROM nll WHERE pos <= 128 GROUP BY doc_id HAVING count(*) > 1) SELECT round(avg(ppl), 4) AS mean_ppl, round(44.44 / avg(ppl), 6) AS ppl_ratio_vs_baseline, count(*) AS n_valid FROM t WHERE ppl < 10000")
 def ppl_ratio(spark, d):
-    r = nll.ppl_ratio(nll.doc_ppl(_losses(spark, d), max_length=128))
+    r = nll.ppl_ratio(nll.doc_ppl(_losses(spark, d, max_length=128)))
     return r.select(F.round("mean_ppl", 4).alias("mean_ppl"), F.round("ppl_ratio_vs_baseline", 6).alias("ppl_ratio_vs_baseline"), "n_valid")
 
 
@@ -728,7 +728,7 @@ _PPL_K = f"""{_nll_sql(_K + ' = 0', 'na')}, pg AS (SELECT doc_id, any_value({_K}
 def ppl_from_ratio(spark, d):
     """Records that have a ratio but no perplexity of their own; the ratios are made up."""
     n = "cast(substr(source, 4) as int) % 5"
-    ppl = nll.doc_ppl(_losses(spark, d, f"{n} = 0", "source"), "source", max_length=128).where("ppl is not null")
+    ppl = nll.doc_ppl(_losses(spark, d, f"{n} = 0", "source", max_length=128), "source").where("ppl is not null")
     ref = rounded(ppl.groupBy(cohort()).agg(F.avg("ppl").alias("ppl_ref")), 4)
     return rounded(nll.ppl_under_gk(ref.select("k", "ppl_ref", (1 + F.col("k") / 4).alias("ratio"), F.lit(None).cast("double").alias("ppl_gk"))), 4)
 
@@ -740,7 +740,7 @@ def _by_source(spark, d):
     """ttr, kl and perplexity ratio of every source; no vectors belong to them."""
     uni = lexical.token_counts(docs(spark, d), ["source"])
     lex = lexical.shape(uni, ["source"]).select("source", "ttr").join(lexical.kl(uni, _en_base(spark, d), ["source"]), "source")
-    ratio = nll.ppl_ratio(nll.doc_ppl(_losses(spark, d, "lang = 'en'", "source"), "source", max_length=128), by=["source"]).select("source", F.col("ppl_ratio_vs_baseline").alias("ppl_ratio"))
+    ratio = nll.ppl_ratio(nll.doc_ppl(_losses(spark, d, "lang = 'en'", "source", max_length=128), "source"), by=["source"]).select("source", F.col("ppl_ratio_vs_baseline").alias("ppl_ratio"))
     return rounded(lex.join(ratio, "source", "left")).withColumn("coverage", F.lit(1.0))
 
 
@@ -772,8 +772,10 @@ _INV = f"{_nll_sql(_K + ' = 0', 'na')}, {_nll_sql(_K + ' = 1', 'nb')}, pa AS (SE
 @query(f"WITH {_INV} SELECT count(*) AS n_valid_samples, round(avg(p0), 4) AS ppl_under_g0, round(avg(pk), 4) AS ppl_under_gk, round(avg(p0 / pk), 4) AS perplexity_inversion_ratio, round(stddev_pop(p0 / pk), 4) AS std_ppl_inversion_ratio, round(avg(p0 / pk) - 1, 4) AS ratio_deviation_from_1 FROM pa JOIN pb USING (doc_id)")
 def ppl_inversion(spark, d):
     k = "cast(substr(source, 4) as int) % 5"
-    p = [nll.doc_ppl(_losses(spark, d, f"{k} = {g}"), max_length=128) for g in (0, 1)]
-    return rounded(nll.inversion(*p), 4)
+    scorers = [nll.BigramScorer(docs(spark, d).where(f"{k} = {g}")) for g in (0, 1)]
+    both = nll.score_together(scorers, _cap_docs(spark, d), max_length=128)
+    ppls = both.groupBy("doc_id").agg(*[F.when(F.count("*") > 1, F.exp(F.avg(f"nll_{g}"))).alias(n) for g, n in enumerate(("p0", "pk"))])
+    return rounded(nll.inversion_of(ppls), 4)
 
 
 # ---------------------------------------------------------------- E: near duplicates
