@@ -67,7 +67,7 @@ class QualityModel:
         out = np.zeros((len(counts), self.axes.shape[1]))
         for row, c in zip(out, counts, strict=True):
             terms = np.flatnonzero(c)
-            x = np.log1p(c[terms]) * self.idf[terms]
+            x = np.log1p(c[terms].astype(np.float64)) * self.idf[terms]
             size = np.sqrt((x * x).sum())
             if size > 0:
                 v = ((x / size)[:, None] * self.axes[terms]).sum(axis=0)
@@ -103,18 +103,22 @@ def fit(rows: list[tuple[str, int]], rank: int = RANK) -> QualityModel:
     prior = float(labels.mean()) if len(labels) else 0.5
     if not len(rows):
         return QualityModel(np.ones(BUCKETS), np.zeros((BUCKETS, 1)), np.zeros((0, 1)), labels, prior)
-    counts = np.array([term_counts(t) for t, _ in rows], dtype=np.float32)
-    idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = np.log1p(counts) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    counts = np.empty((len(rows), BUCKETS), np.float32)  # 66 MB at most, and as much for x
+    for row, (text, _) in zip(counts, rows, strict=True):
+        row[:] = term_counts(text)
+    idf = np.log((1 + len(rows)) / (1 + np.count_nonzero(counts, axis=0))) + 1
+    x = np.log1p(counts)
+    x *= idf.astype(np.float32)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
     # randomised range finder with two power steps, then an SVD of the small matrix
     rank = min(rank, *x.shape)
     q = np.linalg.qr(x.T @ np.random.default_rng(3).standard_normal((len(x), min(rank + 16, len(x)))).astype(np.float32))[0]
     for _ in range(2):
         q = np.linalg.qr(x.T @ (x @ q))[0]
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
-    model = QualityModel(idf.astype(np.float64), (q @ vt[:rank].T).astype(np.float64), np.zeros((0, rank)), labels, prior)
-    model.vectors = model.embed(counts.astype(np.float64))
+    del x
+    model = QualityModel(idf, (q @ vt[:rank].T).astype(np.float64), np.zeros((0, rank)), labels, prior)
+    model.vectors = model.embed(counts)
     return model
 
 
