@@ -24,7 +24,7 @@ from .sharding import Feistel
 #: Fills the end of a document's last sequence; no token has this id.
 PAD = 65535
 #: Words that a worker may remember, and as many older ones.
-CACHE = 400_000
+CACHE = 100_000
 #: Passes over the stored tokens that write the shards: the shuffle on disk is that fraction of them.
 GROUPS = 2
 #: File beside the shards that tells of what they were made.
