@@ -15,7 +15,7 @@ from driftloom.numbering import number_rows
 from driftloom.scratch import broadcast_if_small, materialise, scratch_path
 from driftloom.sources.readers import table
 
-__all__ = ["WordHashes", "arrow_map", "broadcast_if_small", "crc_mod", "free_name", "hash64", "map_batches", "materialise", "mix64", "number_rows", "scratch_path", "table"]
+__all__ = ["WordHashes", "arrow_map", "broadcast_if_small", "crc_mod", "free_name", "give_back", "hash64", "map_batches", "materialise", "mix64", "number_rows", "scratch_path", "table"]
 
 #: Bytes of an Arrow batch; a longer row is a batch of its own.
 BATCH_BYTES = 2 << 20
@@ -51,13 +51,13 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return df.mapInArrow(trimmed, schema)
 
 
-def _give_back() -> None:
-    """Return what a task freed to the system: workers are kept, and Arrow and the C library keep free memory otherwise."""
+def give_back() -> None:
+    """Return freed memory to the system: workers and the driver live on, and Arrow and the C library keep it otherwise."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
     if trim:

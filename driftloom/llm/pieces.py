@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map
+from .common import arrow_map, give_back
 
 #: The piece model of the environment; a parameter of every function here.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -401,6 +401,7 @@ def encode_pieces(docs: DataFrame, model_file: str = MODEL_FILE, text_col: str =
     """
     base = docs.drop(ids_col, "n_pieces", check_col)
     shared = docs.sparkSession.sparkContext.broadcast(machine or PieceMachine(model_file))  # size: that of the model
+    give_back()
     schema = T.StructType([*base.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField(check_col, T.BooleanType())])
     at, names = base.columns.index(text_col), schema.names
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from driftloom.scratch import discard
 
-from .common import arrow_map, materialise
+from .common import arrow_map, give_back, materialise
 from .grams import BITS, code_points, letter_codes, shape_codes, trigrams
 
 #: Labelled rows that the model may use: the bound of what is broadcast (TRAIN_ROWS x RANK floats).
@@ -54,6 +54,16 @@ def term_counts(text: str) -> np.ndarray:
     return out
 
 
+def _direction(weights: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit vector of a row of term weights in the latent space, or zeros; summed term by term."""
+    terms = np.flatnonzero(weights)
+    x = weights[terms].astype(np.float64)
+    size = np.sqrt((x * x).sum())
+    v = ((x / size)[:, None] * axes[terms]).sum(axis=0) if size > 0 else np.zeros(axes.shape[1])
+    size = np.sqrt((v * v).sum())
+    return v / size if size > 1e-9 else np.zeros(axes.shape[1])
+
+
 @dataclass
 class QualityModel:
     idf: np.ndarray
@@ -64,17 +74,7 @@ class QualityModel:
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
         """Unit vectors of rows of term counts, or zeros. Each row is summed by itself in a fixed order: what it is batched with changes nothing."""
-        out = np.zeros((len(counts), self.axes.shape[1]))
-        for row, c in zip(out, counts, strict=True):
-            terms = np.flatnonzero(c)
-            x = np.log1p(c[terms].astype(np.float64)) * self.idf[terms]
-            size = np.sqrt((x * x).sum())
-            if size > 0:
-                v = ((x / size)[:, None] * self.axes[terms]).sum(axis=0)
-                size = np.sqrt((v * v).sum())
-                if size > 1e-9:
-                    row[:] = v / size
-        return out
+        return np.array([_direction(np.log1p(c.astype(np.float64)) * self.idf, self.axes) for c in counts]).reshape(len(counts), -1)
 
     def vote(self, vectors: np.ndarray) -> np.ndarray:
         """Share of label 1 among the NEIGHBOURS nearest labelled vectors, each weighted by the eighth power of its cosine.
@@ -103,11 +103,11 @@ def fit(rows: list[tuple[str, int]], rank: int = RANK) -> QualityModel:
     prior = float(labels.mean()) if len(labels) else 0.5
     if not len(rows):
         return QualityModel(np.ones(BUCKETS), np.zeros((BUCKETS, 1)), np.zeros((0, 1)), labels, prior)
-    counts = np.empty((len(rows), BUCKETS), np.float32)  # 66 MB at most, and as much for x
-    for row, (text, _) in zip(counts, rows, strict=True):
+    x = np.empty((len(rows), BUCKETS), np.float32)  # 66 MB at most
+    for row, (text, _) in zip(x, rows, strict=True):
         row[:] = term_counts(text)
-    idf = np.log((1 + len(rows)) / (1 + np.count_nonzero(counts, axis=0))) + 1
-    x = np.log1p(counts)
+    idf = np.log((1 + len(rows)) / (1 + np.count_nonzero(x, axis=0))) + 1
+    np.log1p(x, out=x)
     x *= idf.astype(np.float32)
     x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
     # randomised range finder with two power steps, then an SVD of the small matrix
@@ -116,10 +116,11 @@ def fit(rows: list[tuple[str, int]], rank: int = RANK) -> QualityModel:
     for _ in range(2):
         q = np.linalg.qr(x.T @ (x @ q))[0]
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
+    axes = (q @ vt[:rank].T).astype(np.float64)
+    vectors = np.array([_direction(row, axes) for row in x])
     del x
-    model = QualityModel(idf, (q @ vt[:rank].T).astype(np.float64), np.zeros((0, rank)), labels, prior)
-    model.vectors = model.embed(counts)
-    return model
+    give_back()
+    return QualityModel(idf, axes, vectors, labels, prior)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable=None, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[tuple[str, int]]:
