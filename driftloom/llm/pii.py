@@ -38,7 +38,7 @@ BASE_KINDS = (
 )
 MORE_KINDS = (
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", 0.8, "iban|account|konto|compte|cuenta|bank", True),
-    Kind("ssn", r"[0-9]+(?:-[0-9]+)+", 0.3, "ssn|social security", True),  # kept only near such words
+    Kind("ssn", r"(?<![0-9])[0-9]++(?:-[0-9]++)++", 0.3, "ssn|social security", True),  # kept only near such words
 )
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
