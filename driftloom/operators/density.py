@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from driftloom.functions.numeric import relative_change
 from driftloom.operators import vectors
 from driftloom.operators.vectors import Base, map_against, parts
+from driftloom.scratch import materialise
 
 #: The bandwidth grids, the percentile of the tail.
 GRID = tuple(float(x) for x in np.logspace(-2, math.log10(2), 15))
@@ -129,6 +130,7 @@ def tail_mass(gen_ll: DataFrame, base_ll: DataFrame, threshold: float) -> DataFr
 
 def tail_by_cohort(ll: DataFrame, by: str, baseline: int = 0, percentile: float = TAIL) -> DataFrame:
     """(by, n, mean_ll, tail_mass_fraction, rel_change): shares below the percentile of the baseline cohort, whose density ll should be."""
+    ll = materialise(ll, "ll")  # three readers
     limit = tail_threshold(ll.where(F.col(by) == baseline), percentile)
     below = F.avg((F.col("ll") < F.col("threshold")).cast("double"))
     out = ll.crossJoin(F.broadcast(limit)).groupBy(by).agg(F.count("*").alias("n"), F.avg("ll").alias("mean_ll"), below.alias("tail_mass_fraction"))  # limit is one row

@@ -215,7 +215,7 @@ def two_nn_dim(df: DataFrame, vec: str = "vec", discard: float = 0.1) -> DataFra
         return {"r1": near[:, 0], "r2": near[:, 1]}
 
     mu = map_against(df, Base(df, vec), fn, "r1 double, r2 double", vec).where("r1 > 0").select(F.log(F.col("r2") / F.col("r1")).alias("lm"))
-    ranked, n = number_rows(mu, ["lm"], "mu")
+    ranked, n = number_rows(materialise(mu, "mu"), ["lm"], "mu-ranks")  # written once: finding the ranges reads it, too
     kept = ranked.withColumn("i", F.col("row_no") + 1).where(F.col("i") <= math.floor(n * (1 - discard))).withColumn("y", -F.log(1 - F.col("i") / F.lit(max(n, 1))))
     return kept.agg((F.sum(F.col("lm") * F.col("y")) / F.sum(F.col("lm") ** 2)).alias("dim"), F.count("*").alias("n"))
 

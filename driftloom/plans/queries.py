@@ -520,7 +520,7 @@ def kde_loglik(spark, d):
 
 @query(f"WITH {_KDE}, h AS (SELECT quantile_cont(ll, 0.05) AS threshold FROM ll WHERE label < 5) SELECT round(avg(ll) FILTER (label >= 5), 6) AS mean_ll, round(stddev_pop(ll) FILTER (label >= 5), 6) AS std_ll, round(avg((ll < threshold)::INT) FILTER (label >= 5), 6) AS tail_mass_fraction, round(avg((ll < threshold)::INT) FILTER (label < 5), 6) AS baseline_tail_fraction, round((avg((ll < threshold)::INT) FILTER (label >= 5) - avg((ll < threshold)::INT) FILTER (label < 5)) / avg((ll < threshold)::INT) FILTER (label < 5), 6) AS tail_fraction_rel_change FROM ll CROSS JOIN h")
 def tail_mass(spark, d):
-    ll = _ll(spark, d)
+    ll = materialise(_ll(spark, d), "ll")  # three readers
     t = density.tail_threshold(ll.where("label < 5")).first()[0]
     return rounded(density.tail_mass(ll.where("label >= 5"), ll.where("label < 5"), t))
 
