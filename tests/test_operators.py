@@ -291,6 +291,20 @@ def test_ppl_forms(spark):
     assert nll.ppl_under_gk(spark.createDataFrame([(None, 10.0, 2.0)], "ppl_gk double, ppl_ref double, ratio double")).first().ppl_gk == 5
 
 
+def test_ppl_of_equal_losses_is_equal_to_the_last_bit(spark):
+    x = [float(v) for v in np.random.default_rng(3).exponential(9, 130)]
+    rows = [(i, p + 1, x[p]) for i in range(20) for p in np.random.default_rng(i).permutation(130).tolist()] + [(99, 1, 2.0)]
+    losses = spark.createDataFrame(rows, "doc_id long, pos int, nll double").repartition(7)
+    got = {r.doc_id: (r.n, r.ppl) for r in nll.doc_ppl(losses, ordered=True).collect()}
+    total = 0.0
+    for v in x:
+        total += v
+    assert got.pop(99) == (1, None) and len(got) == 20 and len(set(got.values())) == 1
+    assert got[0] == (130, pytest.approx(math.exp(total / 130), rel=1e-15))
+    with pytest.raises(ValueError):
+        nll.doc_ppl(losses, window=16, ordered=True)
+
+
 # ------------------------------------------------------------ sampling, sources, packs
 def test_sampling(spark):
     docs = spark.range(1000).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("x"))

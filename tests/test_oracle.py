@@ -1,5 +1,6 @@
 """Every query with SQL gives the rows that DuckDB gives; every query runs."""
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -17,6 +18,21 @@ def test_equals_sql(spark, con, name):
     assert compare(spark, own.QUERIES[name], own.SQL[name], DATA, con) is None
 
 
+def test_length_verdict_ranks_unrounded_perplexities(spark):
+    folder = "/root/testdata/sf0.01"
+    one = connect(folder)
+    one.execute("SET threads=1")  # with more, DuckDB adds losses in changing orders and breaks other ties
+    assert compare(spark, own.QUERIES["length_verdict"], own.SQL["length_verdict"], folder, one) is None
+
+
+def test_length_verdict_of_no_short_documents(spark, tmp_path):
+    rows = [(i, "a b " * 68, "en", "src0") for i in range(3)]  # 136 words: no bucket
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert compare(spark, own.QUERIES["length_verdict"], own.SQL["length_verdict"], str(tmp_path), con) is None
+
+
 @pytest.mark.parametrize("name", sorted(set(own.QUERIES) - set(own.SQL)))
 def test_runs(spark, name):
     assert own.QUERIES[name](spark, DATA).count() > 0
