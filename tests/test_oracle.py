@@ -33,6 +33,20 @@ def test_length_verdict_of_no_short_documents(spark, tmp_path):
     assert compare(spark, own.QUERIES["length_verdict"], own.SQL["length_verdict"], str(tmp_path), con) is None
 
 
+def odd_pages(spark, folder):
+    """Pages cut within an entity, as titles at sf0.1 are, and entities side by side."""
+    cuts = ["<title>a &amp</title> b &lt", "&amp", "&ampx &amp;lt; &amp;amp", "&amp&amp;&quot;&#39;&#39 &copy=1", "&lt;b&gt;x&lt;/b&gt; &nbsp;y&eacute"]
+    rows = [(i, f"http://a/{i}", x) for i, x in enumerate(cuts)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{folder}/pages.parquet/*.parquet')")
+    return con
+
+
+def test_entities_cut_short(spark, tmp_path):
+    assert compare(spark, own.QUERIES["entity_decode"], own.SQL["entity_decode"], str(tmp_path), odd_pages(spark, tmp_path)) is None
+
+
 @pytest.mark.parametrize("name", sorted(set(own.QUERIES) - set(own.SQL)))
 def test_runs(spark, name):
     assert own.QUERIES[name](spark, DATA).count() > 0
