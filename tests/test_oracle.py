@@ -43,8 +43,9 @@ def odd_pages(spark, folder):
     return con
 
 
-def test_entities_cut_short(spark, tmp_path):
-    assert compare(spark, own.QUERIES["entity_decode"], own.SQL["entity_decode"], str(tmp_path), odd_pages(spark, tmp_path)) is None
+@pytest.mark.parametrize("name", ["clean_full", "entity_decode"])
+def test_entities_cut_short(spark, tmp_path, name):
+    assert compare(spark, own.QUERIES[name], own.SQL[name], str(tmp_path), odd_pages(spark, tmp_path)) is None
 
 
 @pytest.mark.parametrize("name", sorted(set(own.QUERIES) - set(own.SQL)))
