@@ -30,7 +30,7 @@ def test_counts_equal_counting(spark, monkeypatch, block, homes, by):
         assert found == {c: (sum(x), len(x), round(sum(i * math.log2(i) for i in x), 9), x.count(1), sum(i <= 5 for i in x)) for c, x in own.items()}
 
 
-@pytest.mark.parametrize("name", ["lexical_layer_by_source"])
+@pytest.mark.parametrize("name", ["composite_index", "lexical_layer_by_source"])
 def test_no_row_a_token_is_shuffled(spark, name):
     tokens = sum(len(r.text.split()) for r in table(spark, SF, "documents").select("text").collect())
     assert shuffled(spark, lambda: entry.queries()[name](spark, SF).collect()) < tokens
