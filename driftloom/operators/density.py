@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions.numeric import relative_change
-from driftloom.operators import vectors
 from driftloom.operators.vectors import Base, map_against, parts
 from driftloom.scratch import materialise
 
@@ -18,6 +18,8 @@ from driftloom.scratch import materialise
 GRID = tuple(float(x) for x in np.logspace(-2, math.log10(2), 15))
 WEB_GRID = tuple(float(x) for x in np.logspace(-1.5, 0.5, 10))
 TAIL = 0.05
+#: Distances that are computed at once, and the exponent from which terms are left out.
+TILE, FAR = 1 << 16, 60.0
 
 
 @dataclass
@@ -46,22 +48,56 @@ def log_likelihood(df: DataFrame, kde: Kde, vec: str = "vec", keep: tuple[str, .
     h, norm = kde.bandwidth, kde.log_norm(kde.bandwidth)
 
     def fn(own, x, block, old):
-        ll = np.full(len(x), -np.inf) if old is None else old["ll"].astype(np.float64)
-        for _, b in parts(block[:2], vectors.CELLS // len(x)):
-            ll = np.logaddexp(ll, _kernel(_squares(x, b), h))
-        return {"ll": ll}
+        return {"ll": _merged(old and old["ll"], _log_sums(x, (h,), ((slice(None), b) for _, b in parts(block[:2], TILE // len(x))))[0])}
 
     return map_against(df, kde.base, fn, "ll double", vec, keep, keep_schema).withColumn("ll", F.col("ll") + F.lit(norm))
 
 
-def _squares(x: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((x**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * x @ b.T, 0)
+def _merged(old: np.ndarray | None, new: np.ndarray) -> np.ndarray:
+    return new if old is None else np.logaddexp(old.astype(np.float64), new)
 
 
-def _kernel(d2: np.ndarray, h: float) -> np.ndarray:
-    e = -d2 / (2 * h * h)
-    top = e.max(axis=1, keepdims=True)
-    return top[:, 0] + np.log(np.exp(e - top).sum(axis=1))
+def _log_sums(x: np.ndarray, bandwidths: Sequence[float], tiles: Iterable[tuple[np.ndarray | slice, np.ndarray]]) -> np.ndarray:
+    """ln of the sum of exp(-d2 / (2 h h)) of each bandwidth (row) and row of x (column); -inf for rows without points.
+
+    tiles gives (rows of x, points), small enough for a core's cache; sums are kept relative to the nearest point so
+    far. Terms below exp(-FAR) of the largest are left out: all of them together are below the sum's last bit.
+    """
+    nearest, sums, x2 = np.full(len(x), np.inf), np.zeros((len(bandwidths), len(x))), (x**2).sum(1)
+    scales = sorted(((1 / (2 * h * h), k) for k, h in enumerate(bandwidths)))
+    for rows, b in tiles:
+        own = x[rows]
+        if not b.size or not own.size:
+            continue
+        t = own @ b.T
+        t *= -2
+        t += x2[rows][:, None]
+        t += (b**2).sum(1)
+        np.maximum(t, 0, out=t)
+        low = np.minimum(nearest[rows], t.min(axis=1))
+        moved, nearest[rows] = nearest[rows] - low, low
+        t -= low[:, None]
+        top, at, e = t.max(), None, np.empty_like(t)
+        for c, k in scales:  # wide ones first: what is too far for one is so for all that follow
+            s = sums[k, rows] * np.exp(-moved * c)
+            if at is None and top > FAR / c:
+                near = t < FAR / c
+                if np.count_nonzero(near) < t.size // 5:
+                    at, few = np.nonzero(near)[0], t[near]
+            elif at is not None:
+                near = few < FAR / c
+                at, few = at[near], few[near]
+            if at is None:
+                np.exp(np.multiply(t, -c, out=e), out=e)
+                s += e.sum(axis=1)
+            else:
+                s += np.bincount(at, np.exp(few * -c), minlength=len(own))
+            sums[k, rows] = s
+    out = np.full(sums.shape, -np.inf)
+    some = np.isfinite(nearest)
+    for c, k in scales:
+        out[k, some] = np.log(sums[k, some]) - nearest[some] * c
+    return out
 
 
 def bandwidth_scores(df: DataFrame, folds: int = 5, grid: tuple[float, ...] = GRID, vec: str = "vec", seed: int = 42) -> DataFrame:
@@ -69,21 +105,17 @@ def bandwidth_scores(df: DataFrame, folds: int = 5, grid: tuple[float, ...] = GR
 
     df needs a column fold (0 .. folds - 1). A fold without training points has no score.
     """
-    base = Base(df, vec, ("fold",))
+    base = Base(df, vec, ("fold",), order=("fold", "id"))
     held = {r["fold"]: r["count"] for r in df.groupBy("fold").count().collect()}  # a row a fold
     names = [f"h{g}" for g in range(len(grid))]
 
     def fn(own, x, block, old):
-        out = {c: np.full(len(x), -np.inf) if old is None else old[c].astype(np.float64) for c in names}
-        for _, b, of in parts(block, vectors.CELLS // len(x)):
-            d2 = _squares(x, b)
-            for f in np.unique(own["fold"]):
-                rows, train = own["fold"] == f, of != f
-                if train.any():
-                    near = d2[np.ix_(rows, train)]
-                    for c, h in zip(names, grid, strict=True):
-                        out[c][rows] = np.logaddexp(out[c][rows], _kernel(near, h))
-        return out
+        def tiles():  # the points lie by fold, so most tiles have one
+            for _, b, of in parts(block, TILE // len(x)):
+                for f in np.unique(of):
+                    yield np.flatnonzero(own["fold"] != f), b[of == f]
+
+        return {c: _merged(old and old[c], ll) for c, ll in zip(names, _log_sums(x, grid, tiles()), strict=True)}
 
     wide = map_against(df, base, fn, ", ".join(f"{c} double" for c in names), vec, ("fold",), "fold int, ")
     norms = F.create_map(*[F.lit(x) for f, m in held.items() if m < base.n for x in (f, [_log_norm(base.n - m, base.dims, h) for h in grid])])
@@ -98,12 +130,8 @@ def held_out_scores(df: DataFrame, grid: tuple[float, ...] = WEB_GRID, vec: str
     names = [f"h{g}" for g in range(len(grid))]
 
     def fn(own, x, block, old):
-        out = {c: np.full(len(x), -np.inf) if old is None else old[c].astype(np.float64) for c in names}
-        for _, b in parts(block[:2], vectors.CELLS // len(x)):
-            d2 = _squares(x, b)
-            for c, h in zip(names, grid, strict=True):
-                out[c] = np.logaddexp(out[c], _kernel(d2, h))
-        return out
+        found = _log_sums(x, grid, ((slice(None), b) for _, b in parts(block[:2], TILE // len(x))))
+        return {c: _merged(old and old[c], ll) for c, ll in zip(names, found, strict=True)}
 
     wide = map_against(df.where("not is_train"), base, fn, ", ".join(f"{c} double" for c in names), vec)
     norms = [_log_norm(base.n, base.dims, h) if base.n else 0.0 for h in grid]

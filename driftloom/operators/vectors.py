@@ -18,7 +18,7 @@ from driftloom.numbering import number_rows
 from driftloom.scratch import materialise
 
 #: Bytes of baseline vectors that a broadcast may hold; larger baselines are taken in blocks, one after another.
-BASE_BYTES = 256 << 20
+BASE_BYTES = 64 << 20
 #: Numbers that an array of differences or distances may hold in a worker.
 CELLS = 1 << 23
 
@@ -94,8 +94,8 @@ def variance_dim(df: DataFrame, dims: int, share: float = 0.95, vec: str = "vec"
 class Base:
     """A baseline of any size: frame (id, keep.., vec), n rows of dims numbers; iterating gives blocks (ids, vectors, *keep) that may be broadcast."""
 
-    def __init__(self, df: DataFrame, vec: str = "vec", keep: Sequence[str] = ()):
-        self.frame, self.keep = as_double(df.select("id", *keep, F.col(vec).alias("vec"))), keep
+    def __init__(self, df: DataFrame, vec: str = "vec", keep: Sequence[str] = (), order: Sequence[str] = ("id",)):
+        self.frame, self.keep, self.order = as_double(df.select("id", *keep, F.col(vec).alias("vec"))), keep, order
         first = self.frame.select(F.size("vec").alias("n")).first()
         self.n, self.dims = self.frame.count(), first["n"] if first else 0
         self.blocks = max(1, -(-self.n * (self.dims * 8 + 8) // BASE_BYTES))
@@ -105,7 +105,7 @@ class Base:
     def __iter__(self) -> Iterator[tuple[np.ndarray, ...]]:
         for k in range(self.blocks):
             part = self.frame if self.blocks == 1 else self.frame.where(F.pmod(F.xxhash64("_place"), F.lit(self.blocks)) == k)
-            rows = part.orderBy("id").toPandas()
+            rows = part.orderBy(*self.order).toPandas()
             points = np.array(rows["vec"].tolist(), dtype=np.float64).reshape(len(rows), self.dims)
             yield rows["id"].to_numpy(), points, *[rows[c].to_numpy() for c in self.keep]
 

@@ -2,6 +2,8 @@
 
 import html
 import math
+import tracemalloc
+import types
 import unicodedata
 from collections import Counter
 
@@ -255,6 +257,45 @@ def test_kde_equals_the_sum_of_kernels(spark):
 
 
 # ------------------------------------------------------------ perplexity
+def test_log_sums_equal_all_terms():
+    """Also of nearest points that come late, of points out of all reach and of rows without points."""
+    rng = np.random.default_rng(0)
+    x, b = rng.normal(size=(9, 4)), np.concatenate([rng.normal(size=(40, 4)) + 50, rng.normal(size=(40, 4)), rng.normal(size=(3, 4)) * 1e-3])
+    own, of = np.arange(9) % 3, np.arange(len(b)) % 3
+    tiles = lambda: ((np.flatnonzero((own != f) & (np.arange(9) < 8)), b[a : a + 20][of[a : a + 20] == f]) for a in range(0, len(b), 20) for f in range(3))
+    got = density._log_sums(x, density.GRID, tiles())
+    d2 = ((x[:, None] - b[None]) ** 2).sum(axis=2)
+    for k, h in enumerate(density.GRID):
+        for i in range(8):
+            e = -d2[i, of != own[i]] / (2 * h * h)
+            assert got[k, i] == pytest.approx(e.max() + math.log(np.exp(e - e.max()).sum()), rel=1e-9)
+    assert (got[:, 8] == -np.inf).all()
+
+
+def test_densities_hold_small_arrays_only():
+    """A row's distances to 40,000 points at once were 64 MB an array, several arrays a worker."""
+    rng = np.random.default_rng(0)
+    x, b, kept = rng.normal(size=(512, 8)), rng.normal(size=(40_000, 8)), {}
+
+    class Frame:
+        def withColumn(self, *_):
+            return self
+
+    def run(df, base, fn, *_):
+        tracemalloc.start()
+        kept["ll"] = fn({}, x, (np.arange(len(b)), b), None)["ll"]
+        kept["peak"] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return Frame()
+
+    old, density.map_against = density.map_against, run
+    try:
+        density.log_likelihood(None, density.Kde(types.SimpleNamespace(n=len(b), dims=8), 0.5))
+    finally:
+        density.map_against = old
+    assert kept["peak"] < 8 << 20 and np.isfinite(kept["ll"]).all()
+
+
 def test_baselines_of_several_blocks_give_the_same(spark, monkeypatch):
     """What once was too large to broadcast; slices within a worker are small, too."""
     from driftloom.plans import queries
