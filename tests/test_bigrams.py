@@ -65,7 +65,7 @@ def shuffled(spark, run):
     return sum(n for s, n in stages().items() if s not in before)
 
 
-@pytest.mark.parametrize("name", ["coldstart", "ppl_histogram", "tail_comparison", "windowed_ppl"])
+@pytest.mark.parametrize("name", ["coldstart", "doc_ppl", "length_buckets", "length_verdict", "position_buckets", "position_monotone", "ppl_histogram", "ppl_inversion", "ppl_ratio", "ppl_summary", "tail_comparison", "token_losses", "windowed_ppl"])
 def test_no_row_a_token_is_shuffled(spark, name):
     tokens = sum(len(r.text.split()) for r in table(spark, SF, "documents").select("text").collect())
     assert shuffled(spark, lambda: entry.queries()[name](spark, SF).collect()) < tokens / 4
